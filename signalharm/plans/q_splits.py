@@ -77,10 +77,10 @@ def eligible_classes(spark, sf):
 
 SEEDS = (1, 2, 3, 4, 5)
 SQL_QUERY_LIBRARY = f"""
-sd AS (SELECT unnest([1, 2, 3, 4, 5]) AS seed),
+seed_list AS (SELECT unnest([1, 2, 3, 4, 5]) AS seed),
 gr AS (SELECT DISTINCT class_id, group_id FROM e),
 ql AS MATERIALIZED (SELECT seed, class_id, group_id, CASE WHEN row_number() OVER (PARTITION BY seed, class_id
-  ORDER BY {_h("seed", "'query'", "class_id", "group_id")}, group_id) = 1 THEN 'query' ELSE 'library' END AS role FROM gr, sd)"""
+  ORDER BY {_h("seed", "'query'", "class_id", "group_id")}, group_id) = 1 THEN 'query' ELSE 'library' END AS role FROM gr, seed_list)"""
 
 
 @query(
