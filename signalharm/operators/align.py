@@ -116,9 +116,12 @@ def gap_contributions(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return part.join(sst, keys).select(*keys, "cluster_id", value.alias("ag_contribution"))
 
 
-def weighted_gap(obs: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """AG per key with observation weights, from sums only (used inside resampling)."""
-    sse = isotonic_sse(_both_scopes(obs), [*keys, "part"], "x", "y", weight)
+def weighted_gap(obs: DataFrame, keys: list[str], weight: str, sizes=None) -> DataFrame:
+    """AG per key with observation weights, from sums only (used inside resampling).
+
+    ``sizes`` bounds (points per key, points in all) where the caller knows them.
+    """
+    sse = isotonic_sse(_both_scopes(obs), [*keys, "part"], "x", "y", weight, sizes=sizes)
     pooled = F.col("part") == POOLED
     parts = sse.groupBy(*keys).agg(
         F.sum(F.when(pooled, F.col("sse"))).alias("sse_pooled"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .checkpoints import ensure_checkpoint_dir
 
 LIMIT = 1_000_000
+BUCKET_ROWS = 100_000
 
 
 def points(df: DataFrame, keys: list[str], x: str, y: str, w: str | None = None) -> DataFrame:
@@ -28,43 +29,83 @@ def points(df: DataFrame, keys: list[str], x: str, y: str, w: str | None = None)
     ).filter(F.col("sw") > 0).withColumn("x_hi", F.col("x_lo"))
 
 
-def pool_adjacent(sw: np.ndarray, swy: np.ndarray) -> np.ndarray:
-    """Pool number of each point, points ordered by x."""
+def pool_adjacent(sw: np.ndarray, swy: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Pool number of each point; points are ordered by (key, x), ``first`` marks a new key."""
+    starts = []
     weight, total, start = [], [], []
-    for k in range(len(sw)):
-        a, b, s = sw[k], swy[k], k
+    for k, (a, b, fresh) in enumerate(zip(sw.tolist(), swy.tolist(), first.tolist())):
+        if fresh:
+            starts += start
+            weight, total, start = [], [], []
+        s = k
         while weight and total[-1] * a >= b * weight[-1]:
             a, b, s = a + weight.pop(), b + total.pop(), start.pop()
         weight.append(a)
         total.append(b)
         start.append(s)
     marks = np.zeros(len(sw), dtype=np.int64)
-    marks[start[1:]] = 1
-    return np.cumsum(marks)
+    marks[starts + start] = 1
+    return np.cumsum(marks) - 1
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("x_lo", kind="stable")
-    pool = pool_adjacent(pdf["sw"].to_numpy(), pdf["swy"].to_numpy())
-    how = {"x_lo": "first", "x_hi": "last", "sw": "sum", "swy": "sum", "swyy": "sum"}
-    fixed = {c: "first" for c in pdf.columns if c not in how}
-    return pdf.groupby(pool).agg({**fixed, **how})[list(pdf.columns)]
+def _ordered(pdf: pd.DataFrame, keys: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    pdf = pdf.sort_values([*keys, "x_lo"], kind="stable")
+    first = np.zeros(len(pdf), dtype=bool)
+    first[:1] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        first[1:] |= v[1:] != v[:-1]
+    return pdf, pool_adjacent(pdf["sw"].to_numpy(), pdf["swy"].to_numpy(), first)
 
 
-def _fit_points(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("x_lo", kind="stable")
-    pool = pool_adjacent(pdf["sw"].to_numpy(), pdf["swy"].to_numpy())
-    sw = np.bincount(pool, weights=pdf["sw"])
-    swy = np.bincount(pool, weights=pdf["swy"])
-    return pdf.assign(fit=(swy / sw)[pool])
+def _merge(keys: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, pool = _ordered(pdf, keys)
+        starts = np.flatnonzero(np.diff(pool, prepend=-1))
+        ends = np.append(starts[1:], len(pdf)) - 1
+        out = pdf.iloc[starts].copy()
+        out["x_hi"] = pdf["x_hi"].to_numpy()[ends]
+        for c in ("sw", "swy", "swyy"):
+            out[c] = np.add.reduceat(pdf[c].to_numpy(), starts)
+        return out
+
+    return run
+
+
+def _fit_points(keys: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, pool = _ordered(pdf, keys)
+        sw = np.bincount(pool, weights=pdf["sw"])
+        swy = np.bincount(pool, weights=pdf["swy"])
+        return pdf.assign(fit=(swy / sw)[pool])
+
+    return run
 
 
 def _schema(df: DataFrame, *extra: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + list(extra))
 
 
+def _sizes(df: DataFrame, keys) -> tuple[int, int]:
+    """Largest key and total number of points."""
+    top, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return top or 0, total or 0
+
+
 def _largest(df: DataFrame, keys) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return _sizes(df, keys)[0]
+
+
+def _by_bucket(df: DataFrame, keys: list[str], run, schema: str, total: int) -> DataFrame:
+    """Fit many whole keys per task: small keys share a hash bucket, which saves
+    the per-group overhead of a grouped map."""
+    buckets = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET_ROWS))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+
+    def drop_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf.drop(columns="_bucket"))
+
+    return df.groupBy("_bucket").applyInPandas(drop_bucket, schema)
 
 
 def _with_chunk(df: DataFrame, keys, parts: int, shift: float, column: str = "x_lo") -> DataFrame:
@@ -78,11 +119,15 @@ def _with_chunk(df: DataFrame, keys, parts: int, shift: float, column: str = "x_
     ).drop("_cuts")
 
 
-def pools(pts: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
-    """Maximal blocks of equal fit: keys, x_lo, x_hi, sw, swy, swyy."""
-    top = _largest(pts, keys)
+def pools(pts: DataFrame, keys: list[str], limit: int = LIMIT, sizes=None) -> DataFrame:
+    """Maximal blocks of equal fit: keys, x_lo, x_hi, sw, swy, swyy.
+
+    ``sizes`` = (largest key, total points), where the caller can bound them
+    without running the plan.
+    """
+    top, total = sizes or _sizes(pts, keys)
     if top <= limit:
-        return pts.groupBy(*keys).applyInPandas(_merge, _schema(pts))
+        return _by_bucket(pts, keys, _merge(keys), _schema(pts), total)
     ensure_checkpoint_dir(pts.sparkSession)
     current, size, quiet, shift = pts, pts.count(), 0, 0.0
     while quiet < 2:
@@ -90,7 +135,7 @@ def pools(pts: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
         chunked = _with_chunk(current, keys, parts, shift)
         out = (
             chunked.groupBy(*keys, "_chunk")
-            .applyInPandas(_merge, _schema(chunked))
+            .applyInPandas(_merge([*keys, "_chunk"]), _schema(chunked))
             .drop("_chunk")
             .checkpoint()
         )
@@ -99,15 +144,15 @@ def pools(pts: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
         current, size, shift = out, left, 0.5 - shift
         top = _largest(current, keys)
         if top <= limit:
-            return current.groupBy(*keys).applyInPandas(_merge, _schema(current))
+            return _by_bucket(current, keys, _merge(keys), _schema(current), left)
     return current
 
 
 def fit_points(pts: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
     """Every point with its fitted value ``fit``."""
-    top = _largest(pts, keys)
+    top, total = _sizes(pts, keys)
     if top <= limit:
-        return pts.groupBy(*keys).applyInPandas(_fit_points, _schema(pts, "fit double"))
+        return _by_bucket(pts, keys, _fit_points(keys), _schema(pts, "fit double"), total)
     pts = pts.checkpoint()
     blocks = pools(pts, keys, limit).select(*keys, "x_lo", (F.col("swy") / F.col("sw")).alias("fit"))
     parts = -(-2 * top // limit) + 1
@@ -153,10 +198,16 @@ def isotonic_fit(
 
 
 def isotonic_sse(
-    df: DataFrame, keys: list[str], x: str, y: str, w: str | None = None, limit: int = LIMIT
+    df: DataFrame,
+    keys: list[str],
+    x: str,
+    y: str,
+    w: str | None = None,
+    limit: int = LIMIT,
+    sizes=None,
 ) -> DataFrame:
     """Squared error of the fit per key from sufficient statistics only."""
-    blocks = pools(points(df, keys, x, y, w), keys, limit)
+    blocks = pools(points(df, keys, x, y, w), keys, limit, sizes)
     return blocks.groupBy(*keys).agg(
         F.sum(F.col("swyy") - F.col("swy") * F.col("swy") / F.col("sw")).alias("sse")
     )

@@ -57,7 +57,11 @@ def identification(spark: SparkSession, sf: str, adapted: bool = False, families
     """
     roles = split(spark, sf)
     native = grid_hits(signals(spark, sf))
-    moved = on_grid(perturb(native, families)).select(
+    wanted = native
+    if not adapted:  # only query groups are ever perturbed
+        asked = roles.filter(F.col("role") == "query").select("class_id", "group_id")
+        wanted = native.join(asked, ["class_id", "group_id"], "left_semi")
+    moved = on_grid(perturb(wanted, families)).select(
         "signal_id", "class_id", "group_id", "perturbation_id", "alpha", "v"
     )
     clean = on_grid(native).select("signal_id", "class_id", "group_id", "v")
@@ -147,13 +151,21 @@ def _self_value(output: str):
 _CACHE: dict[tuple, DataFrame] = {}
 
 
+def outcomes(spark: SparkSession, sf: str, adapted: bool = False) -> DataFrame:
+    """Persisted :func:`identification` outcomes."""
+    key = (spark.sparkContext.applicationId, sf, "outcomes", adapted)
+    if key not in _CACHE:
+        _CACHE[key] = identification(spark, sf, adapted).persist()
+    return _CACHE[key]
+
+
 def observations(spark: SparkSession, sf: str, outputs=OUTPUTS, adapted: bool = False) -> DataFrame:
     """``metric, cluster_id, perturbation_id, alpha, x, y``; persisted, because every
     statistic starts from this small table."""
     key = (spark.sparkContext.applicationId, sf, tuple(outputs), adapted)
     if key not in _CACHE:
         x = metric_harm(spark, sf, outputs)
-        y = class_harm(identification(spark, sf, adapted))
+        y = class_harm(outcomes(spark, sf, adapted))
         _CACHE[key] = x.join(y, ["cluster_id", "perturbation_id", "alpha"]).select(
             "metric", "cluster_id", "perturbation_id", "alpha", "x", "y"
         ).persist()
