@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from .isotonic import isotonic_fit, isotonic_sse
+from .isotonic import isotonic_fit, points, pools
 
 TOLERANCE = 1e-12
 POOLED = "*"
@@ -121,25 +121,25 @@ def weighted_gap(obs: DataFrame, keys: list[str], weight: str, sizes=None) -> Da
 
     ``sizes`` bounds (points per key, points in all) where the caller knows them.
     """
-    sse = isotonic_sse(_both_scopes(obs), [*keys, "part"], "x", "y", weight, sizes=sizes)
+    blocks = pools(points(_both_scopes(obs), [*keys, "part"], "x", "y", weight), [*keys, "part"], sizes=sizes)
     pooled = F.col("part") == POOLED
-    parts = sse.groupBy(*keys).agg(
-        F.sum(F.when(pooled, F.col("sse"))).alias("sse_pooled"),
-        F.sum(F.when(~pooled, F.col("sse"))).alias("sse_separate"),
-    )
-    w = F.col(weight).cast("double")
-    total = obs.filter(F.col(weight) > 0).groupBy(*keys).agg(
-        F.sum(w).alias("_w"),
-        F.sum(w * F.col("y")).alias("_wy"),
-        F.sum(w * F.col("y") * F.col("y")).alias("_wyy"),
-        (F.min("x") == F.max("x")).alias("_constant"),
-        (F.min("y") == F.max("y")).alias("_flat"),
+    error = F.col("swyy") - F.col("swy") * F.col("swy") / F.col("sw")
+
+    def over_all(column):
+        return F.sum(F.when(pooled, F.col(column)))
+
+    g = blocks.groupBy(*keys).agg(
+        F.sum(F.when(pooled, error)).alias("sse_pooled"),
+        F.sum(F.when(~pooled, error)).alias("sse_separate"),
+        over_all("swyy").alias("_yy"),
+        (over_all("swyy") - over_all("swy") * over_all("swy") / over_all("sw")).alias("_sst"),
+        (F.min("x_lo") == F.max("x_hi")).alias("_constant"),
     )
-    sst = F.when(F.col("_flat"), 0.0).otherwise(F.col("_wyy") - F.col("_wy") * F.col("_wy") / F.col("_w"))
-    out = parts.join(total.withColumn("sst", sst), keys)
-    return out.withColumns(
+    # a difference of sums: below rounding level the downstream harm is constant
+    g = g.withColumn("sst", F.when(F.col("_sst") > 1e-13 * F.col("_yy"), F.col("_sst")).otherwise(0.0))
+    return g.withColumns(
         _gap_columns(F.col("sst"), F.col("sse_pooled"), F.col("sse_separate"), F.col("_constant"))
-    ).drop("_w", "_wy", "_wyy", "_constant", "_flat")
+    ).drop("_yy", "_sst", "_constant")
 
 
 COUNTS = ("agree", "disagree", "metric_tie", "downstream_tie", "double_tie")
@@ -274,6 +274,19 @@ def compare(stats: DataFrame, keys: list[str], reference: str, metric: str = "me
     ).drop("_ag", "_oc")
 
 
+def protocol_contrast(stats: DataFrame, first: str, second: str, reference: str) -> DataFrame:
+    """Second minus first panel: AG, OC and the change of the contrast to the reference."""
+    d = compare(stats, ["panel"], reference)
+
+    def at(panel, column):
+        return F.max(F.when(F.col("panel") == panel, F.col(column)))
+
+    names = {"delta_ag": "ag", "delta_oc": "oc", "interaction_ag": "d_ag", "interaction_oc": "d_oc"}
+    return d.groupBy("metric").agg(
+        *[(at(second, c) - at(first, c)).alias(n) for n, c in names.items()]
+    )
+
+
 def decompose(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Gap per perturbation family with its curve errors and zero-harm share."""
     sst = nodes.groupBy(*keys).agg(

@@ -268,3 +268,51 @@ def dataset_diff(source: DataFrame, target: DataFrame, key: str, fields: dict[st
 
 def union_all(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def attach_downstream(metric_harm: DataFrame, downstream: DataFrame) -> DataFrame:
+    """Join metric harm to task harm and report holes per metric.
+
+    ``downstream`` carries one copy of y per metric; copies must agree, so the
+    table collapses to one row per cell with a minimum equal to its maximum.
+    """
+    cell = ["cluster_id", "perturbation_id", "alpha"]
+    y = downstream.groupBy(*cell).agg(F.min("y").alias("y"), F.max("y").alias("_y"))
+    y = y.withColumn("y", F.when(F.col("y") == F.col("_y"), F.col("y"))).drop("_y")
+    expected = y.agg(F.count(F.lit(1)).alias("_n"))
+    per = (
+        metric_harm.join(y, cell)
+        .groupBy("metric")
+        .agg(F.count(F.lit(1)).alias("n_joined"), F.sum(F.col("x") * F.col("y")).alias("cross_sum"))
+    )
+    return per.join(F.broadcast(expected), F.lit(True)).withColumn(  # one-row side
+        "n_holes", F.col("_n") - F.col("n_joined")
+    ).drop("_n")
+
+
+def metric_states(obs: DataFrame, grid: DataFrame, planned) -> DataFrame:
+    """Planned against complete cells per output."""
+    slots = grid.agg(F.count(F.lit(1)).alias("n_planned")).select(
+        "n_planned", F.explode(F.array(*[F.lit(m) for m in planned])).alias("metric")
+    )
+    done = obs.groupBy("metric").agg(F.count("x").alias("n_complete"))
+    out = slots.join(done, "metric", "left").fillna(0, ["n_complete"])
+    return out.withColumn(
+        "state", F.when(F.col("n_planned") == F.col("n_complete"), "complete").otherwise("not_evaluable")
+    )
+
+
+def paired_observations(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Completeness and equality of two observation tables on the same cells."""
+    cell = [*keys, "cluster_id", "perturbation_id", "alpha"]
+    a = left.select(*cell, F.col("x").alias("lx"), F.col("y").alias("ly"), F.lit(1).alias("_l"))
+    b = right.select(*cell, F.col("x").alias("rx"), F.col("y").alias("ry"), F.lit(1).alias("_r"))
+    j = a.join(b, cell, "full_outer")
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    return j.groupBy(*keys).agg(
+        F.count_if(both).alias("n_paired"),
+        F.count_if(F.col("_r").isNull()).alias("n_left_only"),
+        F.count_if(F.col("_l").isNull()).alias("n_right_only"),
+        F.count_if(both & (F.col("lx") == F.col("rx"))).alias("n_equal_x"),
+        F.count_if(both & (F.col("ly") == F.col("ry"))).alias("n_equal_y"),
+    )

@@ -47,13 +47,17 @@ def draw_table(clusters: DataFrame, cluster: str, endpoint: str, resamples: int
     return counts.join(ids, "_k").select("resample", cluster, "weight")
 
 
-def interval(df: DataFrame, keys: list[str], values, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of each value column over the resamples (a bounded list)."""
+def interval(df: DataFrame, keys: list[str], values, confidence: float = 0.95, *more: Column) -> DataFrame:
+    """Percentile interval of each value column over the resamples (a bounded list).
+
+    ``more`` are further aggregates for the same pass.
+    """
     a = (1 - confidence) / 2
     cols = []
     for v in values:
         p = F.percentile(v, F.array(F.lit(a), F.lit(1 - a)))
         cols += [p[0].alias(f"{v}_lower"), p[1].alias(f"{v}_upper")]
+    cols += more
     return df.groupBy(*keys).agg(*cols) if keys else df.agg(*cols)
 
 
@@ -68,6 +72,7 @@ def bootstrap_alignment(
     keys = list(keys)
     # a draw only reweights, so the observation table bounds every fit
     per = obs.groupBy(*keys, "metric").count().agg(F.max("count"), F.sum("count")).first()
+    draws = draws.persist()
     resamples = draws.agg(F.max("resample")).first()[0] + 1
     sizes = (per[0], 2 * per[1] * resamples)
     ag = weighted_gap(obs.join(draws, "cluster_id"), [*keys, "metric", "resample"], "weight", sizes)
@@ -77,17 +82,17 @@ def bootstrap_alignment(
         .agg((F.sum(F.col("oc") * F.col("weight")) / F.sum("weight")).alias("oc"))
     )
     both = ag.select(*keys, "metric", "resample", "ag").join(oc, [*keys, "metric", "resample"])
-    ref = both.filter(F.col("metric") == reference).select(
-        *keys, "resample", F.col("ag").alias("_ag"), F.col("oc").alias("_oc")
-    )
-    both = both.join(ref, [*keys, "resample"]).withColumns(
-        {"d_ag": F.col("_ag") - F.col("ag"), "d_oc": F.col("oc") - F.col("_oc")}
-    )
-    failed = both.groupBy(*keys, "metric").agg(
-        F.count_if(F.col("ag").isNull() | F.col("_ag").isNull()).alias("failed_draws")
+    # the reference sits next to its candidates: one small window per resample
+    per_draw = Window.partitionBy(*keys, "resample")
+
+    def at_reference(column):
+        return F.max(F.when(F.col("metric") == reference, F.col(column))).over(per_draw)
+
+    both = both.withColumns(
+        {"d_ag": at_reference("ag") - F.col("ag"), "d_oc": F.col("oc") - at_reference("oc")}
     )
-    out = interval(both, [*keys, "metric"], ["ag", "d_ag", "oc", "d_oc"], confidence)
-    out = out.join(failed, [*keys, "metric"])
+    failed = F.count_if(F.col("d_ag").isNull()).alias("failed_draws")
+    out = interval(both, [*keys, "metric"], ["ag", "d_ag", "oc", "d_oc"], confidence, failed)
     void = {
         c: F.when(F.col("failed_draws") == 0, F.col(c))
         for c in ("ag_lower", "ag_upper", "d_ag_lower", "d_ag_upper")

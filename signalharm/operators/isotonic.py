@@ -195,19 +195,3 @@ def isotonic_fit(
     """Rows with ``fit``, the increasing weighted least-squares value at their x."""
     fitted = fit_points(points(df, keys, x, y, w), keys, limit)
     return df.join(fitted.select(*keys, F.col("x_lo").alias(x), "fit"), [*keys, x])
-
-
-def isotonic_sse(
-    df: DataFrame,
-    keys: list[str],
-    x: str,
-    y: str,
-    w: str | None = None,
-    limit: int = LIMIT,
-    sizes=None,
-) -> DataFrame:
-    """Squared error of the fit per key from sufficient statistics only."""
-    blocks = pools(points(df, keys, x, y, w), keys, limit, sizes)
-    return blocks.groupBy(*keys).agg(
-        F.sum(F.col("swyy") - F.col("swy") * F.col("swy") / F.col("sw")).alias("sse")
-    )

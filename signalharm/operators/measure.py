@@ -165,3 +165,15 @@ def oriented(output_id, base, current, measures=None) -> Column:
         rest,
         F.when(output_id == first[0], first[1]),
     )
+
+
+def cluster_harm(long: DataFrame, cluster: str, keys: list[str], weight: str) -> DataFrame:
+    """Weighted mean of ``harm`` per (cluster, keys); incomplete cells give null."""
+    w = F.col(weight)
+    g = long.groupBy(cluster, *keys).agg(
+        (F.sum(F.col("harm") * w) / F.sum(w)).alias("harm"),
+        F.sum(w).alias("total_weight"),
+        F.count(F.lit(1)).alias("n"),
+        (F.count("harm") == F.count(F.lit(1))).alias("complete"),
+    )
+    return g.withColumn("harm", F.when(F.col("complete"), F.col("harm")))
