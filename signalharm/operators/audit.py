@@ -208,13 +208,14 @@ def near_duplicates(
     differs by at most t*sqrt(n/L).  Each segment mean becomes a cell of that
     width and neighbours differ by at most one cell per segment, so each left
     row probes 3^segments cells and each right row sits in one.  Identical
-    vectors are collapsed to one representative first, so a group of copies
-    costs one probe; copies are paired with their representative instead of
-    with each other.
+    vectors collapse to one representative with a multiplicity first, so a
+    group of copies costs one probe.  The result is whole in that form: one row
+    per pair of distinct vectors with the copies on both sides and the number
+    of record pairs, and one row per group of copies (left = right).
     """
     snv = A.pin(df.select(id_col, F.size(y).alias("n"), F.col(y).alias("_y")), {"v": A.snv(F.col("_y"))})
     snv = snv.filter(F.col("v").isNotNull()).drop("_y")
-    reps = snv.groupBy("v", "n").agg(F.min(id_col).alias("rep"))
+    reps = snv.groupBy("v", "n").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("m"))
 
     def cell(k):
         size = F.floor(F.col("n") / segments).cast("int")
@@ -229,24 +230,30 @@ def near_duplicates(
     probes = probes.select(
         F.col("rep").alias("left_id"),
         F.col("v").alias("lv"),
+        F.col("m").alias("left_copies"),
         "n",
         F.array(*[F.get("c", F.lit(k)) + F.col(f"d{k}") for k in range(segments)]).alias("c"),
     )
-    right = cells.select(F.col("rep").alias("right_id"), F.col("v").alias("rv"), "n", "c")
+    right = cells.select(F.col("rep").alias("right_id"), F.col("v").alias("rv"), F.col("m").alias("right_copies"), "n", "c")
     distance = A.rms(F.zip_with("lv", "rv", lambda a, b: a - b))
     near = (
         probes.join(right, ["n", "c"])
         .filter(F.col("left_id") < F.col("right_id"))
         .withColumn("distance", distance)
         .filter(F.col("distance") <= threshold)
-        .select("left_id", "right_id", "distance")
+        .withColumn("n_pairs", F.col("left_copies") * F.col("right_copies"))
     )
-    copies = (
-        snv.join(reps, ["v", "n"])
-        .filter(F.col(id_col) > F.col("rep"))
-        .select(F.col("rep").alias("left_id"), F.col(id_col).alias("right_id"), F.lit(0.0).alias("distance"))
+    names = ["left_id", "right_id", "left_copies", "right_copies", "n_pairs", "distance"]
+    m = F.col("m")
+    copies = reps.filter(m > 1).select(
+        F.col("rep").alias("left_id"),
+        F.col("rep").alias("right_id"),
+        m.alias("left_copies"),
+        m.alias("right_copies"),
+        F.expr("m * (m - 1) div 2").alias("n_pairs"),
+        F.lit(0.0).alias("distance"),
     )
-    return near.unionByName(copies)
+    return near.select(*names).unionByName(copies)
 
 
 def dataset_diff(source: DataFrame, target: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
@@ -316,3 +323,24 @@ def paired_observations(left: DataFrame, right: DataFrame, keys) -> DataFrame:
         F.count_if(both & (F.col("lx") == F.col("rx"))).alias("n_equal_x"),
         F.count_if(both & (F.col("ly") == F.col("ry"))).alias("n_equal_y"),
     )
+
+
+def set_digest(df: DataFrame, keys: list[str], id_col: str, digest: str) -> DataFrame:
+    """Counts, distinct contents and an identity of the id set per key.
+
+    The identity is the count and two sums of hash parts: commutative, so it
+    combines map-side and never gathers the ids of a key.
+    """
+    contents = df.groupBy(*keys, digest).agg(F.count(F.lit(1)).alias("_n"))
+    counts = contents.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_distinct")
+    )
+    h = F.md5(F.col(id_col).cast("string"))
+
+    def part(start):
+        return F.sum(F.conv(F.substring(h, start, 13), 16, 10).cast("decimal(20,0)"))
+
+    ids = df.groupBy(*keys).agg(
+        F.sha2(F.concat_ws("|", F.count(F.lit(1)), part(1), part(14)), 256).alias("id_set")
+    )
+    return counts.join(ids, keys)

@@ -177,3 +177,18 @@ def cluster_harm(long: DataFrame, cluster: str, keys: list[str], weight: str) ->
         (F.count("harm") == F.count(F.lit(1))).alias("complete"),
     )
     return g.withColumn("harm", F.when(F.col("complete"), F.col("harm")))
+
+
+def band_join(left: DataFrame, right: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """Positions within ``tolerance`` of each other, inclusive.
+
+    Buckets of the tolerance's width give the equi key; the left side probes
+    its own bucket and both neighbours, so a hot signal is spread over buckets.
+    """
+    bucket = F.floor(F.col("pos") / tolerance)
+    a = left.select(
+        key, F.col("pos").alias("ref_pos"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b")
+    )
+    b = right.select(key, F.col("pos").alias("cand_pos"), bucket.alias("_b"))
+    distance = F.abs(F.col("cand_pos") - F.col("ref_pos"))
+    return a.join(b, [key, "_b"]).filter(distance <= tolerance).drop("_b").withColumn("distance", distance)

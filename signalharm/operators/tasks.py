@@ -203,3 +203,35 @@ def harm_parts(df: DataFrame, keys: list[str], value: str = "y") -> DataFrame:
 def half_label(rank: Column) -> Column:
     """Half of an ordered replicate: 1 for odd positions, 2 for even."""
     return F.when(rank % 2 == 1, 1).otherwise(2)
+
+
+def half_split(signals: DataFrame, cluster: str, order: str) -> DataFrame:
+    """Correlation of the mean odd and mean even replicate per cluster.
+
+    Replicates are numbered by a hash-free two-level rank (see ``ordered_rank``),
+    and node means are partial sums, so a hot cluster never meets in one task.
+    """
+    from .ranks import ordered_rank
+
+    r = ordered_rank(signals.select(cluster, order, "y"), [cluster], order)
+    nodes = r.select(cluster, half_label(F.col("rank")).alias("_h"), F.posexplode("y").alias("i", "v"))
+    means = nodes.groupBy(cluster, "i").agg(
+        F.avg(F.when(F.col("_h") == 1, F.col("v"))).alias("a"),
+        F.avg(F.when(F.col("_h") == 2, F.col("v"))).alias("b"),
+    )
+    return means.groupBy(cluster).agg(F.when(F.count("b") > 0, F.corr("a", "b")).alias("consistency"))
+
+
+def detection_limits(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Calibration slope and the 3.3, 10 and 3 sigma limits; null for slope <= 0."""
+    g = df.groupBy(*keys).agg(
+        F.regr_slope("y_pred", "y_true").alias("slope"),
+        F.regr_intercept("y_pred", "y_true").alias("intercept"),
+        F.stddev_samp(F.when(F.col("is_blank"), F.col("y_pred"))).alias("sigma"),
+    )
+    return g.withColumns(
+        {
+            name: F.when(F.col("slope") > 0, k * F.col("sigma") / F.col("slope"))
+            for name, k in (("ich_lod", 3.3), ("ich_loq", 10.0), ("iupac_lod", 3.0))
+        }
+    )
