@@ -134,7 +134,10 @@ def bootstrap_incomplete(values: DataFrame, source: str, keys: list[str], draws:
         .groupBy(*keys, "alpha", "resample")
         .agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("_m"))
     )
-    planned = full.join(draws.select("resample").distinct(), F.lit(True))  # strengths x resamples
+    last = draws.agg(F.max("resample").alias("_last"))
+    planned = full.join(F.broadcast(last), F.lit(True)).select(  # one-row side
+        *full.columns, F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("resample")
+    )
     cells = planned.join(sums, [*keys, "alpha", "resample"], "left")
     per = cells.groupBy(*keys, "resample").agg(
         F.avg(F.coalesce("_m", "_full")).alias("estimate")

@@ -222,38 +222,47 @@ def calibration_pairs(df, id_col, entity_col, target: int, seed, oversample: flo
     Draws are hashed (left rank, right rank) tuples joined to hash-ranked rows,
     so no pair list is formed; only the small-population case enumerates.
     """
-    n, same = df.groupBy(entity_col).count().agg(
-        F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)
+    sizes = df.groupBy(entity_col).count()
+    n, same, biggest = sizes.agg(
+        F.sum("count"),
+        F.sum(F.col("count") * (F.col("count") - 1) / 2),
+        F.max_by(entity_col, "count"),
     ).first()
     admissible = int(n * (n - 1) // 2 - same)
     spark = df.sparkSession
     ids = hash_rank(df.select(id_col, entity_col).withColumn("_all", F.lit(0)), ["_all"], id_col, seed, "pair")
-    a = ids.select(
-        (F.col("rank") - 1).alias("a"), F.col(id_col).alias("ia"), F.col(entity_col).alias("ea")
-    )
-    b = ids.select(
-        (F.col("rank") - 1).alias("b"), F.col(id_col).alias("ib"), F.col(entity_col).alias("eb")
-    )
+
+    def side(k, i, e):
+        return ids.select((F.col("rank") - 1).alias(k), F.col(id_col).alias(i), F.col(entity_col).alias(e))
+
+    left, right = side("a", "ia", "ea"), side("b", "ib", "eb")
+    def distinct(slots):
+        pairs = slots.join(right, "b").filter(F.col("ea") != F.col("eb"))
+        return pairs.groupBy(
+            F.least("ia", "ib").alias("left_id"), F.greatest("ia", "ib").alias("right_id")
+        ).agg(F.min("draw").alias("draw"))
+
     if admissible <= target:
-        # few admissible pairs: enumerate the (bounded) population
-        slots = a.select("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
-        slots = slots.withColumn("draw", F.lit(0))
-    else:
-        accept = admissible / (n * n / 2)
-        draws = int(target * oversample / accept) + 64
+        # every admissible pair has a member outside the biggest entity, and
+        # those members times all rows are at most about twice the pairs
+        return distinct(
+            left.filter(F.col("ea") != F.lit(biggest)).select(
+                "*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"), F.lit(0).alias("draw")
+            )
+        ).select("left_id", "right_id")
+    draws = int(target * oversample / (admissible / (n * n / 2))) + 64
+    for _ in range(MAX_ROUNDS):
         slots = spark.range(draws).select(
             F.col("id").alias("draw"),
             H.draw_index(n, seed, "left", F.col("id")).alias("a"),
             H.draw_index(n, seed, "right", F.col("id")).alias("b"),
         )
-    pairs = (
-        slots.join(a.drop("rank"), "a") if "ia" not in slots.columns else slots
-    ).join(b, "b").filter((F.col("ea") != F.col("eb")) & (F.col("ia") != F.col("ib")))
-    pairs = pairs.groupBy(
-        F.least("ia", "ib").alias("left_id"), F.greatest("ia", "ib").alias("right_id")
-    ).agg(F.min("draw").alias("draw"))
-    # first accepted draws win, as in a sequential draw
-    return pairs.orderBy("draw", "left_id", "right_id").limit(target).select("left_id", "right_id")
+        pairs = distinct(slots.join(left, "a"))
+        # the first accepted draws win, so drawing more never changes the choice
+        if pairs.count() >= target:
+            return pairs.orderBy("draw", "left_id", "right_id").limit(target).select("left_id", "right_id")
+        draws *= 2
+    raise RuntimeError("draws did not fill the target")
 
 
 def assign_blocks(row_number: Column, block_size: int) -> tuple[Column, Column]:

@@ -1,7 +1,5 @@
 """Audit queries: duplicates, pairing, stores, digests, overlaps, ratios."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -354,7 +352,7 @@ def read_signal_store(spark, sf):
 )
 def write_perturbed(spark, sf):
     path = scratch(spark, "perturbed")
-    store.write_perturbed(perturb(signals(spark, sf), ("p09", "p11"), identity=False), path, n_strengths=8)
+    store.write_perturbed(perturb(signals(spark, sf), ("p09", "p11"), identity=False), path, ("p09", "p11"), n_strengths=8)
     records = store.read_perturbed(spark, path)
     cells = spark.read.parquet(f"{path}/cells")
     n = records.groupBy("perturbation_id").agg(

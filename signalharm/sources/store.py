@@ -39,14 +39,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return s.join(F.broadcast(a), F.lit(True))  # one-row side
 
 
-def write_perturbed(perturbed: DataFrame, path: str, n_strengths: int) -> None:
+def write_perturbed(perturbed: DataFrame, path: str, perturbations, n_strengths: int) -> None:
     """Records per strength, and a status per (source, perturbation)."""
     out = perturbed.drop("ref_axis", "ref_y", "regions")
     out.filter(F.col("y").isNotNull()).write.mode("overwrite").partitionBy("perturbation_id").parquet(f"{path}/records")
     records = out.sparkSession.read.parquet(f"{path}/records")
     done = records.groupBy("signal_id", "perturbation_id").agg(F.count_distinct("alpha").alias("n"))
-    planned = records.select("signal_id").distinct().join(
-        F.broadcast(records.select("perturbation_id").distinct()), F.lit(True)  # at most the catalogue
+    sources = out.select("signal_id").distinct()
+    planned = sources.select(
+        "signal_id", F.explode(F.array(*[F.lit(p) for p in perturbations])).alias("perturbation_id")
     )
     cells = planned.join(done, ["signal_id", "perturbation_id"], "left").select(
         "signal_id",
@@ -54,7 +55,7 @@ def write_perturbed(perturbed: DataFrame, path: str, n_strengths: int) -> None:
         F.when(F.col("n") == n_strengths, "complete").otherwise("failed").alias("status"),
     )
     cells.write.mode("overwrite").parquet(f"{path}/cells")
-    records.select("signal_id").distinct().write.mode("overwrite").parquet(f"{path}/sources")
+    sources.write.mode("overwrite").parquet(f"{path}/sources")
 
 
 def read_perturbed(spark: SparkSession, path: str) -> DataFrame:

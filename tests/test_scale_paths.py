@@ -107,6 +107,8 @@ def test_calibration_pairs(spark):
     df = spark.createDataFrame([(i, i % 4) for i in range(60)], "id long, entity long")
     p = splits.calibration_pairs(df, "id", "entity", 50, 3).toPandas()
     assert len(p.drop_duplicates()) == 50 and (p.left_id % 4 != p.right_id % 4).all() and (p.left_id < p.right_id).all()
+    nearly_all = splits.calibration_pairs(df, "id", "entity", 1340, 3)  # of 1,350
+    assert nearly_all.distinct().count() == 1340
     few = splits.calibration_pairs(df.limit(4), "id", "entity", 50, 3)
     assert few.count() == 6
 
