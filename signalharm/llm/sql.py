@@ -45,13 +45,13 @@ c AS (
 ),
 e AS (
   SELECT d.doc_id, w, CASE WHEN covered IS NULL THEN w ELSE list_select(w, list_sort(
-           list_filter(range(1, (len(w) + 1)::BIGINT), i -> NOT list_contains(covered, i)))) END AS kept,
+           list_filter(range(1, (len(w) + 1)::BIGINT), lambda i: NOT list_contains(covered, i)))) END AS kept,
          coalesce(list_sort(covered), []) AS covered
   FROM d LEFT JOIN c ON d.doc_id = c.doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, len(covered)::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256,
-       len(list_filter(range(1, (len(covered) + 1)::BIGINT), i -> i = 1 OR covered[i] <> covered[i - 1] + 1))::BIGINT AS n_spans
+       len(list_filter(range(1, (len(covered) + 1)::BIGINT), lambda i: i = 1 OR covered[i] <> covered[i - 1] + 1))::BIGINT AS n_spans
 FROM e
 """
 
