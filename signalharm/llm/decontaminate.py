@@ -35,6 +35,10 @@ def _least2(a: Column, b: Column) -> Column:
     return F.least(a, b)
 
 
+def _marked(name: str, length: int) -> Column:
+    return F.transform(name, lambda x: F.xxhash64(x, F.lit(length)))
+
+
 def _pairs(name: str, apart: int, f) -> Column:
     """``f`` of each element and the one ``apart`` after it."""
     n = F.greatest(F.size(name) - apart, F.lit(0))
@@ -62,7 +66,7 @@ def fingerprints(df: DataFrame, window: int, short: list[int]) -> DataFrame:
     parts = [F.col("mins")]
     for n in short:
         out = _spanning(out, f"short{n}", "h", n, _hash2)
-        parts.append(F.transform(f"short{n}", lambda x, n=n: F.xxhash64(x, F.lit(n))))
+        parts.append(_marked(f"short{n}", n))
     kept = [c for c in out.columns if c not in ("h", "grams", "mins", *(f"short{n}" for n in short))]
     return out.select(*kept, F.array_distinct(F.concat(*parts)).alias("prints"))
 

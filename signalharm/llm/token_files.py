@@ -248,7 +248,7 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool, only: list[int] | N
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if only is not None:
-        shards = shards.where(F.exists(F.lit(only), lambda i: i.between(F.col("first_id"), F.col("last_id"))))
+        shards = shards.where(F.exists(F.lit(only), lambda i: (i >= F.coalesce("first_id", i)) & (i <= F.col("last_id"))))  # null ids come first
     wanted = None if only is None else set(only)
     ddl = f"doc_id {id_type}, start long, n_tokens long, {'ids array<long>, ' if with_ids else ''}ids_crc32 long"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
