@@ -1,16 +1,19 @@
 """Weighted isotonic regression per key, exact, for many small or a few huge keys.
 
 Rows collapse to one point per (key, x) with a partial aggregate.  Keys whose
-points fit one task are fitted by a grouped map.  A larger key is cut into
-x-ranges that are pooled independently; pools are themselves points, so the
-cut is moved by half a range and pooling repeats until neither cut changes
-anything.  Pooling adjacent violators in any order gives the same fit, so the
-result is exact and no task ever holds more than ``limit`` points.
+points fit one task are fitted by a grouped map.  Only the keys above ``limit``
+are cut into x-ranges that are pooled independently; pools are themselves
+points, so neighbouring ranges whose facing pools are not in increasing order are
+united and pooled again.  When none are left the fit is increasing, and as
+pooling adjacent violators in any order gives the same fit, it is exact.
 """
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoints import ensure_checkpoint_dir
@@ -92,8 +95,11 @@ def _sizes(df: DataFrame, keys) -> tuple[int, int]:
     return top or 0, total or 0
 
 
-def _largest(df: DataFrame, keys) -> int:
-    return _sizes(df, keys)[0]
+def _split(pts: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Points of the keys within the limit, and those of the larger keys (at most total / limit keys)."""
+    large = pts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).count().filter(F.col("count") > limit).drop("count")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return pts.join(large, same, "left_anti"), pts.join(large, same, "left_semi")
 
 
 def _by_bucket(df: DataFrame, keys: list[str], run, schema: str, total: int) -> DataFrame:
@@ -108,15 +114,47 @@ def _by_bucket(df: DataFrame, keys: list[str], run, schema: str, total: int) ->
     return df.groupBy("_bucket").applyInPandas(drop_bucket, schema)
 
 
-def _with_chunk(df: DataFrame, keys, parts: int, shift: float, column: str = "x_lo") -> DataFrame:
+def _joined(df: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join on equal or both null columns that keeps one copy of them."""
+    own = other.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    return df.join(own, same, how).drop(*(f"_on_{c}" for c in on))
+
+
+def _with_chunk(df: DataFrame, keys, parts: int, column: str = "x_lo") -> DataFrame:
     """Number the x-range of each row; the small table of cuts is checkpointed so
     that a recomputed task sees the same cuts."""
-    probs = [(k + shift) / parts for k in range(1 if shift == 0 else 0, parts)]
+    probs = [k / parts for k in range(1, parts)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(column, probs, 10_000).alias("_cuts")).checkpoint()
-    joined = df.join(cuts, keys)
-    return joined.withColumn(
-        "_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(column)))
-    ).drop("_cuts")
+    joined = _joined(df, cuts, keys, "inner")
+    return joined.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
+
+
+def _to_merge(chunked: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _chunk, _next: the range that a range joins, where facing pools are not in increasing order.
+
+    One row per range is compared.  In a row of such ranges every second joins
+    the one before it, so what one task holds at most doubles.
+    """
+    level = F.col("swy") / F.col("sw")
+    ends = chunked.groupBy(*keys, "_chunk").agg(F.min_by(level, "x_lo").alias("_head"), F.max_by(level, "x_lo").alias("_tail"))
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    facing = ends.withColumn("_bad", F.coalesce(F.lag("_tail").over(order) >= F.col("_head"), F.lit(False)))
+    facing = facing.withColumn("_before", F.lag("_chunk").over(order))
+    facing = facing.withColumn("_run", F.sum((~F.col("_bad")).cast("int")).over(order))
+    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("_chunk"))
+    return facing.filter("_bad").withColumn("_place", place).filter("_place % 2 = 1").select(*keys, "_chunk", F.col("_before").alias("_next"))
+
+
+def _pool_large(pts: DataFrame, keys: list[str], limit: int, top: int) -> DataFrame:
+    chunked = _with_chunk(pts, keys, -(-2 * top // limit) + 1)
+    while True:
+        chunked = chunked.groupBy(*keys, "_chunk").applyInPandas(_merge([*keys, "_chunk"]), _schema(chunked)).checkpoint()
+        joins = _to_merge(chunked, keys).checkpoint()
+        if not joins.count():
+            return chunked.drop("_chunk")
+        chunk = F.coalesce("_next", "_chunk")
+        chunked = _joined(chunked, joins, [*keys, "_chunk"], "left").withColumn("_chunk", chunk).drop("_next")
 
 
 def pools(pts: DataFrame, keys: list[str], limit: int = LIMIT, sizes=None) -> DataFrame:
@@ -129,23 +167,9 @@ def pools(pts: DataFrame, keys: list[str], limit: int = LIMIT, sizes=None) -> Da
     if top <= limit:
         return _by_bucket(pts, keys, _merge(keys), _schema(pts), total)
     ensure_checkpoint_dir(pts.sparkSession)
-    current, size, quiet, shift = pts, pts.count(), 0, 0.0
-    while quiet < 2:
-        parts = -(-2 * top // limit) + 1
-        chunked = _with_chunk(current, keys, parts, shift)
-        out = (
-            chunked.groupBy(*keys, "_chunk")
-            .applyInPandas(_merge([*keys, "_chunk"]), _schema(chunked))
-            .drop("_chunk")
-            .checkpoint()
-        )
-        left = out.count()
-        quiet = quiet + 1 if left == size else 0
-        current, size, shift = out, left, 0.5 - shift
-        top = _largest(current, keys)
-        if top <= limit:
-            return _by_bucket(current, keys, _merge(keys), _schema(current), left)
-    return current
+    pts = pts.checkpoint()
+    small, large = _split(pts, keys, limit)
+    return _by_bucket(small, keys, _merge(keys), _schema(pts), total).unionByName(_pool_large(large, keys, limit, top))
 
 
 def fit_points(pts: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
@@ -153,8 +177,11 @@ def fit_points(pts: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame
     top, total = _sizes(pts, keys)
     if top <= limit:
         return _by_bucket(pts, keys, _fit_points(keys), _schema(pts, "fit double"), total)
+    ensure_checkpoint_dir(pts.sparkSession)
     pts = pts.checkpoint()
-    blocks = pools(pts, keys, limit).select(*keys, "x_lo", (F.col("swy") / F.col("sw")).alias("fit"))
+    small, pts = _split(pts, keys, limit)
+    fitted_small = _by_bucket(small, keys, _fit_points(keys), _schema(pts, "fit double"), total)
+    blocks = _pool_large(pts, keys, limit, top).select(*keys, "x_lo", (F.col("swy") / F.col("sw")).alias("fit"))
     parts = -(-2 * top // limit) + 1
     tagged = pts.select("*", F.lit(None).cast("double").alias("fit"))
     markers = blocks.select(
@@ -165,7 +192,7 @@ def fit_points(pts: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame
     )
     # the block of a point is the last block that starts at or before it: carry
     # the marker forward inside each x-range, then across ranges
-    both = _with_chunk(tagged.unionByName(markers), keys, parts, 0.0).checkpoint()
+    both = _with_chunk(tagged.unionByName(markers), keys, parts).checkpoint()
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_p=pdf["sw"].notna()).sort_values(["x_lo", "_p"], kind="stable")
@@ -181,12 +208,13 @@ def fit_points(pts: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame
     before = F.element_at(
         F.filter("_heads", lambda h: h["_chunk"] < F.col("_chunk")), -1
     )["_last"]
-    return (
+    large = (
         filled.filter(F.col("sw").isNotNull())
-        .join(heads, keys)
+        .transform(lambda df: _joined(df, heads, keys, "inner"))
         .withColumn("fit", F.coalesce("fit", F.when(F.size(F.filter("_heads", lambda h: h["_chunk"] < F.col("_chunk"))) > 0, before)))
         .drop("_chunk", "_heads")
     )
+    return fitted_small.unionByName(large)
 
 
 def isotonic_fit(

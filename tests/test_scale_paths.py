@@ -48,6 +48,29 @@ def test_isotonic_monotone_hot_key(spark):
     assert np.allclose(got.fit, got.y) and len(got) == 300
 
 
+@pytest.mark.parametrize("limit", [5, 50, isotonic.LIMIT])
+def test_isotonic_mixed_sizes(spark, limit):
+    """A key above the limit does not change how the others are fitted, however few points they have."""
+    rng = np.random.default_rng(7)
+    parts = [
+        pd.DataFrame({"k": "rising", "x": np.arange(200.0), "y": 2.0 * np.arange(200)}),
+        pd.DataFrame({"k": "noisy", "x": np.arange(150.0), "y": np.arange(150) + rng.normal(0, 30, 150)}),
+        pd.DataFrame({"k": "falling", "x": np.arange(60.0), "y": -np.arange(60.0)}),
+        pd.DataFrame({"k": "small", "x": [1.0, 2.0, 3.0], "y": [3.0, 2.0, 1.0]}),
+        pd.DataFrame({"k": "one", "x": [5.0], "y": [1.0]}),
+        pd.DataFrame({"k": None, "x": [1.0, 2.0], "y": [2.0, 1.0]}),
+    ]
+    pdf = pd.concat(parts, ignore_index=True)
+    pts = isotonic.points(spark.createDataFrame(pdf, "k string, x double, y double"), ["k"], "x", "y")
+    got = isotonic.fit_points(pts, ["k"], limit).toPandas()
+    assert len(got) == len(pdf)
+    for part in parts:
+        k = part.k.iloc[0]
+        g = got[got.k.isna() if k is None else got.k == k]
+        want = brute_isotonic(part.x.to_numpy(), part.y.to_numpy(), np.ones(len(part)))
+        assert np.allclose(g.fit, [want[v] for v in g.x_lo], atol=1e-9)
+
+
 def test_isotonic_agrees_with_mllib(spark):
     rows = [(0.0, 0.0), (1.0, 1.0), (0.0, 2.0), (1.0, 3.0)]
     df = spark.createDataFrame(rows, "x double, y double").withColumn("k", F.lit(1))
