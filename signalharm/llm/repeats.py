@@ -32,7 +32,7 @@ BLOCK_BYTES = 4 << 20
 STEP = 1 << 17
 LAST = np.iinfo(np.int64).max
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Replies to blocks are broadcast up to this size; beyond it blocks and replies are shuffled.
+#: Bitmaps of shared anchors are broadcast up to this size; beyond it blocks and bitmaps are shuffled.
 BROADCAST_BYTES = 32 << 20
 
 Symbols = Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -221,16 +221,17 @@ def shared_anchors(blocks: DataFrame, symbols: Symbols, length: int, gram: int,
     return stored(replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared")), "shared-anchors")
 
 
-def with_replies(blocks: DataFrame, replies: DataFrame, size: F.Column, kind: str = "inner") -> DataFrame:
-    """Blocks and the replies to them; replies are broadcast if they have fewer than BROADCAST_BYTES bytes."""
-    total = replies.agg(F.sum(size)).first()[0] or 0
-    return blocks.join(broadcast(replies) if total <= BROADCAST_BYTES else replies, "block", kind)
+def with_shared(blocks: DataFrame, shared: DataFrame) -> DataFrame:
+    """Blocks and their bitmaps, a bit for each anchor; these are broadcast up to BROADCAST_BYTES."""
+    size = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + F.length(x["shared"]) + 16)
+    total = shared.agg(F.sum(size)).first()[0] or 0
+    return blocks.join(broadcast(shared) if total <= BROADCAST_BYTES else shared, "block")
 
 
-def shared_runs(row: dict, symbols: Symbols, length: int, gram: int, buckets: int):
-    """The block of a row with ``shared``, and its runs with shared anchors: bucket, anchor, text, start, count, hashes."""
+def shared_runs(row: dict, symbols: Symbols, length: int, gram: int, buckets: int, hashed: bool):
+    """The block of a row with ``shared``, and its runs with shared anchors: bucket, anchor, text, start, count (, hashes)."""
     block = Block(row, symbols)
-    anchor, text, start, count, hashes = anchor_runs(block, length, gram, hashes=True)
+    anchor, text, start, count, hashes = anchor_runs(block, length, gram, hashed)
     value, _, cuts = distinct_anchors(anchor, text, block.owner, buckets)
     shared = np.zeros(len(value), bool)
     for reply in row["shared"]:

@@ -24,7 +24,7 @@ from signalharm.llm.repeats import (
     shared_anchors,
     shared_runs,
     spread,
-    with_replies,
+    with_shared,
     word_symbols,
 )
 
@@ -77,7 +77,7 @@ def find_covered(blocks: DataFrame, length: int, gram: int, buckets: int) -> Dat
     def entries(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                block, bucket, anchor, text, start, count, hashes = shared_runs(row, word_symbols, length, gram, buckets)
+                block, bucket, anchor, text, start, count, hashes = shared_runs(row, word_symbols, length, gram, buckets, True)
                 out = {c.split()[0]: [] for c in ENTRIES.split(", ")}
                 for b, s in pieces(bucket):
                     out["bucket"].append(b)
@@ -105,8 +105,7 @@ def find_covered(blocks: DataFrame, length: int, gram: int, buckets: int) -> Dat
         at = spread(start, count)[hit]
         return covered_rows(np.repeat(block, count)[hit], np.repeat(text, count)[hit], at, at + length)
 
-    joined = with_replies(blocks, shared, F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + F.length(x["shared"]) + 16))
-    sent = joined.mapInArrow(entries, ENTRIES)
+    sent = with_shared(blocks, shared).mapInArrow(entries, ENTRIES)
     return stored(sent.groupBy("bucket").applyInArrow(extended, COVERED), "covered")
 
 
@@ -119,8 +118,7 @@ def of_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def with_covered(blocks: DataFrame, covered: DataFrame) -> DataFrame:
     lists = covered.groupBy("block").agg(F.collect_list(F.struct("texts", "begins", "ends")).alias("covered"))
-    size = F.aggregate("covered", F.lit(0).cast("long"), lambda a, x: a + 3 * F.length(x["texts"]) + 16)
-    return with_replies(blocks, stored(lists, "covered-lists"), size, "left")
+    return blocks.join(stored(lists, "covered-lists"), "block", "left")
 
 
 def remove_repeated_passages(

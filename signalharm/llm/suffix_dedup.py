@@ -29,13 +29,13 @@ from signalharm.llm.repeats import (
     shared_runs,
     spread,
     windows,
-    with_replies,
+    with_shared,
 )
 from signalharm.llm.substring_dedup import COVERED, covered_rows, of_block, pieces, with_covered
 
 LENGTH = 50
 GRAM = 16
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Suffixes of one batch, about.
 BATCH = 1 << 20
 ENTRIES = "bucket int, block long, owners binary, texts binary, starts binary, counts binary, body binary"
@@ -106,7 +106,7 @@ def find_covered(blocks: DataFrame, length: int, gram: int, buckets: int, batch_
         zstd = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
-                block, bucket, _, text, start, count, _ = shared_runs(row, byte_symbols, length, gram, buckets)
+                block, bucket, _, text, start, count, _ = shared_runs(row, byte_symbols, length, gram, buckets, False)
                 body = np.frombuffer(block.body, np.uint8)
                 out = {c.split()[0]: [] for c in ENTRIES.split(", ")}
                 for b, s in pieces(bucket):
@@ -151,8 +151,7 @@ def find_covered(blocks: DataFrame, length: int, gram: int, buckets: int, batch_
             found.append((np.repeat(block[own], count[own])[hit], np.repeat(text[own], count[own])[hit], at, at + length))
         return covered_rows(*(np.concatenate(x) for x in zip(*found)))
 
-    joined = with_replies(blocks, shared, F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + F.length(x["shared"]) + 16))
-    sent = joined.mapInArrow(entries, ENTRIES)
+    sent = with_shared(blocks, shared).mapInArrow(entries, ENTRIES)
     return stored(sent.groupBy("bucket").applyInArrow(scanned, COVERED), "covered")
 
 
