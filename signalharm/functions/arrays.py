@@ -36,7 +36,8 @@ def total(a) -> Column:
 
 
 def mean(a) -> Column:
-    return let(a, lambda v: total(v) / F.size(v))
+    """Null for an empty array."""
+    return let(a, lambda v: F.try_divide(total(v), F.size(v)))
 
 
 def dot(a, b) -> Column:
@@ -48,7 +49,8 @@ def sum_squares(a) -> Column:
 
 
 def rms(a) -> Column:
-    return let(a, lambda v: F.sqrt(sum_squares(v) / F.size(v)))
+    """Null for an empty array."""
+    return let(a, lambda v: F.sqrt(F.try_divide(sum_squares(v), F.size(v))))
 
 
 def centre(a) -> Column:

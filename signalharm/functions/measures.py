@@ -41,7 +41,7 @@ def _clip(c) -> Column:
 
 
 def mse(p: Pair) -> Column:
-    return A.sum_squares(F.zip_with(p.ref_y, p.y, lambda a, b: b - a)) / F.size(p.ref_y)
+    return F.try_divide(A.sum_squares(F.zip_with(p.ref_y, p.y, lambda a, b: b - a)), F.size(p.ref_y))
 
 
 def rmse(p: Pair) -> Column:
@@ -49,7 +49,7 @@ def rmse(p: Pair) -> Column:
 
 
 def mae(p: Pair) -> Column:
-    return A.total(F.zip_with(p.ref_y, p.y, lambda a, b: F.abs(b - a))) / F.size(p.ref_y)
+    return F.try_divide(A.total(F.zip_with(p.ref_y, p.y, lambda a, b: F.abs(b - a))), F.size(p.ref_y))
 
 
 def nmse(p: Pair) -> Column:

@@ -218,9 +218,9 @@ def near_duplicates(
     reps = snv.groupBy("v", "n").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("m"))
 
     def cell(k):
-        size = F.floor(F.col("n") / segments).cast("int")
+        size = F.greatest(F.floor(F.col("n") / segments), F.lit(1)).cast("int")  # short vectors have fewer segments
         width = F.lit(threshold) * F.sqrt(F.col("n") / size) + 1e-12
-        return F.floor(A.mean(F.slice("v", F.lit(k) * size + 1, size)) / width).cast("long")
+        return F.coalesce(F.floor(A.mean(F.slice("v", F.lit(k) * size + 1, size)) / width).cast("long"), F.lit(0))
 
     cells = A.pin(reps, {"c": F.array(*[cell(k) for k in range(segments)])})
     probes = cells

@@ -1,6 +1,7 @@
 """Measure tables: regions, matched peaks, long-form vectors, oriented harm."""
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ def region_conflicts(df: DataFrame) -> DataFrame:
 
 def snr(df: DataFrame) -> DataFrame:
     """Three signal-to-noise ratios; null without exactly one region per role,
-    with fewer than two noise points or with constant noise."""
+    with fewer than two noise points, with constant noise, or where the noise or
+    reference region touches the signal region."""
 
     def nodes(role):
         only = F.filter("regions", lambda r: r["role"] == role)
@@ -73,7 +75,14 @@ def snr(df: DataFrame) -> DataFrame:
             "_w": A.node_widths(xs("_s")),
         }
     )
-    ok = (F.size("_n") >= 2) & (F.col("_ns") > 0)
+    def touches(role):
+        only = F.filter("regions", lambda r: r["role"] == role)
+        return F.exists(
+            F.filter("regions", lambda r: r["role"] == "signal"),
+            lambda a: F.exists(only, lambda b: (a["lo"] <= b["hi"]) & (b["lo"] <= a["hi"])),
+        )
+
+    ok = (F.size("_n") >= 2) & (F.col("_ns") > 0) & ~touches("noise")
     area = A.dot(F.col("_w"), F.transform(ys("_s"), lambda v: v - F.col("_nm")))
     return df.withColumns(
         {
@@ -83,7 +92,7 @@ def snr(df: DataFrame) -> DataFrame:
                 area / (F.col("_ns") * F.sqrt(A.sum_squares("_w"))),
             ),
             "snr_mean": F.when(
-                (F.size("_r") >= 2) & (F.col("_rs") > 0),
+                (F.size("_r") >= 2) & (F.col("_rs") > 0) & ~touches("reference"),
                 (A.mean(ys("_s")) - F.col("_rm")) / F.col("_rs"),
             ),
         }
@@ -192,3 +201,20 @@ def band_join(left: DataFrame, right: DataFrame, key: str, tolerance: float) ->
     b = right.select(key, F.col("pos").alias("cand_pos"), bucket.alias("_b"))
     distance = F.abs(F.col("cand_pos") - F.col("ref_pos"))
     return a.join(b, [key, "_b"]).filter(distance <= tolerance).drop("_b").withColumn("distance", distance)
+
+
+TIE_DIGITS = 9
+
+
+def settled(harms: DataFrame, keys: list[str], column: str = "x", digits: int = TIE_DIGITS) -> DataFrame:
+    """Make harms that differ by less than rounding noise equal, whatever their unit.
+
+    Values become multiples of 10 ** -``digits`` times the largest harm of their
+    keys, rounded down to a power of ten.  Scaling all signals scales the
+    multiples alike, so ranks and ties stay.
+    """
+    top = harms.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.abs(column)).alias("_top"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    parts = F.pow(F.lit(10.0), digits - F.floor(F.log10("_top")))
+    value = F.when(F.col("_top") > 0, F.round(F.col(column) * parts) / parts).otherwise(F.col(column))
+    return harms.join(top, same).withColumn(column, value).drop("_top", *(f"_{k}" for k in keys))

@@ -208,8 +208,12 @@ def broadened(axis, y, peaks, alpha) -> Column:
     )
 
 
-def false_centres(signal_id, axis, peaks, seed=SEED, limit=PROPOSAL_LIMIT) -> Column:
-    """Uniform proposals kept while at least two FWHM from peaks and each other."""
+def false_centres(signal_id, axis, peaks, seed=SEED, limit=PROPOSAL_LIMIT, strongest=max(ALPHAS)) -> Column:
+    """Uniform proposals kept while at least two FWHM from peaks and each other.
+
+    Enough for ``strongest``, unless ``limit`` proposals do not yield them: then
+    the perturbation has no result for that signal.
+    """
     return A.lets(
         {
             "id": signal_id,
@@ -217,7 +221,7 @@ def false_centres(signal_id, axis, peaks, seed=SEED, limit=PROPOSAL_LIMIT) -> Co
             "hi": F.element_at(axis, -1),
             "pos": F.transform(peaks, lambda p: p["pos"]),
             "r": 2.0 * median_fwhm(peaks),
-            "n": F.floor(max(ALPHAS) * F.size(peaks)).cast("int"),
+            "n": F.floor(F.lit(float(strongest)) * F.size(peaks)).cast("int"),
         },
         lambda s: F.aggregate(
             F.sequence(F.lit(0), F.lit(limit - 1)),
@@ -300,7 +304,7 @@ def perturb(
     df = df.withColumns(state)
     if "p05" in wanted:
         df = df.withColumn(
-            "_centres", false_centres(F.col("signal_id"), F.col("axis"), F.col("_peaks"), seed)
+            "_centres", false_centres(F.col("signal_id"), F.col("axis"), F.col("_peaks"), seed, strongest=max(alphas))
         )
     # the explode is also the barrier that keeps the state above from being
     # recomputed for every strength
@@ -331,7 +335,7 @@ def perturb(
         "p04": lambda: F.when(has_peaks, minus(F.lit(1.0), weak)),
         "p05": lambda: F.when(
             has_peaks
-            & (F.size("_centres") >= F.floor(max(ALPHAS) * F.size("_peaks"))),
+            & (F.size("_centres") >= F.floor(F.lit(float(max(alphas))) * F.size("_peaks"))),
             with_false_peaks(F.col("axis"), y, F.col("_peaks"), F.col("_centres"), a),
         ),
         "p06": lambda: add(baseline_col, a),

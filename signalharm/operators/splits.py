@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from .checkpoints import ensure_checkpoint_dir
 
-MAX_ROUNDS = 64
-
 
 def leakage_components(edges: DataFrame, id_col: str, hub_col: str) -> DataFrame:
     """Union ids that share any hub; the component is its smallest id.
@@ -19,7 +17,7 @@ def leakage_components(edges: DataFrame, id_col: str, hub_col: str) -> DataFrame
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.select(id_col, hub_col).distinct().checkpoint()
     labels = edges.select(id_col).distinct().withColumn("label", F.col(id_col))
-    for _ in range(MAX_ROUNDS):
+    while True:
         hubs = (
             edges.join(labels, id_col).groupBy(hub_col).agg(F.min("label").alias("hub_label"))
         )
@@ -39,7 +37,6 @@ def leakage_components(edges: DataFrame, id_col: str, hub_col: str) -> DataFrame
         labels = step.select(id_col, F.col("new").alias("label"))
         if changed == 0:
             return labels.withColumnRenamed("label", "component_id")
-    raise RuntimeError("components did not converge")
 
 
 def eligible_classes(df: DataFrame, id_col: str, class_col: str, group_col: str) -> DataFrame:
@@ -251,7 +248,7 @@ def calibration_pairs(df, id_col, entity_col, target: int, seed, oversample: flo
             )
         ).select("left_id", "right_id")
     draws = int(target * oversample / (admissible / (n * n / 2))) + 64
-    for _ in range(MAX_ROUNDS):
+    while True:
         slots = spark.range(draws).select(
             F.col("id").alias("draw"),
             H.draw_index(n, seed, "left", F.col("id")).alias("a"),
@@ -262,7 +259,6 @@ def calibration_pairs(df, id_col, entity_col, target: int, seed, oversample: flo
         if pairs.count() >= target:
             return pairs.orderBy("draw", "left_id", "right_id").limit(target).select("left_id", "right_id")
         draws *= 2
-    raise RuntimeError("draws did not fill the target")
 
 
 def assign_blocks(row_number: Column, block_size: int) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.measures import MEASURES, Pair
 from . import align, infer
-from .measure import measure_vector, oriented
+from .measure import measure_vector, oriented, settled
 from .perturb import perturb
 
 
@@ -21,7 +21,7 @@ def metric_harm(signals: DataFrame, measures, perturbations, cluster: str = "cla
     harm = oriented(F.col("output_id"), F.col("_base")[F.col("output_id")], F.col("value"))
     return long.groupBy(
         F.col("output_id").alias("metric"), F.col(cluster).alias("cluster_id"), "perturbation_id", "alpha"
-    ).agg(F.avg(harm).alias("x"), (F.count(harm) == F.count(F.lit(1))).alias("complete"))
+    ).agg(F.avg(harm).alias("x"), (F.count(harm) == F.count(F.lit(1))).alias("complete")).transform(settled, ["metric"])
 
 
 def evaluate(
@@ -86,7 +86,7 @@ def evaluate(
         F.lit(1).alias("family"), F.col("contrast").alias("hypothesis"), "p_value", F.col("observed").alias("contrast")
     )
     slots = [f"{m}__{s}" for m in measures if m != reference for s in ("ag", "oc")]
-    planned = tested.limit(1).select("family", F.explode(F.array(*[F.lit(s) for s in slots])).alias("hypothesis"))
+    planned = signals.sparkSession.range(1).select(F.lit(1).alias("family"), F.explode(F.array(*[F.lit(s) for s in slots])).alias("hypothesis"))
     holm = infer.holm_family(planned, tested, ["family"], alpha)
     side = F.substring_index("hypothesis", "__", -1)
     metric = F.expr("left(hypothesis, length(hypothesis) - 4)")

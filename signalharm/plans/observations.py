@@ -15,7 +15,7 @@ from .tables import signals
 
 OUTPUTS = ("mse", "nmse", "sam", "pearson", "wasserstein_1", "structure_to_noise")
 GRID = (5.0, 1.0, 56)  # common grid 5..60, inside every perturbed axis
-DIGITS = 9  # harms are stored with nine decimals, so equal harms compare equal
+DIGITS = 9  # accuracies are shares: a difference of them is settled at nine decimals
 
 
 def grid_hits(df: DataFrame) -> DataFrame:
@@ -92,6 +92,12 @@ def identification(spark: SparkSession, sf: str, adapted: bool = False, families
     return tasks.topk(tasks.rank_classes(scores, whole), whole)
 
 
+def sql_settled(value: str, keys: str) -> str:
+    top = f"max(abs({value})) OVER (PARTITION BY {keys})"
+    parts = f"pow(10.0::DOUBLE, 9 - floor(log10({top})))"
+    return f"(CASE WHEN {top} > 0 THEN round({value} * {parts}) / {parts} ELSE {value} END)"
+
+
 def class_accuracy(outcomes: DataFrame) -> DataFrame:
     """Accuracy per (seed, class, condition)."""
     return outcomes.groupBy("seed", "true_class", "perturbation_id", "alpha").agg(
@@ -136,7 +142,8 @@ def metric_harm(spark, sf, outputs=OUTPUTS, families=T.FAMILIES) -> DataFrame:
             "perturbation_id",
             "alpha",
         )
-        .agg(F.round(F.avg("h"), DIGITS).alias("x"))
+        .agg(F.avg("h").alias("x"))
+        .transform(M.settled, ["metric"])
     )
 
 
@@ -201,7 +208,8 @@ ml AS (SELECT {_CELL}, metric, h FROM mh, LATERAL (SELECT unnest([
   {{'metric': 'mse', 'h': mse}}, {{'metric': 'nmse', 'h': nmse}}, {{'metric': 'sam', 'h': sam}},
   {{'metric': 'pearson', 'h': 1 - pearson}}, {{'metric': 'wasserstein_1', 'h': wasserstein_1}},
   {{'metric': 'structure_to_noise', 'h': stn_harm}}], recursive := true))),
-xh AS MATERIALIZED (SELECT metric, class_id AS cluster_id, perturbation_id, alpha, round(avg(h), {DIGITS}) AS x FROM ml GROUP BY ALL)"""
+xr AS (SELECT metric, class_id AS cluster_id, perturbation_id, alpha, avg(h) AS x FROM ml GROUP BY ALL),
+xh AS MATERIALIZED (SELECT metric, cluster_id, perturbation_id, alpha, {sql_settled('x', 'metric')} AS x FROM xr)"""
 
 SQL_VECTORS = f"""
 gt AS (SELECT k::BIGINT AS k, (5 + k)::DOUBLE AS t FROM range(0, 56) r(k)),

@@ -6,6 +6,7 @@ from ..functions import arrays as A
 from ..functions.measures import structure_to_noise
 from ..functions.peaks import detect_peaks, peak_components, range_threshold
 from ..operators import align as L
+from ..operators import measure as M
 from ..operators import mechanism, models
 from ..operators import perturb as P
 from ..operators import signals as S
@@ -219,7 +220,8 @@ _GM = """gp AS MATERIALIZED (SELECT a.signal_id, a.class_id AS cluster_id, a.per
 @query(
     "bridges",
     f"WITH {O.sql_observations()}, {_GM}, gs AS (SELECT signal_id, cluster_id, perturbation_id, alpha, avg((c - r) * (c - r)) AS h FROM gp GROUP BY ALL),"
-    + f""" gx AS (SELECT 'common_grid_mse' AS metric, cluster_id, perturbation_id, alpha, round(avg(h), {O.DIGITS}) AS x FROM gs GROUP BY ALL),
+    + f""" xg AS (SELECT cluster_id, perturbation_id, alpha, avg(h) AS x FROM gs GROUP BY ALL),
+gx AS (SELECT 'common_grid_mse' AS metric, cluster_id, perturbation_id, alpha, {O.sql_settled('x', '1')} AS x FROM xg),
 bo_ AS MATERIALIZED (SELECT * FROM obs WHERE metric = 'wasserstein_1' UNION ALL SELECT metric, cluster_id, perturbation_id, alpha, x, y FROM gx JOIN yh USING (cluster_id, perturbation_id, alpha)),"""
     + O.sql_nodes("bo_")
     + ","
@@ -234,8 +236,8 @@ def bridges(spark, sf):
     """Native transport measure against the squared error on the common grid."""
     g = grid_pairs(spark, sf)
     h = A.sum_squares(F.zip_with("gr", "gc", lambda a, b: b - a)) / F.size("gr")
-    x = g.groupBy(F.col("class_id").alias("cluster_id"), "perturbation_id", "alpha").agg(F.round(F.avg(h), O.DIGITS).alias("x"))
-    mse = _attach(spark, sf, x.withColumn("metric", F.lit("common_grid_mse")))
+    x = g.groupBy(F.col("class_id").alias("cluster_id"), "perturbation_id", "alpha").agg(F.avg(h).alias("x"))
+    mse = _attach(spark, sf, M.settled(x.withColumn("metric", F.lit("common_grid_mse")), ["metric"]))
     w1 = O.observations(spark, sf).filter(F.col("metric") == "wasserstein_1")
     s = statistics(w1.unionByName(mse.select(w1.columns)).persist(), K)
     at = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
@@ -263,7 +265,8 @@ gn AS (SELECT signal_id, cluster_id, perturbation_id, alpha, u.variant, u.c - u.
  FROM gz JOIN gd USING (signal_id, cluster_id, perturbation_id, alpha))),
 ge AS (SELECT signal_id, cluster_id, perturbation_id, alpha, variant, avg(d * d) AS mse, avg(abs(d)) AS mae, max(abs(d)) AS peak FROM gn GROUP BY ALL),
 """
-    + f"""gl AS (SELECT variant, cluster_id, perturbation_id, alpha, 'mse' AS metric, round(avg(mse), {O.DIGITS}) AS x FROM ge GROUP BY ALL UNION ALL SELECT variant, cluster_id, perturbation_id, alpha, 'mae', round(avg(mae), {O.DIGITS}) FROM ge GROUP BY ALL),
+    + f"""xg AS (SELECT variant, cluster_id, perturbation_id, alpha, 'mse' AS metric, avg(mse) AS x FROM ge GROUP BY ALL UNION ALL SELECT variant, cluster_id, perturbation_id, alpha, 'mae', avg(mae) FROM ge GROUP BY ALL),
+gl AS (SELECT variant, metric, cluster_id, perturbation_id, alpha, {O.sql_settled('x', 'variant, metric')} AS x FROM xg),
 vo AS MATERIALIZED (SELECT variant, metric, cluster_id, perturbation_id, alpha, x, y FROM gl JOIN yh USING (cluster_id, perturbation_id, alpha)),"""
     + O.sql_nodes("vo", "variant, metric")
     + ","
@@ -296,7 +299,8 @@ def sensitivity(spark, sf):
     x = (
         d.select("variant", "cluster_id", "perturbation_id", "alpha", F.inline(values))
         .groupBy("variant", "metric", "cluster_id", "perturbation_id", "alpha")
-        .agg(F.round(F.avg("h"), O.DIGITS).alias("x"))
+        .agg(F.avg("h").alias("x"))
+        .transform(M.settled, ["variant", "metric"])
     )
     s = statistics(_attach(spark, sf, x).persist(), ["variant", "metric"])
     return s.select("variant", "metric", R(F.col("ag")).alias("ag"), R9(F.col("oc")).alias("oc"))

@@ -24,7 +24,7 @@ def _entries(lines, prefix: int) -> Column:
     pairs = F.transform(
         F.filter(lines, lambda l: F.contains(l, F.lit("="))),
         lambda l: F.struct(
-            F.substring_index(F.substring(l, prefix + 1, 1 << 20), "=", 1).alias("key"),
+            F.substring_index(F.substr(l, F.lit(prefix + 1)), "=", 1).alias("key"),
             F.trim(F.regexp_replace(l, r"^[^=]*=", "")).alias("value"),
         ),
     )
