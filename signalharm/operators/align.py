@@ -383,7 +383,11 @@ def rank_stability(df: DataFrame, keys: list[str], left: str, right: str, smalle
 
 
 def decision_profile(df: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """favourable / adverse / unresolved per statistic and the joint verdict."""
+    """favourable / adverse / unresolved per statistic and the joint verdict.
+
+    ``adjusted_ag`` and ``adjusted_oc`` are family-wise adjusted p-values: a
+    verdict needs a rejection inside its Holm family and the sign of the contrast.
+    """
 
     def verdict(contrast, p):
         return (
@@ -392,7 +396,7 @@ def decision_profile(df: DataFrame, alpha: float = 0.05) -> DataFrame:
             .otherwise("unresolved")
         )
 
-    df = df.withColumns({"ag_verdict": verdict("d_ag", "p_ag"), "oc_verdict": verdict("d_oc", "p_oc")})
+    df = df.withColumns({"ag_verdict": verdict("d_ag", "adjusted_ag"), "oc_verdict": verdict("d_oc", "adjusted_oc")})
     ag, oc = F.col("ag_verdict") == "favourable", F.col("oc_verdict") == "favourable"
     return df.withColumn(
         "profile",

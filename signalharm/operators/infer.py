@@ -204,8 +204,12 @@ def sign_flip(
     return counted.select(F.inline(rows))
 
 
+#: An exact test lists every sign pattern: about a million rows a key at most.
+MAX_EXACT_UNITS = 20
+
+
 def sign_flip_exact(values: DataFrame, keys: list[str], unit: str, column: str) -> DataFrame:
-    """All 2^n sign patterns of the mean; n units per key, meant for a handful of seeds."""
+    """All 2^n sign patterns of the mean; n units per key, refused above MAX_EXACT_UNITS."""
     g = values.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(unit), F.col(column).alias("v")))).alias("d")
     )
@@ -214,7 +218,11 @@ def sign_flip_exact(values: DataFrame, keys: list[str], unit: str, column: str)
         *keys,
         "d",
         "observed",
-        F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2.0), F.size("d")) - 1).cast("int"))).alias("b"),
+        F.explode(
+            F.when(F.size("d") > MAX_EXACT_UNITS, F.raise_error(F.lit("too many units for an exact sign flip"))).otherwise(
+                F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2.0), F.size("d")) - 1).cast("long"))
+            )
+        ).alias("b"),
     )
     signed = F.aggregate(
         F.transform(

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA
@@ -46,7 +46,7 @@ def train_classifier(train: DataFrame, validation: DataFrame, label: str, k: int
             best = (c, accuracy, model)
     fit.unpersist()
     check.unpersist()
-    return Pipeline(stages=[reducer, best[2]]).fit(features(train).limit(1)), best[0], scores
+    return PipelineModel(stages=[reducer, best[2]]), best[0], scores
 
 
 def moments(df: DataFrame, x: str, y: str) -> tuple[int, np.ndarray]:

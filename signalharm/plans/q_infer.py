@@ -255,7 +255,7 @@ def sign_flip(spark, sf):
     return df.select("contrast", R(F.col("observed")).alias("observed"), "n_extreme", R(F.col("p_value")).alias("p_value"))
 
 
-_HOLM_SQL = """
+HOLM_SQL = """
 ho AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY p, hypothesis) AS holm_rank, count(*) OVER (PARTITION BY {k}) AS family_size FROM {t}),
 hr AS (SELECT *, max(least(1.0, (family_size - holm_rank + 1) * p)) OVER (PARTITION BY {k} ORDER BY p, hypothesis) AS adjusted_p FROM ho)"""
 
@@ -263,7 +263,7 @@ hr AS (SELECT *, max(least(1.0, (family_size - holm_rank + 1) * p)) OVER (PARTIT
 @query(
     "holm",
     f"WITH {SQL_FLIP}, hp AS (SELECT right(contrast, 2) AS statistic, contrast AS hypothesis, p_value AS p FROM fp),"
-    + _HOLM_SQL.format(k="statistic", t="hp")
+    + HOLM_SQL.format(k="statistic", t="hp")
     + " SELECT statistic, hypothesis, round(p, 6) AS p_value, round(adjusted_p, 6) AS adjusted_p, holm_rank::BIGINT AS holm_rank, family_size::BIGINT AS family_size, adjusted_p < 0.05 AS rejected FROM hr",
 )
 def holm(spark, sf):
@@ -289,7 +289,7 @@ _PLANNED = [f"{m}_{s}" for m in (*O.OUTPUTS, "peak_f1") if m != REF for s in ("a
 @query(
     "holm_family",
     f"WITH {SQL_FLIP}, pl AS (SELECT unnest({_PLANNED!r}) AS hypothesis), hp AS (SELECT 1 AS one, hypothesis, p_value, observed, coalesce(p_value, 1.0) AS p FROM pl LEFT JOIN fp ON contrast = hypothesis),"
-    + _HOLM_SQL.format(k="one", t="hp")
+    + HOLM_SQL.format(k="one", t="hp")
     + """ SELECT hypothesis, CASE WHEN p_value IS NULL THEN 'not_tested' ELSE 'tested' END AS state, round(p_value, 6) AS p_value, family_size::BIGINT AS family_size,
  CASE WHEN p_value IS NOT NULL THEN round(adjusted_p, 6) END AS adjusted_p, coalesce(adjusted_p < 0.05 AND p_value IS NOT NULL AND observed > 0, false) AS rejected FROM hr""",
 )

@@ -172,8 +172,6 @@ for _name, _op in (("p06", "+"), ("p07", "-")):
         baseline_col="baseline",
     )
 
-_ALL = ("p01", "p03", "p08", "p09", "p10", "p11", "p12")
-
 
 @query(
     "perturb_checks",

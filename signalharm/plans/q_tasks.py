@@ -17,7 +17,7 @@ from ..operators.quantiles import exact_quantiles
 from . import observations as O
 from . import sqltext as T
 from .q_align import K, R9, _SCOPES, _SQL_SCOPED, scoped, statistics
-from .q_infer import REF, SQL_FLIP, N_FLIPS, contrast_columns, wells, _WELLS
+from .q_infer import HOLM_SQL, REF, SQL_FLIP, N_FLIPS, contrast_columns, wells, _WELLS
 from .q_measures import pair
 from .q_splits import _EMB, SQL_QUERY_LIBRARY
 from .registry import query
@@ -512,35 +512,43 @@ def rank_stability(spark, sf):
     )
 
 
-_PROFILE = """
-pf AS (SELECT left(contrast, length(contrast) - 3) AS metric, max(observed) FILTER (right(contrast, 2) = 'ag') AS d_ag, max(observed) FILTER (right(contrast, 2) = 'oc') AS d_oc,
-  max(p_value) FILTER (right(contrast, 2) = 'ag') AS p_ag, max(p_value) FILTER (right(contrast, 2) = 'oc') AS p_oc FROM fp GROUP BY ALL),
-pv AS MATERIALIZED (SELECT *, CASE WHEN p_ag < 0.05 AND d_ag > 0 THEN 'favourable' WHEN p_ag < 0.05 AND d_ag < 0 THEN 'adverse' ELSE 'unresolved' END AS ag_verdict,
-  CASE WHEN p_oc < 0.05 AND d_oc > 0 THEN 'favourable' WHEN p_oc < 0.05 AND d_oc < 0 THEN 'adverse' ELSE 'unresolved' END AS oc_verdict FROM pf),
+_PROFILE = (
+    "hp AS (SELECT 1 AS panel_family, contrast AS hypothesis, p_value AS p, observed FROM fp),"
+    + HOLM_SQL.format(k="panel_family", t="hp")
+    + """,
+pf AS (SELECT left(hypothesis, length(hypothesis) - 3) AS metric, max(observed) FILTER (right(hypothesis, 2) = 'ag') AS d_ag, max(observed) FILTER (right(hypothesis, 2) = 'oc') AS d_oc,
+  max(p) FILTER (right(hypothesis, 2) = 'ag') AS p_ag, max(p) FILTER (right(hypothesis, 2) = 'oc') AS p_oc,
+  max(adjusted_p) FILTER (right(hypothesis, 2) = 'ag') AS adjusted_ag, max(adjusted_p) FILTER (right(hypothesis, 2) = 'oc') AS adjusted_oc FROM hr GROUP BY ALL),
+pv AS MATERIALIZED (SELECT *, CASE WHEN adjusted_ag < 0.05 AND d_ag > 0 THEN 'favourable' WHEN adjusted_ag < 0.05 AND d_ag < 0 THEN 'adverse' ELSE 'unresolved' END AS ag_verdict,
+  CASE WHEN adjusted_oc < 0.05 AND d_oc > 0 THEN 'favourable' WHEN adjusted_oc < 0.05 AND d_oc < 0 THEN 'adverse' ELSE 'unresolved' END AS oc_verdict FROM pf),
 pq AS MATERIALIZED (SELECT *, CASE WHEN ag_verdict = 'favourable' AND oc_verdict = 'favourable' THEN 'joint' WHEN ag_verdict = 'favourable' THEN 'ag_only' WHEN oc_verdict = 'favourable' THEN 'oc_only' ELSE 'none' END AS profile FROM pv)"""
+)
 
 
 def profiles(spark, sf):
     wide, how = contrast_columns(spark, sf)
-    p = I.sign_flip(wide, "cluster_id", how, "panel", N_FLIPS)
+    p = I.sign_flip(wide, "cluster_id", how, "panel", N_FLIPS).withColumn("panel_family", F.lit(1))
+    p = I.holm(p, ["panel_family"], hypothesis="contrast")
     metric = F.expr("left(contrast, length(contrast) - 3)").alias("metric")
 
     def at(stat, c):
         return F.max(F.when(F.right("contrast", F.lit(2)) == stat, F.col(c)))
 
     w = p.groupBy(metric).agg(
-        at("ag", "observed").alias("d_ag"), at("oc", "observed").alias("d_oc"), at("ag", "p_value").alias("p_ag"), at("oc", "p_value").alias("p_oc")
+        at("ag", "observed").alias("d_ag"), at("oc", "observed").alias("d_oc"), at("ag", "p_value").alias("p_ag"), at("oc", "p_value").alias("p_oc"),
+        at("ag", "adjusted_p").alias("adjusted_ag"), at("oc", "adjusted_p").alias("adjusted_oc"),
     )
     return L.decision_profile(w)
 
 
 @query(
     "decision_profile",
-    f"WITH {SQL_FLIP}, {_PROFILE} SELECT metric, round(p_ag, 6) AS p_ag, round(p_oc, 6) AS p_oc, ag_verdict, oc_verdict, profile FROM pq",
+    f"WITH {SQL_FLIP}, {_PROFILE} SELECT metric, round(p_ag, 6) AS p_ag, round(p_oc, 6) AS p_oc, round(adjusted_ag, 6) AS adjusted_ag, round(adjusted_oc, 6) AS adjusted_oc, ag_verdict, oc_verdict, profile FROM pq",
 )
 def decision_profile(spark, sf):
     return profiles(spark, sf).select(
-        "metric", R(F.col("p_ag")).alias("p_ag"), R(F.col("p_oc")).alias("p_oc"), "ag_verdict", "oc_verdict", "profile"
+        "metric", R(F.col("p_ag")).alias("p_ag"), R(F.col("p_oc")).alias("p_oc"),
+        R(F.col("adjusted_ag")).alias("adjusted_ag"), R(F.col("adjusted_oc")).alias("adjusted_oc"), "ag_verdict", "oc_verdict", "profile"
     )
 
 

@@ -63,8 +63,8 @@ def read_perturbed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, columns) -> None:
-    """CSV (empty text for null) and JSON lines with a fixed column order."""
-    out = df.select(*columns)
+    """CSV (empty text for null) and JSON lines, columns as named and rows in their order."""
+    out = df.select(*columns).orderBy(*columns)
     out.write.mode("overwrite").csv(f"{path}/csv", header=True, nullValue="", emptyValue="")
     out.write.mode("overwrite").json(f"{path}/json")
 

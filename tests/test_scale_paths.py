@@ -153,3 +153,87 @@ def test_pls_against_numpy(spark):
     t = xs @ w
     want = np.outer(w, ys.T @ t / (t @ t)) * y.std(0, ddof=1) / x.std(0, ddof=1)[:, None]
     assert np.allclose(one_b, want)
+
+
+def _bad_rows(spark):
+    """Signals of 0 to 3 points, constant, with a repeated node, beside good ones."""
+    rng = np.random.default_rng(5)
+    good = [(i, [float(k) for k in range(16)], rng.normal(size=16).tolist()) for i in range(6)]
+    bad = [(100 + n, [float(k) for k in range(n)], [float(k * k) for k in range(n)]) for n in range(4)]
+    bad += [(110, [0.0, 1.0, 2.0, 3.0, 4.0], [2.0] * 5), (111, [0.0, 1.0, 1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 0.0])]
+    return spark.createDataFrame(good + bad, "signal_id long, axis array<double>, y array<double>"), {g[0] for g in good}
+
+
+def test_bad_signals_have_states(spark):
+    from signalharm.functions.measures import MEASURES, Pair
+
+    df, good = _bad_rows(spark)
+    pair = Pair(F.col("axis"), F.col("y"), F.col("axis"), F.col("y"))
+    names = [n for n in ("mse", "rmse", "mae", "nmse", "pearson") if n in MEASURES]
+    got = {r.signal_id: r for r in df.select("signal_id", *[MEASURES[n].expression(pair).cast("double").alias(n) for n in names]).collect()}
+    assert all(got[i].mse == 0 for i in good) and got[100].mse is None and got[100].rmse is None
+    copies = df.union(df.filter("signal_id < 2").withColumn("signal_id", F.col("signal_id") + 50))
+    pairs = {(r.left_id, r.right_id) for r in audit.near_duplicates(copies).collect()}
+    assert {(0, 0), (1, 1)} <= pairs
+
+
+def test_snr_states(spark):
+    from signalharm.operators.measure import snr
+
+    x = [float(k) for k in range(20)]
+    y = [float((k * 7) % 5) for k in range(20)]
+    region = lambda role, lo, hi: (role, float(lo), float(hi))
+    rows = [
+        (1, x, y, [region("signal", 0, 4), region("noise", 8, 12), region("reference", 14, 18)]),
+        (2, x, y, [region("signal", 0, 8), region("noise", 8, 12), region("reference", 14, 18)]),
+        (3, x, y, [region("signal", 0, 4), region("noise", 30, 40), region("reference", 4, 6)]),
+        (4, x, y, [region("signal", 50, 60), region("noise", 8, 12), region("reference", 14, 18)]),
+    ]
+    schema = "signal_id long, axis array<double>, y array<double>, regions array<struct<role string, lo double, hi double>>"
+    got = {r.signal_id: (r.snr_peak, r.snr_area, r.snr_mean) for r in snr(spark.createDataFrame(rows, schema)).collect()}
+    assert None not in got[1]
+    assert got[2][:2] == (None, None) and got[2][2] is not None  # the noise touches the signal
+    assert got[3] == (None, None, None)  # no noise nodes; the reference touches
+    assert got[4][:2] == (None, None)
+
+
+def test_false_peaks_above_the_default_grid(spark):
+    from signalharm.operators.perturb import perturb
+
+    x = [float(k) for k in range(400)]
+    y = [float(np.exp(-0.5 * ((k - 100) / 2) ** 2) + np.exp(-0.5 * ((k - 150) / 2) ** 2) + np.exp(-0.5 * ((k - 200) / 2) ** 2) + 0.5 * np.exp(-0.5 * ((k - 300) / 2) ** 2)) for k in range(400)]
+    df = spark.createDataFrame([(1, x, y)], "signal_id long, axis array<double>, y array<double>")
+    got = {r.alpha: sum(r.y) - sum(r.ref_y) for r in perturb(df, ("p05",), (0.5, 0.8, 1.0), identity=False).collect()}
+    assert got[1.0] > 1.2 * got[0.8] > 1.2 * got[0.5] > 0
+
+
+def test_settled_harms_do_not_depend_on_the_unit(spark):
+    from signalharm.operators.measure import settled
+
+    rows = [("a", 0.1 + 0.2, 1), ("a", 0.3, 2), ("a", 0.4, 3), ("b", 0.0, 4), (None, 2.0, 5)]
+    df = spark.createDataFrame(rows, "metric string, x double, i int")
+    for scale in (1.0, 1e-12, 1e12):
+        got = {r.i: r.x / scale for r in settled(df.withColumn("x", F.col("x") * scale), ["metric"]).collect()}
+        assert got[1] == got[2] and got[3] > got[2] and got[4] == 0 and abs(got[5] - 2) < 1e-9
+
+
+def test_register_perturbation(spark):
+    from signalharm.operators import perturb as P
+
+    P.register_perturbation("x01", lambda a: F.transform("ref_y", lambda v: v * (1 - a)))
+    try:
+        df = spark.createDataFrame([(1, [0.0, 1.0], [2.0, 4.0])], "signal_id long, axis array<double>, y array<double>")
+        got = {(r.perturbation_id, r.alpha): r.y for r in P.perturb(df, ("x01",), (0.5,)).collect()}
+        assert got["x01", 0.5] == [1.0, 2.0]
+        with pytest.raises(ValueError):
+            P.perturb(df, ("x02",))
+    finally:
+        P.CUSTOM.pop("x01")
+
+
+def test_exact_sign_flip_refuses_many_units(spark):
+    from signalharm.operators import infer
+
+    df = spark.range(40).select(F.lit("k").alias("k"), F.col("id").alias("u"), F.lit(1.0).alias("v"))
+    with pytest.raises(Exception, match="too many units"):
+        infer.sign_flip_exact(df, ["k"], "u", "v").collect()
