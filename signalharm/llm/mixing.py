@@ -110,6 +110,8 @@ def mixture(
     digits = 1
     while total > CELL_ROWS * 16**digits:
         digits += 1
+    if weights is not None and counts.join(weights, "source", "left_anti").limit(1).count():
+        raise ValueError("a source has no weight")
     plan = shares(weights or tempered_weights(counts, power), slots).join(counts, "source")
     plan = stored(plan, "source-plan")
     turns = stored(period(plan), "period")
@@ -128,12 +130,11 @@ def mixture(
     ends = plan.withColumn("last", F.floor((F.col("n") - 1) / block_rows))
     ends = ends.withColumn("turn", F.col("last") % F.col("share")).join(turns, ["source", "turn"])
     ends = ends.where(F.col("share") * total >= F.col("n") * F.col("slots"))
-    horizon = ends.agg(F.max(slot_of(F.col("last"))).alias("horizon"))
+    horizon = ends.agg(F.max(slot_of(F.col("last")))).first()[0] or 0
 
     out = ranked.select("doc_id", "source", F.floor(rank / block_rows).alias("block"), (rank % block_rows).alias("place"))
     out = out.join(small(plan.select("source", "share", "slots"), BROADCAST_ROWS), "source")
     out = out.withColumn("turn", F.col("block") % F.col("share")).join(small(turns, BROADCAST_ROWS), ["source", "turn"])
-    out = out.crossJoin(F.broadcast(horizon))  # one row
     slot = slot_of(F.col("block"))
     return out.select(
         "doc_id",
@@ -143,5 +144,5 @@ def mixture(
         slot.alias("slot"),
         F.floor(F.col("block") * F.col("slots") / F.col("share")).alias("release"),
         F.ceil((F.col("block") + 1) * F.col("slots") / F.col("share")).alias("deadline"),
-        (slot <= F.col("horizon")).alias("in_mix"),
+        (slot <= horizon).alias("in_mix"),
     )

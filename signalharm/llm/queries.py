@@ -17,7 +17,7 @@ from signalharm.llm import (
     toxicity,
 )
 from signalharm.llm.common import shared_path, table
-from signalharm.llm.sql import CONTAMINATION, REPEATED_PASSAGES, REPEATED_STRINGS
+from signalharm.llm.sql import CONTAMINATION, MIXTURE, REPEATED_PASSAGES, REPEATED_STRINGS
 
 
 def tokenizer_file(name: str) -> str:
@@ -90,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": REPEATED_STRINGS,
+    "op5_mixing": MIXTURE,
     "op6_decontamination": CONTAMINATION,
     "op9_substring_dedup": REPEATED_PASSAGES,
 }

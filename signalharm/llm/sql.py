@@ -75,3 +75,48 @@ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BI
        sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE heads || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 """
+
+# One period of earliest deadline first, slot by slot, then every block's slot.
+# A waiting source's key: not released, deadline, number.
+MIXTURE = """
+WITH RECURSIVE r AS (
+  SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(doc_id::VARCHAR, '')) AS deal FROM documents
+),
+c AS (SELECT source, count(*) AS n FROM r GROUP BY source),
+q AS (SELECT source, n, greatest(1000, 2 * count(*) OVER ()) AS slots, count(*) OVER () AS m, pow(n::DOUBLE, 0.9) AS weight FROM c),
+u AS (SELECT *, (slots - m) * weight / sum(weight) OVER () AS quota FROM q),
+v AS (
+  SELECT *, floor(quota) AS whole, slots - m - sum(floor(quota)) OVER () AS spare,
+         row_number() OVER (ORDER BY floor(quota) - quota, source) AS place
+  FROM u
+),
+p AS (SELECT source, n::BIGINT AS n, slots::BIGINT AS slots, (whole + 1 + (place <= spare)::INT)::BIGINT AS share FROM v),
+one AS (SELECT list(source ORDER BY source) AS s, list(share ORDER BY source) AS a, max(slots) AS slots FROM p),
+edf AS (
+  SELECT 0::BIGINT AS t, list_transform(a, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick, a, slots FROM one
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: d + (i = k)::BIGINT), k, a, slots
+  FROM (
+    SELECT *, list_min(list_transform(a, lambda x, i:
+      (CASE WHEN done[i] * slots // x <= t THEN 0 ELSE 1000000000000000 END)
+      + ((done[i] + 1) * slots + x - 1) // x * 100000 + i)) % 100000 AS k
+    FROM edf WHERE t < slots
+  )
+),
+turns AS (
+  SELECT one.s[pick] AS source, t - 1 AS slot_in_period, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
+  FROM edf, one WHERE t > 0
+),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY deal, doc_id) - 1 AS rank FROM r),
+ends AS (
+  SELECT max((n - 1) // 16 // p.share * p.slots + slot_in_period) AS horizon
+  FROM p JOIN turns ON turns.source = p.source AND turn = (n - 1) // 16 % p.share
+  WHERE p.share * (SELECT count(*) FROM r) >= n * p.slots
+)
+SELECT doc_id, k.source, (rank // 16)::BIGINT AS block, (rank % 16)::BIGINT AS place,
+       (rank // 16 // share * slots + slot_in_period)::BIGINT AS slot,
+       (rank // 16 * slots // share)::BIGINT AS release,
+       (((rank // 16 + 1) * slots + share - 1) // share)::BIGINT AS deadline,
+       rank // 16 // share * slots + slot_in_period <= horizon AS in_mix
+FROM ranked k JOIN p ON p.source = k.source JOIN turns ON turns.source = k.source AND turn = rank // 16 % share, ends
+"""

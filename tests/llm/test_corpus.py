@@ -100,6 +100,8 @@ def test_mixture(spark):
     assert {r.source for r in got} == {"s0", "s1", "s2", ""}
     assert all(r.in_mix for r in got if r.source != "s0") and not all(r.in_mix for r in got)
     assert mixing.mixture(cases.empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mixture(cases.documents(spark), spark.createDataFrame([("s0", 1.0)], "source string, weight double"))
     flat = spark.createDataFrame([("s0", 1.0), ("s1", 1.0), ("s2", 1.0), ("", 1.0)], "source string, weight double")
     assert mixing.mixture(cases.documents(spark), flat).count() == len(cases.rows())
 
