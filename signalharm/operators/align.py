@@ -116,9 +116,12 @@ def gap_contributions(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return part.join(sst, keys).select(*keys, "cluster_id", value.alias("ag_contribution"))
 
 
-def weighted_gap(obs: DataFrame, keys: list[str], weight: str, sizes=None) -> DataFrame:
+def weighted_gap(obs: DataFrame, keys: list[str], weight: str, sizes=None, constant: float = 1e-13) -> DataFrame:
     """AG per key with observation weights, from sums only (used inside resampling).
 
+    A key whose centred sum of squares is within ``constant`` of its raw sum of
+    squares counts as constant: centre an outcome with a large mean first.
+
     ``sizes`` bounds (points per key, points in all) where the caller knows them.
     """
     blocks = pools(points(_both_scopes(obs), [*keys, "part"], "x", "y", weight), [*keys, "part"], sizes=sizes)
@@ -136,7 +139,7 @@ def weighted_gap(obs: DataFrame, keys: list[str], weight: str, sizes=None) -> Da
         (F.min("x_lo") == F.max("x_hi")).alias("_constant"),
     )
     # a difference of sums: below rounding level the downstream harm is constant
-    g = g.withColumn("sst", F.when(F.col("_sst") > 1e-13 * F.col("_yy"), F.col("_sst")).otherwise(0.0))
+    g = g.withColumn("sst", F.when(F.col("_sst") > constant * F.col("_yy"), F.col("_sst")).otherwise(0.0))
     return g.withColumns(
         _gap_columns(F.col("sst"), F.col("sse_pooled"), F.col("sse_separate"), F.col("_constant"))
     ).drop("_yy", "_sst", "_constant")
@@ -268,7 +271,8 @@ def compare(stats: DataFrame, keys: list[str], reference: str, metric: str = "me
     ref = stats.filter(F.col(metric) == reference).select(
         *keys, F.col("ag").alias("_ag"), F.col("oc").alias("_oc")
     )
-    joined = stats.join(F.broadcast(ref), keys) if keys else stats.join(F.broadcast(ref), F.lit(True))
+    # one reference row per key; without keys a single row
+    joined = stats.join(ref, keys) if keys else stats.join(F.broadcast(ref), F.lit(True))
     return joined.withColumns(
         {"d_ag": F.col("_ag") - F.col("ag"), "d_oc": F.col("oc") - F.col("_oc")}
     ).drop("_ag", "_oc")

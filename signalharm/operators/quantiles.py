@@ -1,31 +1,45 @@
 """Exact grouped quantiles that never gather a group in one task."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import ensure_checkpoint_dir
+
+
+def with_cells(df: DataFrame, keys: list[str], value: str, cells: int) -> DataFrame:
+    """Add ``_cell``: cells of about equally many rows of each key, in order of ``value``.
+
+    Cuts lie at approximate percentiles, so skewed values spread as well as even
+    ones.  They are checkpointed: every use of the cells sees the same cuts.
+    Keys that are null stay.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    probs = [k / cells for k in range(1, cells)]
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, 10_000)).alias("_cuts")).checkpoint()
+    cuts = cuts.withColumnsRenamed({k: f"_cut_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_cut_{k}")) for k in keys), F.lit(True))
+    cell = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    return df.join(cuts, same).withColumn("_cell", cell).drop("_cuts", *(f"_cut_{k}" for k in keys))
+
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 512
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 128
 ) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per key.
 
     Equal values collapse first (map-side), distinct values fall into ``bins``
-    equal-width cells of their key's range, and ranks come from a prefix sum
-    over cells plus a prefix sum inside each cell.  A hot key is therefore
-    spread over its cells; no task holds the whole group.
+    cells of about equal size, and ranks come from a prefix sum over cells plus
+    a prefix sum inside each cell.  A hot key is therefore spread over its
+    cells; no task holds the whole group.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    limits = df.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_total")
-    )
-    span = F.col("_hi") - F.col("_lo")
-    cell = F.when(
-        span > 0,
-        F.least(F.floor((F.col(value) - F.col("_lo")) / span * bins), F.lit(bins - 1)),
-    ).otherwise(F.lit(0))
-    counted = counted.join(limits, keys).withColumn("_cell", cell.cast("int"))
+    totals = df.groupBy(*keys).agg(F.count(value).alias("_total"))
+    counted = with_cells(counted, keys, value, bins).join(totals, keys)
     cells = counted.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_m"))
     before = F.sum("_m").over(
         Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

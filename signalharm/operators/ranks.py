@@ -3,18 +3,17 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import with_cells
 
-def ordered_rank(df: DataFrame, keys: list[str], order: str, cells: int = 256) -> DataFrame:
+
+def ordered_rank(df: DataFrame, keys: list[str], order: str, cells: int = 128) -> DataFrame:
     """1-based ``rank`` of a numeric ``order`` column inside each key.
 
-    The key's range is cut into equal-width cells; a count per cell gives the
-    offset and a window inside the cell the rest, so a key that holds a third
-    of all rows is sorted by many tasks.
+    The key's rows are cut into cells of about equal size; a count per cell
+    gives the offset and a window inside the cell the rest, so a key that holds
+    a third of all rows is sorted by many tasks.
     """
-    limits = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / cells, F.lit(1e-300))
-    cell = F.least(F.floor((F.col(order) - F.col("_lo")) / width), F.lit(cells - 1)).cast("int")
-    df = df.join(limits, keys).withColumn("_cell", cell)
+    df = with_cells(df, keys, order, cells)
     sizes = df.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(
         Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -24,5 +23,5 @@ def ordered_rank(df: DataFrame, keys: list[str], order: str, cells: int = 256) -
     return (
         df.join(offsets, [*keys, "_cell"])
         .withColumn("rank", F.col("_off") + inside)
-        .drop("_cell", "_lo", "_hi", "_off")
+        .drop("_cell", "_off")
     )

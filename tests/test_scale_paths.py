@@ -237,3 +237,12 @@ def test_exact_sign_flip_refuses_many_units(spark):
     df = spark.range(40).select(F.lit("k").alias("k"), F.col("id").alias("u"), F.lit(1.0).alias("v"))
     with pytest.raises(Exception, match="too many units"):
         infer.sign_flip_exact(df, ["k"], "u", "v").collect()
+
+
+def test_cells_spread_skewed_values(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.exp(F.col("id") / 2000.0).alias("v"))
+    df = df.union(spark.createDataFrame([("k", 1e12), (None, 1.0), (None, 2.0)], "k string, v double"))
+    sizes = quantiles.with_cells(df, ["k"], "v", 64).groupBy("k", "_cell").count().toPandas()
+    assert sizes["count"].sum() == 20_003 and sizes["count"].max() < 3 * 20_000 / 64
+    got = quantiles.exact_quantiles(df, ["k"], "v", {"m": 0.5, "top": 1.0}).filter("k = 'k'").first()
+    assert got.top == 1e12 and abs(got.m - np.exp(10_000 / 2000.0)) < 1e-9
