@@ -40,6 +40,7 @@ CUT = re.compile(r"(?<=\S)(?= )")
 #: The byte-level pre-tokenizer on characters whose classes are beyond doubt.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[\x20-\x7e\n{LATIN}]*")
+ONE_WORD = re.compile(rf" ?[{LATIN}]+")
 PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \n0-9{LATIN}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
@@ -65,6 +66,7 @@ class Encoder:
             and not pre.get("add_prefix_space")
             and not (spec["normalizer"] or spec["truncation"] or spec["padding"])
             and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
+            and all(len(PRE.findall(s)) > 1 for s in self.special)
         )
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in printable)
@@ -102,8 +104,9 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         ids = self.cache.get(chunk)
         if ids is None:
-            parts = PRE.findall(chunk) if PLAIN.fullmatch(chunk) else ()
-            if any(s in chunk for s in self.special) or not parts:
+            # most chunks are one word: one pre-token
+            parts = (chunk,) if ONE_WORD.fullmatch(chunk) else PRE.findall(chunk) if PLAIN.fullmatch(chunk) else ()
+            if len(parts) != 1 and any(s in chunk for s in self.special) or not parts:
                 ids = array("I", self.model.encode(chunk, add_special_tokens=False).ids).tobytes()
             elif len(parts) > 1:
                 ids = b"".join(map(self._chunk, parts))
@@ -273,4 +276,5 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool, only: list[int] | N
                     start += n
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return shards.join(bases, "part").drop("part", "seq", "first_id", "last_id").mapInArrow(run, ddl)
+    # one row per written partition
+    return shards.join(F.broadcast(bases), "part").drop("part", "seq", "first_id", "last_id").mapInArrow(run, ddl)
