@@ -3,7 +3,8 @@
 A tokenizer trained on prose packs words and names into few tokens; random
 strings fall apart.  A run of key characters whose characters per token stay
 below ``MAX_RATIO`` is a random string, unless it is a digest of a known length
-or an identifier (UUID, number, one-case word).
+or an identifier: a UUID, a number (no letters), a one-case or capitalised word.
+CamelCase and snake_case of ordinary words pass the ratio by themselves.
 """
 
 import base64
@@ -25,6 +26,7 @@ MAX_RATIO = 2.2
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(maxsize=2)
@@ -45,11 +47,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(run: str) -> bool:
-    """Digests and identifiers, and runs that mix no letters with digits."""
+    """Digests and identifiers."""
     if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
         return True
-    digits = sum(c.isdigit() for c in run)
-    return digits < 2 or digits == len(run) or not any(c.isalpha() for c in run)
+    return not any(c.isalpha() for c in run) or WORD.fullmatch(run) is not None
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, max_ratio: float) -> list[tuple[int, int, int]]:

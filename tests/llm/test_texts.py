@@ -59,6 +59,18 @@ def test_secrets(spark):
     assert secrets.find_secrets(cases.empty(spark), vocabulary, public_tokenizers.PATTERN).count() == 0
 
 
+def test_random_strings_without_digits():
+    encoding = secrets.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet, size in ((letters, 20), (letters, 32), (letters, 40), (letters + "0123456789+/", 20)):
+        runs = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(500)]
+        found = [bool(secrets.random_spans(x, [], encoding, secrets.MAX_RATIO)) for x in runs]
+        assert found == [size < secrets.MAX_RATIO * len(encoding.encode_ordinary(x)) for x in runs]
+        assert sum(found) > 490
+    for name in ("zzqxvkjwqzxvkjqzx", "QZXVKJWQZXVKJQZXV", "4379362835490466", "Schpfgegebeunger", "getElementByIdentifier", "max_partition_bytes"):
+        assert not secrets.random_spans(name, [], encoding, secrets.MAX_RATIO)
+
+
 def test_token_counts(spark):
     import sentencepiece
 
