@@ -5,13 +5,17 @@ equal anchors.  Texts are packed into blocks once; every further step reads the
 blocks and exchanges packed arrays with buckets of anchors:
 
 1. a block sends its distinct anchors, a bucket tells which of them occur in
-   more than one document;
+   more than one document, and which are hot: in more than ``HOT_BLOCKS`` blocks,
+   or with more than ``HOT_WINDOWS`` windows in one;
 2. a block sends the windows of those anchors, a bucket finds the windows that
-   an earlier document has and sends back the covered intervals.
-
-A row is one block or one (block, bucket), so no group is ever gathered whole: a
-passage in every document costs a bucket one anchor per block in step 1 and its
-own windows, linear in the input, in step 2.  No pairs are formed.
+   an earlier document has and sends back the covered intervals;
+3. of hot anchors a block sends each distinct window once, with its smallest
+   owner, to a bucket of the window's own hash; the bucket tells whether another
+   block has it from a smaller owner, and the block marks its occurrences.
+
+A row is one block or one (block, bucket).  A passage in every document costs a
+bucket one anchor (step 1) or one window (step 3) per block, and an anchor brings
+at most ``HOT_BLOCKS * HOT_WINDOWS`` windows to step 2.  No pairs are formed.
 """
 
 from collections.abc import Callable, Iterator
@@ -34,6 +38,8 @@ LAST = np.iinfo(np.int64).max
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bitmaps of shared anchors are broadcast up to this size; beyond it blocks and bitmaps are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: An anchor in more blocks, or with more windows in a block, goes by its windows' hashes.
+HOT_BLOCKS, HOT_WINDOWS = 16, 1024
 
 Symbols = Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -161,8 +167,8 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor * A) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def distinct_anchors(anchor: np.ndarray, text: np.ndarray, owner: np.ndarray, buckets: int):
-    """Distinct anchors in order of bucket and value, whether several owners have them, and each bucket's slice."""
+def distinct_anchors(anchor: np.ndarray, text: np.ndarray, count: np.ndarray, owner: np.ndarray, buckets: int):
+    """Distinct anchors in order of bucket and value, whether several owners have them, their windows, and each bucket's slice."""
     bucket = bucket_of(anchor, buckets)
     order = np.lexsort((anchor, bucket))
     value, own = anchor[order], owner[text[order]]
@@ -170,8 +176,9 @@ def distinct_anchors(anchor: np.ndarray, text: np.ndarray, owner: np.ndarray, bu
     first[1:] = value[1:] != value[:-1]
     at = np.flatnonzero(first)
     many = np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at) if len(at) else np.zeros(0, bool)
+    size = np.add.reduceat(count[order], at) if len(at) else count
     cuts = np.searchsorted(bucket[order][at], np.arange(buckets + 1))
-    return value[at], many, cuts
+    return value[at], many, size, cuts
 
 
 def _rows(found: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
@@ -179,15 +186,18 @@ def _rows(found: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def shared_anchors(blocks: DataFrame, symbols: Symbols, length: int, gram: int, buckets: int) -> DataFrame:
-    """block, shared (one bitmap per bucket): which of a block's distinct anchors occur in several documents."""
-    ask = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary()), ("many", pa.binary())])
+    """block, shared (two bitmaps per bucket): which of a block's distinct anchors occur in several documents,
+    and which of these are hot (empty without any)."""
+    hot_blocks, hot_windows = HOT_BLOCKS, HOT_WINDOWS
+    ask = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("anchors", "many", "heavy"))])
 
     def asked(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, symbols)
-                anchor, text, *_ = anchor_runs(block, length, gram)
-                value, many, cuts = distinct_anchors(anchor, text, block.owner, buckets)
+                anchor, text, _, count, _ = anchor_runs(block, length, gram)
+                value, many, size, cuts = distinct_anchors(anchor, text, count, block.owner, buckets)
+                heavy = size > hot_windows
                 full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
                 yield _rows(
                     {
@@ -195,13 +205,17 @@ def shared_anchors(blocks: DataFrame, symbols: Symbols, length: int, gram: int,
                         "block": [block.id] * len(full),
                         "anchors": [value[cuts[b] : cuts[b + 1]].tobytes() for b in full],
                         "many": [np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes() for b in full],
+                        "heavy": [np.packbits(heavy[cuts[b] : cuts[b + 1]]).tobytes() for b in full],
                     },
                     ask,
                 )
 
     def answered(rows: pa.Table) -> pa.Table:
         packed = [np.frombuffer(x, np.uint64) for x in rows.column("anchors").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(a)) for m, a in zip(rows.column("many").to_pylist(), packed)]
+        many, heavy = (
+            np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(a)) for m, a in zip(rows.column(n).to_pylist(), packed)])
+            for n in ("many", "heavy")
+        )
         value = np.concatenate(packed)
         order = np.argsort(value, kind="stable")
         ordered = value[order]
@@ -209,35 +223,41 @@ def shared_anchors(blocks: DataFrame, symbols: Symbols, length: int, gram: int,
         first[1:] = ordered[1:] != ordered[:-1]
         at = np.flatnonzero(first)
         size = np.diff(np.append(at, len(value)))
-        several = (size > 1) | (np.maximum.reduceat(np.concatenate(many)[order], at) > 0)
-        shared = np.empty(len(value), bool)
-        shared[order] = np.repeat(several, size)
+        several = (size > 1) | (np.maximum.reduceat(many[order], at) > 0)
+        hottest = several & ((size > hot_blocks) | (np.maximum.reduceat(heavy[order], at) > 0))
+        shared, hot = np.empty(len(value), bool), np.empty(len(value), bool)
+        shared[order], hot[order] = np.repeat(several, size), np.repeat(hottest, size)
         cuts = np.cumsum([len(a) for a in packed])[:-1]
         bits = [np.packbits(x).tobytes() for x in np.split(shared, cuts)]
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "shared": pa.array(bits, pa.binary())})
+        hots = [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(hot, cuts)]
+        return pa.table(
+            {"block": rows.column("block"), "bucket": rows.column("bucket"), "shared": pa.array(bits, pa.binary()), "hot": pa.array(hots, pa.binary())}
+        )
 
-    asks = blocks.mapInArrow(asked, "bucket int, block long, anchors binary, many binary")
-    replies = asks.groupBy("bucket").applyInArrow(answered, "block long, bucket int, shared binary")
-    return stored(replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared")), "shared-anchors")
+    asks = blocks.mapInArrow(asked, "bucket int, block long, anchors binary, many binary, heavy binary")
+    replies = asks.groupBy("bucket").applyInArrow(answered, "block long, bucket int, shared binary, hot binary")
+    return stored(replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("shared")), "shared-anchors")
 
 
 def with_shared(blocks: DataFrame, shared: DataFrame) -> DataFrame:
     """Blocks and their bitmaps, a bit for each anchor; these are broadcast up to BROADCAST_BYTES."""
-    size = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + F.length(x["shared"]) + 16)
+    size = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + F.length(x["shared"]) + F.length(x["hot"]) + 16)
     total = shared.agg(F.sum(size)).first()[0] or 0
     return blocks.join(broadcast(shared) if total <= BROADCAST_BYTES else shared, "block")
 
 
-def shared_runs(row: dict, symbols: Symbols, length: int, gram: int, buckets: int, hashed: bool):
-    """The block of a row with ``shared``, and its runs with shared anchors: bucket, anchor, text, start, count (, hashes)."""
+def shared_runs(row: dict, symbols: Symbols, length: int, gram: int, buckets: int, hashed: bool, hot: bool = False):
+    """The block of a row with ``shared``, and its runs with shared anchors that are hot, or not: bucket, anchor, text,
+    start, count (, hashes)."""
     block = Block(row, symbols)
     anchor, text, start, count, hashes = anchor_runs(block, length, gram, hashed)
-    value, _, cuts = distinct_anchors(anchor, text, block.owner, buckets)
-    shared = np.zeros(len(value), bool)
+    value, _, _, cuts = distinct_anchors(anchor, text, count, block.owner, buckets)
+    marked = np.zeros(len(value), bool)
     for reply in row["shared"]:
         a, b = cuts[reply["bucket"]], cuts[reply["bucket"] + 1]
-        shared[a:b] = np.unpackbits(np.frombuffer(reply["shared"], np.uint8), count=b - a)
-    wanted = np.sort(value[shared])
+        hottest = np.unpackbits(np.frombuffer(reply["hot"], np.uint8), count=b - a) if reply["hot"] else np.zeros(b - a, np.uint8)
+        marked[a:b] = hottest if hot else np.unpackbits(np.frombuffer(reply["shared"], np.uint8), count=b - a) & ~hottest
+    wanted = np.sort(value[marked])
     if len(wanted) == 0:
         keep = np.zeros(len(anchor), bool)
     else:
@@ -248,6 +268,95 @@ def shared_runs(row: dict, symbols: Symbols, length: int, gram: int, buckets: in
     return block, bucket[order], anchor[order], text[order], start[order], count[order], hashes
 
 
+class HotWindows:
+    """A block's windows of hot anchors: ``text``, ``at`` and ``owner`` of each, and the distinct ones in order of bucket.
+
+    Distinct windows have two keys (``lead`` of the block, anchors and positions, and the hash) and ``least``, the
+    smallest owner in the block; ``number`` tells which of them a window is.
+    """
+
+    def __init__(self, row: dict, symbols: Symbols, length: int, gram: int, buckets: int, lead: Callable):
+        self.block, _, anchor, text, start, count, _ = shared_runs(row, symbols, length, gram, buckets, False, True)
+        self.text, self.at = np.repeat(text, count), spread(start, count)
+        self.owner = self.block.owner[self.text]
+        size = count + length - 1
+        part, bounds = self.block.symbols[spread(start, size)], np.concatenate([[0], np.cumsum(size)])
+        found = [h[valid] for _, _, h, valid, _ in windows(part, bounds, length, gram, True)]
+        rest = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        head = lead(self.block, np.repeat(anchor, count), self.at)
+        bucket = bucket_of(rest, buckets)
+        order = np.lexsort((rest, head, bucket))
+        h, r = head[order], rest[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+        first = np.flatnonzero(first)
+        self.head, self.rest = h[first], r[first]
+        self.least = np.minimum.reduceat(self.owner[order], first) if len(first) else self.owner
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        self.cuts = np.searchsorted(bucket[order][first], np.arange(buckets + 1))
+
+
+def hot_windows(blocks: DataFrame, shared: DataFrame, symbols: Symbols, length: int, gram: int, buckets: int, lead: Callable) -> DataFrame:
+    """bucket, block, heads, rests, owners: each distinct window of a hot anchor once per block."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("heads", "rests", "owners"))])
+
+    def asked(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = HotWindows(row, symbols, length, gram, buckets, lead)
+                full = [(b, slice(own.cuts[b], own.cuts[b + 1])) for b in range(buckets) if own.cuts[b] < own.cuts[b + 1]]
+                found = {"bucket": [b for b, _ in full], "block": [own.block.id] * len(full)}
+                for name, x in (("heads", own.head), ("rests", own.rest), ("owners", own.least)):
+                    found[name] = [x[s].tobytes() for _, s in full]
+                yield _rows(found, schema)
+
+    return with_shared(blocks, shared).mapInArrow(asked, "bucket int, block long, heads binary, rests binary, owners binary")
+
+
+def hot_covered(blocks: DataFrame, shared: DataFrame, symbols: Symbols, length: int, gram: int, buckets: int, lead: Callable, covered: Callable, ddl: str) -> DataFrame | None:
+    """``covered(block, text, begin, end)`` (rows of ``ddl``) of the windows of hot anchors that an earlier document has.
+
+    None without hot anchors.
+    """
+    shared = shared.where(F.exists("shared", lambda x: F.length(x["hot"]) > 0))
+    if not shared.limit(1).count():
+        return None
+
+    def answered(rows: pa.Table) -> pa.Table:
+        head, rest = (np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column(n).to_pylist()]) for n in ("heads", "rests"))
+        per = [np.frombuffer(x, np.int64) for x in rows.column("owners").to_pylist()]
+        owner = np.concatenate(per)
+        order = np.lexsort((rest, head))
+        h, r = head[order], rest[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+        at = np.flatnonzero(first)
+        least = np.repeat(np.minimum.reduceat(owner[order], at), np.diff(np.append(at, len(order))))
+        before = np.empty(len(order), bool)
+        before[order] = least < owner[order]
+        bits = [np.packbits(x).tobytes() for x in np.split(before, np.cumsum([len(x) for x in per])[:-1])]
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "before": pa.array(bits, pa.binary())})
+
+    asks = hot_windows(blocks, shared, symbols, length, gram, buckets, lead)
+    replies = asks.groupBy("bucket").applyInArrow(answered, "block long, bucket int, before binary")
+    replies = stored(replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "before")).alias("before")), "hot-windows")
+
+    def marked(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = HotWindows(row, symbols, length, gram, buckets, lead)
+                before = np.zeros(len(own.least), bool)
+                for reply in row["before"]:
+                    a, b = own.cuts[reply["bucket"]], own.cuts[reply["bucket"] + 1]
+                    before[a:b] = np.unpackbits(np.frombuffer(reply["before"], np.uint8), count=b - a)
+                hit = before[own.number] | (own.least[own.number] < own.owner)
+                at = own.at[hit]
+                yield from covered(np.full(len(at), own.block.id), own.text[hit], at, at + length).to_batches()
+
+    return with_shared(blocks, shared).join(replies, "block").mapInArrow(marked, ddl)
+
+
 def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of every run, one after the other."""
     ends = np.cumsum(count)

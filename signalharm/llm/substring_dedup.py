@@ -19,6 +19,7 @@ from signalharm.llm.repeats import (
     LAST,
     Block,
     buckets_for,
+    hot_covered,
     merged,
     pack,
     shared_anchors,
@@ -106,7 +107,9 @@ def find_covered(blocks: DataFrame, length: int, gram: int, buckets: int) -> Dat
         return covered_rows(np.repeat(block, count)[hit], np.repeat(text, count)[hit], at, at + length)
 
     sent = with_shared(blocks, shared).mapInArrow(entries, ENTRIES)
-    return stored(sent.groupBy("bucket").applyInArrow(extended, COVERED), "covered")
+    found = sent.groupBy("bucket").applyInArrow(extended, COVERED)
+    hot = hot_covered(blocks, shared, word_symbols, length, gram, buckets, lambda block, anchor, at: anchor, covered_rows, COVERED)
+    return stored(found.union(hot) if hot else found, "covered")
 
 
 def of_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,8 @@ every level of the index: a suffix that stands beside an equal one of a smaller
 id is a match of at least ``length`` bytes.  Then the batch becomes a level, and
 levels merge while the last is no larger than the new one, so a suffix takes
 part in logarithmically many merges.  Only suffixes at windows whose anchor
-occurs in several documents are indexed: no other can match.
+occurs in several documents are indexed: no other can match.  Suffixes of hot anchors are
+sorted and reduced to distinct ones in each block first (``repeats``).
 """
 
 import hashlib
@@ -24,6 +25,7 @@ from signalharm.llm.repeats import (
     Block,
     buckets_for,
     byte_symbols,
+    hot_covered,
     pack,
     shared_anchors,
     shared_runs,
@@ -151,8 +153,13 @@ def find_covered(blocks: DataFrame, length: int, gram: int, buckets: int, batch_
             found.append((np.repeat(block[own], count[own])[hit], np.repeat(text[own], count[own])[hit], at, at + length))
         return covered_rows(*(np.concatenate(x) for x in zip(*found)))
 
+    def lead(block, anchor, at):
+        return leading(np.frombuffer(block.body, np.uint8), at)
+
     sent = with_shared(blocks, shared).mapInArrow(entries, ENTRIES)
-    return stored(sent.groupBy("bucket").applyInArrow(scanned, COVERED), "covered")
+    found = sent.groupBy("bucket").applyInArrow(scanned, COVERED)
+    hot = hot_covered(blocks, shared, byte_symbols, length, gram, buckets, lead, covered_rows, COVERED)
+    return stored(found.union(hot) if hot else found, "covered")
 
 
 def remove_repeated_strings(

@@ -82,3 +82,42 @@ def test_shuffled_replies(spark, monkeypatch):
     got = substring_dedup.remove_repeated_passages(cases.documents(spark)).collect()
     found = sorted((r.doc_id if r.doc_id is not None else LAST, r.n_words, r.n_removed, r.kept_sha256) for r in got)
     assert found == brute(cases.rows(), 50, lambda t: t.encode().split())
+
+
+@pytest.mark.parametrize("limits", [(1, 1024), (0, 1024), (4, 2)])
+def test_hot_anchors(spark, monkeypatch, limits):
+    from signalharm.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT_BLOCKS", limits[0])
+    monkeypatch.setattr(repeats, "HOT_WINDOWS", limits[1])
+    docs = cases.documents(spark)
+    got = substring_dedup.remove_repeated_passages(docs).collect()
+    found = sorted((r.doc_id if r.doc_id is not None else LAST, r.n_words, r.n_removed, r.kept_sha256) for r in got)
+    assert found == brute(cases.rows(), 50, lambda t: t.encode().split())
+    got = suffix_dedup.remove_repeated_strings(docs).collect()
+    found = sorted((r.doc_id if r.doc_id is not None else LAST, r.n_bytes, r.n_removed, r.kept_sha256) for r in got)
+    assert found == brute(cases.rows(), 50, str.encode)
+
+
+def test_a_hot_window_is_sent_once_a_block(spark, monkeypatch):
+    import numpy as np
+
+    from signalharm.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT_WINDOWS", 10)
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    data = [(i, f"a{i} {passage} z{i}", *cases.rows()[0][2:]) for i in range(200)]
+    blocks = repeats.pack(cases.documents(spark, data).coalesce(2), "doc_id", "text")
+    shared = repeats.shared_anchors(blocks, repeats.word_symbols, 50, 10, 8)
+    cool = repeats.with_shared(blocks, shared).collect()
+    assert not any(len(repeats.shared_runs(r.asDict(True), repeats.word_symbols, 50, 10, 8, False)[1]) for r in cool)
+    sent = repeats.hot_windows(blocks, shared, repeats.word_symbols, 50, 10, 8, lambda block, anchor, at: anchor).collect()
+    times = {}
+    for r in sent:
+        for h in np.frombuffer(r.rests, np.uint64).tolist():
+            times[h] = times.get(h, 0) + 1
+    # 11 windows inside the passage once a block, and at most two a document around it
+    assert max(times.values()) == len(cool)
+    assert 11 * len(cool) <= sum(times.values()) <= 11 * len(cool) + 2 * len(data)
+    assert len({r.bucket for r in sent}) == 8
