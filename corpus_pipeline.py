@@ -1,38 +1,58 @@
 """A training corpus from ``documents``: five stages, each on all that the one before kept.
 
 ``run`` writes every stage as Parquet in the shared folder and reads it again.
+A filtering stage numbers its rows, writes them, decides on each row and removes
+exactly those rows: null and repeated ids are rows like any other.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalharm.llm import decontaminate, mixing, queries, simhash, token_files, toxicity
-from signalharm.llm.common import shared_path, stored, table, without
+from signalharm.llm.common import BROADCAST_IDS, shared_path, small, stored, table
+
+
+KEY = "__row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written once so that it stays."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def drop(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` without those whose number is the only column of ``gone``."""
+    gone = stored(gone.toDF("gone_key"), "gone")  # a row has one number: no key is hot
+    return rows.join(small(gone, BROADCAST_IDS), F.col(KEY) == F.col("gone_key"), "left_anti").drop(KEY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    scored = toxicity.toxicity(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return without(docs, scored.where("predicted = 1"))
+    rows = keyed(docs)
+    scored = toxicity.toxicity(rows, *toxicity.fit(rows, table(spark, sf_dir, "labels")), id_col=KEY)
+    return drop(rows, scored.where("predicted = 1").select("doc_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of linked fingerprints; of repeated rows of an id, one."""
-    rows = stored(simhash.near_duplicates(docs), "near-duplicates")
-    kept = without(docs, rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    repeated = rows.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if repeated.limit(1).count() else kept
+    """One row of every group of linked fingerprints: of the smallest id, null ids last."""
+    rows = keyed(docs)
+    linked = simhash.near_duplicates(rows, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id")
+    linked = stored(linked.join(rows.select(KEY, "doc_id"), KEY), "near-duplicates")
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("first"))
+    return drop(rows, linked.join(first, F.col(KEY) == F.col("first"), "left_anti").select(KEY))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without, or with few, passages of the benchmark."""
-    rows = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, rows.where("contaminated"))
+    rows = keyed(docs)
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return drop(rows, found.where("contaminated").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture at the target weights: rows of over-supplied sources beyond its end go."""
-    return without(docs, mixing.mixture(docs).where("NOT in_mix"))
+    rows = keyed(docs)
+    return drop(rows, mixing.mixture(rows, key_col=KEY).where("NOT in_mix").select(KEY))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

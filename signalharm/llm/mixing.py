@@ -89,6 +89,7 @@ def mixture(
     slots: int = SLOTS,
     block_rows: int = BLOCK_ROWS,
     power: float = POWER,
+    key_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, source, block, place (in the block), slot, release, deadline, in_mix.
 
@@ -98,9 +99,11 @@ def mixture(
     that has run out leaves its slots empty.  ``in_mix`` ends where the last
     source with no more rows than its weight asks for has run out: what is left
     then are only rows of over-supplied sources.  A null source counts as "",
-    null ids as "", and an empty table gives no rows.
+    null ids as "", and an empty table gives no rows.  ``key_col`` is carried along.
     """
+    key = [key_col] if key_col else []
     rows = docs.select(
+        *key,
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("deal"),
@@ -132,11 +135,12 @@ def mixture(
     ends = ends.where(F.col("share") * total >= F.col("n") * F.col("slots"))
     horizon = ends.agg(F.max(slot_of(F.col("last")))).first()[0] or 0
 
-    out = ranked.select("doc_id", "source", F.floor(rank / block_rows).alias("block"), (rank % block_rows).alias("place"))
+    out = ranked.select(*key, "doc_id", "source", F.floor(rank / block_rows).alias("block"), (rank % block_rows).alias("place"))
     out = out.join(small(plan.select("source", "share", "slots"), BROADCAST_ROWS), "source")
     out = out.withColumn("turn", F.col("block") % F.col("share")).join(small(turns, BROADCAST_ROWS), ["source", "turn"])
     slot = slot_of(F.col("block"))
     return out.select(
+        *key,
         "doc_id",
         "source",
         "block",

@@ -178,6 +178,27 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    rng, sf = random.Random(4), str(tmp_path)
+    passage, other, third, *plain = (cases.sentence(rng, 40) for _ in range(8))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = lambda stage, rows: sorted(stage(spark, frame(rows), sf).collect(), key=str)
+    clean = [(None, plain[0], "a"), (None, plain[1], "a"), (5, plain[2], "a"), (5, plain[3], "a")]
+    got = left(corpus_pipeline.drop_contaminated, clean + [(None, passage, "a"), (5, passage, "a")])
+    assert sorted(r.text for r in got) == sorted(x[1] for x in clean)
+    got = left(corpus_pipeline.drop_near_duplicates, clean + [(8, other, "a"), (9, other, "a"), (None, other, "a"), (8, other, "a"), *[(None, third, "a")] * 3])
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(x[0] or 0, x[1]) for x in clean] + [(8, other), (0, third)])
+    model = toxicity.Model({"idiot ": 9.0}, [-3.0, 2.0, 0.0, 0.0])
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: (toxicity.Channel([]), model))
+    got = left(corpus_pipeline.drop_toxic, clean + [(None, "you idiot", "a"), (5, "an idiot", "a")])
+    assert sorted(r.text for r in got) == sorted(x[1] for x in clean)
+    many = frame([(None, f"t{i}", "a" if i < 2000 else "b") for i in range(2300)])
+    want = mixing.mixture(many).where("in_mix").count()
+    assert corpus_pipeline.mix_sources(spark, many, sf).count() == want and 0 < want < 2300
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
