@@ -1,10 +1,10 @@
-"""Removal of word passages that an earlier document has: seed and extend.
+"""Removal of word passages that an earlier document has.
 
 Seeds are winnowed anchors: the smallest ``GRAM``-word hash of each window.
-Documents meet in the bucket of a shared anchor and bring the windows around it;
-a match is extended window by window to the left and to the right as far as an
-earlier document has them, and the covered windows are united to maximal
-repeats.
+Documents meet in the bucket of a shared anchor and bring the windows around it.
+Windows are grouped by hash, not extended from a matched pair: every window of a
+repeat holds a shared anchor, so its group tells whether an earlier document has
+it, and no pairs are formed.  The covered windows are united to maximal repeats.
 """
 
 import hashlib
