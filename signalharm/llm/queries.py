@@ -5,7 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from signalharm.llm import (
+    alignment,
     decontaminate,
+    exact_topk,
+    importance,
     mixing,
     neighbours,
     secrets,
@@ -17,7 +20,7 @@ from signalharm.llm import (
     toxicity,
 )
 from signalharm.llm.common import shared_path, table
-from signalharm.llm.sql import CONTAMINATION, MIXTURE, REPEATED_PASSAGES, REPEATED_STRINGS
+from signalharm.llm.sql import CONTAMINATION, IMPORTANCE, MIXTURE, REPEATED_PASSAGES, REPEATED_STRINGS, TOP_SCORES
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,6 +75,19 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+def op11_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_topk.top_scores(table(spark, sf, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    paths = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf, "documents"), *paths)
+
+
+def op13_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.draw(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neighbours,
         op9_substring_dedup,
         op10_token_files,
+        op11_exact_topk,
+        op12_alignment,
+        op13_importance,
     )
 }
 
@@ -93,4 +112,6 @@ ORACLES: dict[str, str] = {
     "op5_mixing": MIXTURE,
     "op6_decontamination": CONTAMINATION,
     "op9_substring_dedup": REPEATED_PASSAGES,
+    "op11_exact_topk": TOP_SCORES,
+    "op13_importance": IMPORTANCE,
 }

@@ -120,3 +120,59 @@ SELECT doc_id, k.source, (rank // 16)::BIGINT AS block, (rank % 16)::BIGINT AS p
        rank // 16 // share * slots + slot_in_period <= horizon AS in_mix
 FROM ranked k JOIN p ON p.source = k.source JOIN turns ON turns.source = k.source AND turn = rank // 16 % share, ends
 """
+
+# CRC-32 byte by byte over the hexadecimal digits of each distinct feature, through the table of 256 bytes.
+IMPORTANCE = f"""
+WITH RECURSIVE bits AS (
+  SELECT b, b AS c, 0 AS k FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL
+  SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8
+),
+crcs AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS no, doc_id, {_WORDS} AS w FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), NULL, {_WORDS} FROM benchmark
+),
+runs AS (
+  SELECT side, no, unnest(w) AS f FROM texts
+  UNION ALL
+  SELECT side, no, w[p] || ' ' || w[p + 1] FROM (SELECT side, no, w, unnest(range(1, len(w)::BIGINT)) AS p FROM texts)
+),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)),
+hashed AS (
+  SELECT f, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(1, len(h)::BIGINT, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c // 256)), 4294967295) % 10000 AS bucket
+  FROM hexed, crcs
+),
+r AS (SELECT side, no, bucket FROM runs JOIN hashed USING (f)),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM r GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+                                 / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain FROM n
+),
+m AS (SELECT no, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM r JOIN g USING (bucket) WHERE side = 'd' GROUP BY no),
+z AS (
+  SELECT doc_id, len(w) AS n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                    / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM texts LEFT JOIN m ON texts.no = m.no WHERE side = 'd'
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n >= 20) OVER () AS many FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND place <= 25 * many // 100 THEN place END AS rank FROM o
+"""
+
+TOP_SCORES = """
+WITH r AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+d AS (SELECT len(v) AS dim FROM r GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+p AS (
+  SELECT q.vec_id AS query_id, q.v, c.vec_id, list_sum(list_transform(q.v, lambda x, i: x * c.v[i]))::BIGINT AS score
+  FROM r q, r c, d WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = dim AND len(c.v) = dim
+),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
