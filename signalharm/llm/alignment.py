@@ -3,89 +3,72 @@
 A text (with a space before it) is cut where a space follows a character that is
 no white space.  Both tokenizers end a token there: the first one's pre-tokenizer
 never joins them, and no piece of the second spans them.  So a text's alignment
-is that of its chunks, one after the other, and a chunk is aligned once while a
-worker remembers it.
-
-First pass: each block of texts counts its linked id pairs.  Segments of the
-distinct pairs get a minimal perfect hash; blocks' counts become dense vectors
-indexed by it, which are summed in a tree.  Second pass: each block looks up its
-pairs in the segments (the key at a number is verified), texts are aligned again
-and the counts are summed over their links.
+is that of its chunks, one after the other.  Blocks of texts are written once as
+numbers of their distinct chunks with these chunks' ids on both sides.
+
+First pass: each block aligns its chunks and counts the links of each id pair.
+Segments of the distinct pairs get a minimal perfect hash; blocks' counts become
+dense vectors indexed by it, which are summed in a tree.  Second pass: each block
+looks up its pairs in the segments (the key at a number is verified), aligns its
+texts again from their ids and sums the counts over their links.
 """
 
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalharm.llm import perfect_hash
-from signalharm.llm.common import stored
-from signalharm.llm.repeats import pack
+from signalharm.llm.common import slices, stored
+from signalharm.llm.repeats import spread
 
 #: Distinct pairs of a segment, about.
 SEGMENT_KEYS = 1 << 18
 SHARE = 64
 #: Count vectors that one group of the tree adds, and blocks whose questions one group answers.
 FAN, ASKING = 16, 256
+#: Characters of a block of texts.
+BLOCK_CHARS = 4 << 20
 #: Bytes of remembered chunks, and the longest that is remembered.
-MEMORY, LONGEST = 48 << 20, 64
+MEMORY, LONGEST = 96 << 20, 64
+WORD = re.compile(r" [A-Za-z]+")
 CUT = re.compile(r"(?<=\S)(?= )")
 SEPARATORS = b",|;"
 
 
-class Aligned:
-    """Chunks' alignments, one after the other: tokens, groups, links and the written groups."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "links", "text", "valid")
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, valid: bool):
-        self.n_a, self.n_b, self.valid = len(a), len(b), valid
-        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-        if not valid or not len(a):
-            self.n_groups, self.links, self.text = 0, np.zeros(0, np.int64), b""
-            return
-        # every stretch between two neighbouring ends of either side is one link
-        ends = np.union1d(end_a, end_b)
-        self.links = a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
-        common = np.intersect1d(end_a, end_b)
-        self.n_groups = len(common)
-        self.text = _written(a, b, np.searchsorted(end_a, common), np.searchsorted(end_b, common))
-
-
 def _written(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
-    """``a1,a2|b1;`` for each group that ends at these tokens."""
-    if len(a) + len(b) < 64:
-        out, i, j = [], 0, 0
-        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-            out.append(f"{','.join(map(str, a[i:x].tolist()))}|{','.join(map(str, b[j:y].tolist()))};")
-            i, j = x, y
-        return "".join(out).encode()
-    # many tokens: each one's place among all, then its digits and mark in a fixed width
+    """``a1,a2|b1;`` for each group that ends at these tokens: the digits and the mark of each token in a fixed width."""
+    if not len(a):
+        return b""
     n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
     group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
-    ids, mark = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.uint8)
-    at_a = np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]
+    at_a = np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]  # a token's place among all
     at_b = np.arange(len(b)) + np.cumsum(n_a)[group_b]
+    ids, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), SEPARATORS[0], np.uint8)
     ids[at_a], ids[at_b] = a, b
-    mark[at_a], mark[at_b] = SEPARATORS[0], SEPARATORS[0]
     mark[at_a[last_a]], mark[at_b[last_b]] = SEPARATORS[1], SEPARATORS[2]
     width = len(str(int(ids.max())))
     digits = np.zeros((len(ids), width + 1), np.uint8)
     for k in range(width):
         digits[:, width - 1 - k] = 48 + ids // 10**k % 10
     digits[:, width] = mark
-    size = np.searchsorted(10 ** np.arange(1, width), ids, side="right") + 1
-    return digits[np.arange(width + 1) >= (width - size)[:, None]].tobytes()
+    return digits[np.arange(width + 1) >= (width - _digits(ids))[:, None]].tobytes()
+
 
+def _digits(ids: np.ndarray) -> np.ndarray:
+    return np.searchsorted(10 ** np.arange(1, 19), ids, side="right") + 1
 
-class Aligner:
-    """Two tokenizers and the alignments of remembered chunks."""
+
+class Tokens:
+    """Two tokenizers and the ids of remembered chunks."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,111 +81,205 @@ class Aligner:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+        self.letters = {b: c for c, b in letters.items()}
         tokens = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = [b""] * (max(tokens.values()) + 1)
+        bytes_a = [b""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
-            known = all(c in letters for c in token)
-            self.bytes_a[i] = bytes(letters[c] for c in token) if known else token.encode()
+            bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
-        ]
-        self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bodies = [np.frombuffer(b"".join(x), np.uint8) for x in (bytes_a, bytes_b)]
+        self.sizes = [np.array([len(t) for t in x], np.int64) for x in (bytes_a, bytes_b)]
         #: Whether no piece has a space after another character, so that chunks are independent.
         self.cut = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.space = np.array(self.b.encode("a ")[len(self.b.encode("a")) :], np.int64)
-        self.known: dict[str, Aligned] = {}
+        self.space = np.array(self.b.encode("a ")[len(self.b.encode("a")) :], np.uint32).tobytes()
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.held = 0
 
     def chunks(self, text: str) -> list[str]:
         return CUT.split(" " + text) if self.cut else [" " + text]
 
-    def aligned(self, chunks: list[str]) -> list[Aligned]:
-        """The alignment of each of these distinct chunks."""
-        new = [c for c in chunks if c not in self.known]
-        found = dict(zip(new, self._align(new)))
-        out = [self.known[c] if c in self.known else found[c] for c in chunks]
+    def ids(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """The first and second ids (32-bit numbers) of each of these distinct chunks."""
+        known = self.known
+        new = [c for c in chunks if c not in known]
+        # one word of letters after a space is one pre-token: the model alone
+        word = [i for i, c in enumerate(new) if WORD.fullmatch(c)]
+        first: list[bytes] = [b""] * len(new)
+        bpe, mark = self.a.model.tokenize, self.letters[32]
+        for i in word:
+            first[i] = array("I", [t.id for t in bpe(mark + new[i][1:])]).tobytes()
+        rest = sorted(set(range(len(new))).difference(word))
+        for k in range(0, len(rest), 1024):
+            part = rest[k : k + 1024]
+            for i, x in zip(part, self.a.encode_batch([new[i] for i in part], add_special_tokens=False)):
+                first[i] = array("I", x.ids).tobytes()
+        found = {}
+        for k in range(0, len(new), 1024):
+            part = new[k : k + 1024]
+            for i, (c, x) in enumerate(zip(part, self.b.encode([c[1:] for c in part], num_threads=1)), k):
+                # the last space of a text: no text stands for it alone
+                found[c] = first[i], self.space if c == " " else array("I", x).tobytes()
+        out = [known[c] if c in known else found[c] for c in chunks]
+        if self.held > MEMORY:
+            self.known, self.held = {}, 0
         for c, x in found.items():
             if len(c) <= LONGEST:
                 self.known[c] = x
-                self.held += 400 + len(c) + 8 * len(x.links) + len(x.text)
-        if self.held > MEMORY:
-            self.known, self.held = {}, 0
+                self.held += 300 + len(c) + len(x[0]) + len(x[1])
         return out
 
-    def _align(self, chunks: list[str]) -> list[Aligned]:
-        out = []
-        for i in range(0, len(chunks), 1024):
-            part = chunks[i : i + 1024]
-            coded = self.a.encode_batch(part, add_special_tokens=False)
-            for c, x, y in zip(part, coded, self.b.encode([c[1:] for c in part], num_threads=1)):
-                a, b = np.array(x.ids, np.int64), np.array(y, np.int64)
-                raw = c.encode()
-                if c == " ":  # the last space of a text: no text stands for it alone
-                    b = self.space
-                valid = b"".join([self.bytes_a[t] for t in a.tolist()]) == raw == b"".join([self.bytes_b[t] for t in b.tolist()])
-                out.append(Aligned(a, b, self.size_a[a], self.size_b[b], valid))
-        return out
+    def same(self, side: int, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each chunk's tokens have its bytes (``size`` of ``raw`` each)."""
+        n = self.sizes[side][ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.concatenate([[0], np.cumsum(counts)])
+        own = ends[at[1:]] - ends[at[:-1]]
+        ok = own == size
+        begin = (np.cumsum(self.sizes[side]) - self.sizes[side])[ids]
+        chunk = np.repeat(np.arange(len(counts)), counts)
+        kept = ok[chunk]
+        written = self.bodies[side][spread(begin[kept], n[kept])]
+        wanted = raw[spread((np.cumsum(size) - size)[ok], size[ok])]
+        differs = np.flatnonzero(written != wanted)
+        where = np.flatnonzero(ok)
+        ok[where[np.searchsorted(np.cumsum(size[ok]), differs, side="right")]] = False
+        return ok
 
 
 @lru_cache(maxsize=1)
-def aligner(path_a: str, path_b: str) -> Aligner:
+def tokens(path_a: str, path_b: str) -> Tokens:
     """One for all tasks of a Python worker."""
-    return Aligner(path_a, path_b)
+    return Tokens(path_a, path_b)
+
+
+PACKED = ("counts", "codes", "a", "n_a", "b", "n_b", "valid")
+
+
+def tokenized(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
+    """block, ids, text_no and packed arrays: texts as numbers of a block's distinct chunks, and these chunks' ids on both sides.
+
+    A text that a block holds twice is kept once.
+    """
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+
+    def run(batches):
+        both, zstd = tokens(path_a, path_b), zstandard.ZstdCompressor(level=1)
+        part, seq, ids, number, texts, held = TaskContext.get().partitionId(), 0, [], [], {}, 0
+
+        def block():
+            distinct: dict[str, int] = {}
+            counts, codes = [], []
+            for t in texts:
+                own = both.chunks(t) if t else []
+                codes += [distinct.setdefault(c, len(distinct)) for c in own]
+                counts.append(len(own))
+            found = both.ids(list(distinct))
+            encoded = [c.encode() for c in distinct]
+            raw, size = np.frombuffer(b"".join(encoded), np.uint8), np.array([len(c) for c in encoded], np.int64)
+            arrays = {"counts": np.array(counts, np.uint32), "codes": np.array(codes, np.uint32)}
+            valid = np.ones(len(distinct), bool)
+            for side, name in enumerate("ab"):
+                x = np.frombuffer(b"".join([f[side] for f in found]), np.uint32)
+                n = np.array([len(f[side]) for f in found], np.int64) // 4
+                arrays |= {name: x, f"n_{name}": n.astype(np.uint32)}
+                valid &= both.same(side, x.astype(np.int64), n, raw, size)
+            arrays["valid"] = valid.astype(np.uint32)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "block": [(part << 32) + seq],
+                    "ids": pa.array([ids], pa.list_(pa.int64())),
+                    "text_no": pa.array([number], pa.list_(pa.int32())),
+                    # bytes of one place side by side: most numbers are small
+                    **{k: [zstd.compress(arrays[k].view(np.uint8).reshape(-1, 4).T.tobytes())] for k in PACKED},
+                }
+            )
+
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                for i, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
+                    t = t or ""
+                    if t not in texts:
+                        texts[t] = len(texts)
+                        held += len(t)
+                    ids.append(i)
+                    number.append(texts[t])
+                    if held >= BLOCK_CHARS or len(ids) >= 65536:
+                        yield block()
+                        seq, ids, number, texts, held = seq + 1, [], [], {}, 0
+        if ids:
+            yield block()
+
+    ddl = "block long, ids array<long>, text_no array<int>, " + ", ".join(f"{k} binary" for k in PACKED)
+    return stored(own.mapInArrow(run, ddl), "tokenized")
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
 class BlockAlignment:
-    """The texts of one block as numbers of distinct aligned chunks."""
-
-    def __init__(self, row: dict, align: Aligner):
-        sizes = row["sizes"]
-        body = zstandard.decompress(row["body"], max_output_size=sum(sizes) or 1) if sizes else b""
-        number: dict[str, int] = {}
-        codes, counts, at = [], [], 0
-        for n in sizes:
-            own = align.chunks(body[at : at + n].decode()) if n else []
-            codes += [number.setdefault(c, len(number)) for c in own]
-            counts.append(len(own))
-            at += n
-        self.codes, self.counts = np.array(codes, np.int64), np.array(counts, np.int64)
-        self.chunks = align.aligned(list(number))
-        # a text with one chunk whose bytes differ has no tokens
-        bad = np.array([not c.valid for c in self.chunks], bool)
-        text = np.repeat(np.arange(len(counts)), self.counts)
-        self.valid = (np.bincount(text, weights=bad[self.codes], minlength=len(counts)) == 0) & (self.counts > 0)
-        self.text = text
+    """The alignment of a block's distinct chunks, one after the other, and its texts as numbers of chunks.
+
+    ``links`` (first id << 32 | second id) and ``n_links``, ``n_groups``, ``n_a``, ``n_b`` of each chunk; chunks whose
+    bytes differ have none.
+    """
 
-    def sums(self, per_chunk: list[int]) -> np.ndarray:
+    def __init__(self, row: dict, sizes: list[np.ndarray]):
+        self.counts, self.codes, a, self.n_a, b, self.n_b, valid = (_unpacked(row[k]) for k in PACKED)
+        self.copies = np.bincount(np.array(row["text_no"], np.int64), minlength=len(self.counts))
+        valid = valid.astype(bool)
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts)
+        # a text with one chunk whose bytes differ has no tokens
+        bad = np.bincount(self.text, weights=~valid[self.codes], minlength=len(self.counts))
+        self.valid = (bad == 0) & (self.counts > 0)
+        self.a, self.b = a[np.repeat(valid, self.n_a)], b[np.repeat(valid, self.n_b)]
+        self.n_a, self.n_b = np.where(valid, self.n_a, 0), np.where(valid, self.n_b, 0)
+        end_a, end_b = np.cumsum(sizes[0][self.a]), np.cumsum(sizes[1][self.b])
+        # every stretch between two neighbouring ends of either side is one link
+        ends = np.union1d(end_a, end_b)
+        link_a = np.searchsorted(end_a, ends)
+        self.links = self.a[link_a] << 32 | self.b[np.searchsorted(end_b, ends)]
+        chunk_a = np.repeat(np.arange(len(valid)), self.n_a)
+        self.n_links = np.bincount(chunk_a[link_a], minlength=len(valid))
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        self.last = np.searchsorted(end_a, common), np.searchsorted(end_b, common)
+        self.n_groups = np.bincount(chunk_a[self.last[0]], minlength=len(valid))
+
+    def sums(self, per_chunk: np.ndarray) -> np.ndarray:
         """Sum over each text's chunks, 0 for texts without tokens."""
-        out = np.zeros(len(self.counts), np.int64)
-        np.add.at(out, self.text, np.array(per_chunk, np.int64)[self.codes] if len(self.codes) else self.codes)
-        return np.where(self.valid, out, 0)
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """All links of the distinct chunks, and how many each has."""
-        return np.concatenate([c.links for c in self.chunks] or [np.zeros(0, np.int64)]), np.array([len(c.links) for c in self.chunks], np.int64)
-
-    def pairs(self, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct linked pairs and their links over the block, each text as often as ``copies`` says."""
-        weight = np.where(self.valid, copies, 0)[self.text]
-        uses = np.zeros(len(self.chunks), np.int64)
-        np.add.at(uses, self.codes, weight)
-        links, n = self.links()
-        keys, at = np.unique(links, return_inverse=True)
-        count = np.zeros(len(keys), np.int64)
-        np.add.at(count, at, np.repeat(uses, n))
-        return keys[count > 0], count[count > 0]
-
-
-def count_pairs(blocks: DataFrame, path_a: str, path_b: str) -> DataFrame:
+        ends = np.concatenate([[0], np.cumsum(per_chunk[self.codes])])
+        cuts = np.concatenate([[0], np.cumsum(self.counts)])
+        return np.where(self.valid, ends[cuts[1:]] - ends[cuts[:-1]], 0)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct linked pairs and their links over the block, a text as often as it is there."""
+        uses = np.zeros(len(self.n_links), np.int64)
+        np.add.at(uses, self.codes, np.where(self.valid, self.copies, 0)[self.text])
+        order = np.argsort(self.links, kind="stable")
+        ordered = self.links[order]
+        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+        count = np.add.reduceat(np.repeat(uses, self.n_links)[order], at) if len(at) else at
+        return ordered[at][count > 0], count[count > 0]
+
+    def written(self) -> list[bytes]:
+        """Each chunk's groups."""
+        text = _written(self.a, self.b, *self.last)
+        size = np.zeros(len(self.n_a), np.int64)
+        for ids, n in ((self.a, self.n_a), (self.b, self.n_b)):
+            size += np.bincount(np.repeat(np.arange(len(n)), n), weights=_digits(ids) + 1, minlength=len(n)).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(size)]).tolist()
+        return [text[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
+def count_pairs(blocks: DataFrame, sizes: list[np.ndarray]) -> DataFrame:
     """block, keys, counts (packed 64-bit numbers): links of each pair of a first and a second id, over a block."""
 
     def run(batches):
-        align = aligner(path_a, path_b)
         for batch in batches:
             for row in batch.to_pylist():
-                own = BlockAlignment(row, align)
-                keys, count = own.pairs(np.bincount(row["text_no"], minlength=len(own.counts)))
+                keys, count = BlockAlignment(row, sizes).pairs()
                 yield pa.RecordBatch.from_pydict({"block": [row["block"]], "keys": [keys.tobytes()], "counts": [count.tobytes()]})
 
     return stored(blocks.mapInArrow(run, "block long, keys binary, counts binary"), "block-pairs")
@@ -378,8 +455,9 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     other columns are not read.  A text of any length lies in one block; stretches
     without spaces are encoded as one chunk.
     """
-    blocks = pack(docs, id_col, text_col)
-    pairs = count_pairs(blocks, path_a, path_b)
+    blocks = tokenized(docs, path_a, path_b, id_col, text_col)
+    sizes = tokens(path_a, path_b).sizes  # a number for each id of the vocabularies
+    pairs = count_pairs(blocks, sizes)
     segments_n = segment_count(pairs)
     parted = stored(by_segment(pairs, segments_n), "parted-pairs")
     segments = hash_segments(parted)
@@ -388,49 +466,39 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     fields = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
     def applied(batches):
-        align = aligner(path_a, path_b)
         for batch in batches:
             for row in batch.to_pylist():
-                own = BlockAlignment(row, align)
-                keys, _ = own.pairs(np.ones(len(own.counts), np.int64))
-                segment = segment_of(keys, segments_n)
-                keys = keys[np.lexsort((keys, segment))]
+                own = BlockAlignment(row, sizes)
+                keys, _ = own.pairs()
+                order = np.lexsort((keys, segment_of(keys, segments_n)))  # as the replies lie
                 replies = sorted(row["replies"] or [], key=lambda r: r["segment"])
-                counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in replies] or [np.zeros(0, np.int64)])
-                best = np.concatenate(
-                    [np.unpackbits(np.frombuffer(r["best"], np.uint8), count=len(r["counts"]) // 8) for r in replies] or [np.zeros(0, np.uint8)]
-                )
-                order = np.argsort(keys)
-                links, n = own.links()
-                # chunks that only texts without tokens have keep zeros
-                at = np.minimum(np.searchsorted(keys[order], links), max(0, len(keys) - 1))
-                known = keys[order][at] == links if len(keys) else np.zeros(len(links), bool)
-                of_link, best_link = (np.where(known, x[order][at], 0) if len(keys) else np.zeros(len(links), np.int64) for x in (counts, best))
-                chunk = np.repeat(np.arange(len(n)), n)
-                count_sum, n_best = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                np.add.at(count_sum, chunk, of_link)
-                np.add.at(n_best, chunk, best_link)
+                count, best = np.zeros((2, len(keys) + 1), np.int64)  # the last is of pairs that only texts without tokens have
+                count[order] = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in replies] or [count[:0]])
+                bits = [np.unpackbits(np.frombuffer(r["best"], np.uint8), count=len(r["counts"]) // 8) for r in replies]
+                best[order] = np.concatenate(bits or [best[:0]])
+                at = np.searchsorted(keys, own.links)
+                at[np.append(keys, -1)[at] != own.links] = len(keys)
+                chunk = np.repeat(np.arange(len(own.n_links)), own.n_links)
+                count_sum, n_best = np.zeros((2, len(own.n_links)), np.int64)
+                np.add.at(count_sum, chunk, count[at])
+                np.add.at(n_best, chunk, best[at])
                 columns = {
-                    "n_a": own.sums([c.n_a for c in own.chunks]),
-                    "n_b": own.sums([c.n_b for c in own.chunks]),
-                    "n_groups": own.sums([c.n_groups for c in own.chunks]),
-                    "n_links": own.sums(n),
-                    "n_best": own.sums(n_best),
-                    "count_sum": own.sums(count_sum),
+                    "n_a": own.n_a,
+                    "n_b": own.n_b,
+                    "n_groups": own.n_groups,
+                    "n_links": own.n_links,
+                    "n_best": n_best,
+                    "count_sum": count_sum,
                 }
-                written = [c.text for c in own.chunks]
-                cuts = np.concatenate([[0], np.cumsum(own.counts)]).tolist()
-                codes, digests, groups = own.codes.tolist(), [], []
-                for k, ok in enumerate(own.valid.tolist()):
-                    text = b"".join([written[c] for c in codes[cuts[k] : cuts[k + 1]]])[:-1] if ok else b""
+                number = pa.array(row["text_no"], pa.int32())
+                arrays = {"doc_id": pa.array(row["ids"], pa.int64())} | {k: pa.array(own.sums(v)).take(number) for k, v in columns.items()}
+                written, codes, at, digests, groups = own.written(), own.codes.tolist(), 0, [], []
+                for n, ok in zip(own.counts.tolist(), own.valid.tolist()):
+                    text = b"".join([written[c] for c in codes[at : at + n]])[:-1] if ok else b""
                     digests.append(hashlib.sha256(text).hexdigest() if ok else "")
-                    if with_groups:
-                        groups.append(text.decode())
-                number = np.array(row["text_no"], np.int64)
-                arrays = {"doc_id": pa.array(row["ids"], pa.int64())} | {k: pa.array(v[number]) for k, v in columns.items()}
-                arrays["groups_sha256"] = pa.array(digests, pa.string()).take(pa.array(number))
-                if with_groups:
-                    arrays["groups"] = pa.array(groups, pa.string()).take(pa.array(number))
-                yield pa.RecordBatch.from_pydict(arrays)
+                    groups += [text.decode()] * with_groups
+                    at += n
+                arrays["groups_sha256"] = pa.array(digests, pa.string()).take(number)
+                yield pa.RecordBatch.from_pydict(arrays | ({"groups": pa.array(groups, pa.string()).take(number)} if with_groups else {}))
 
     return blocks.join(replies, "block", "left").mapInArrow(applied, fields + (", groups string" if with_groups else ""))
