@@ -8,16 +8,21 @@ Multiplicities are joined as weights; rows are never replicated.
 import hashlib
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from .align import weighted_gap
+from .resample import count_extreme, sign_sums
+from .resample import draw_statistics as blocked_statistics
 from .splits import hash_rank
 
 ROOT_SEED = 20260817
 RESAMPLES = 2000
 FLIPS = 100_000
+#: Observations of one key that a task may hold while it fits a block of draws.
+MAX_KEY_ROWS = 1_000_000
 EXTREME_TOLERANCE = 1e-15
 
 
@@ -61,6 +66,26 @@ def interval(df: DataFrame, keys: list[str], values, confidence: float = 0.95, *
     return df.groupBy(*keys).agg(*cols) if keys else df.agg(*cols)
 
 
+def draw_statistics(obs: DataFrame, cluster_oc: DataFrame, draws: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, resample, ag, oc`` of every draw, by blocks of draws.
+
+    Only where one key has more observations than a task may hold, its points are
+    weighted and fitted as a distributed table.
+    """
+    # a draw only reweights, so the observation table bounds every fit
+    per = obs.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    resamples = (draws.agg(F.max("resample")).first()[0] or 0) + 1
+    if (per[0] or 0) <= MAX_KEY_ROWS:
+        return blocked_statistics(obs, cluster_oc, draws, keys, resamples, per[1] or 0)
+    ag = weighted_gap(obs.join(draws, "cluster_id"), [*keys, "resample"], "weight", (per[0], 2 * per[1] * resamples))
+    oc = (
+        cluster_oc.join(draws, "cluster_id")
+        .groupBy(*keys, "resample")
+        .agg((F.sum(F.col("oc") * F.col("weight")) / F.sum("weight")).alias("oc"))
+    )
+    return ag.select(*keys, "resample", "ag").join(oc, [*keys, "resample"])
+
+
 def bootstrap_alignment(
     obs: DataFrame, cluster_oc: DataFrame, reference: str, draws: DataFrame, keys=(), confidence=0.95
 ) -> DataFrame:
@@ -70,18 +95,7 @@ def bootstrap_alignment(
     without downstream variation counts as failed and voids the AG interval.
     """
     keys = list(keys)
-    # a draw only reweights, so the observation table bounds every fit
-    per = obs.groupBy(*keys, "metric").count().agg(F.max("count"), F.sum("count")).first()
-    draws = draws.persist()
-    resamples = draws.agg(F.max("resample")).first()[0] + 1
-    sizes = (per[0], 2 * per[1] * resamples)
-    ag = weighted_gap(obs.join(draws, "cluster_id"), [*keys, "metric", "resample"], "weight", sizes)
-    oc = (
-        cluster_oc.join(draws, "cluster_id")
-        .groupBy(*keys, "metric", "resample")
-        .agg((F.sum(F.col("oc") * F.col("weight")) / F.sum("weight")).alias("oc"))
-    )
-    both = ag.select(*keys, "metric", "resample", "ag").join(oc, [*keys, "metric", "resample"])
+    both = draw_statistics(obs, cluster_oc, draws, [*keys, "metric"])
     # the reference sits next to its candidates: one small window per resample
     per_draw = Window.partitionBy(*keys, "resample")
 
@@ -157,15 +171,6 @@ def bootstrap_incomplete(values: DataFrame, source: str, keys: list[str], draws:
     ).drop("_empty")
 
 
-def signs(clusters: DataFrame, cluster: str, endpoint: str, flips: int) -> DataFrame:
-    """``flip, cluster, s`` with s = -1 or 1."""
-    seed = endpoint_seed(endpoint, "sign_flip")
-    ids = clusters.select(cluster).distinct()
-    return ids.select(
-        cluster, F.explode(F.sequence(F.lit(0), F.lit(flips - 1))).alias("flip")
-    ).withColumn("s", H.sign(seed, F.col("flip"), F.col(cluster)))
-
-
 def _extreme(permuted: Column, observed: Column) -> Column:
     return F.count_if(F.abs(permuted) + EXTREME_TOLERANCE >= F.abs(observed))
 
@@ -176,32 +181,23 @@ def sign_flip(
     """Two-sided Monte-Carlo p per contrast; ``values`` maps column -> 'sum' or 'mean'.
 
     ``contributions`` is wide: one row per cluster, one column per contrast, so
-    all contrasts share one pass over the sign table.
+    all contrasts share one pass over the sign matrix.  A null adds nothing.
     """
-    agg = {"sum": F.sum, "mean": F.avg}
-    observed = contributions.agg(*[agg[how](c).alias(c) for c, how in values.items()])
-    permuted = (
-        signs(contributions, cluster, endpoint, flips)
-        .join(contributions, cluster)
-        .groupBy("flip")
-        .agg(*[agg[how](F.col(c) * F.col("s")).alias(f"_{c}") for c, how in values.items()])
-    )
-    counted = permuted.join(F.broadcast(observed), F.lit(True)).agg(  # one-row side
-        *[_extreme(F.col(f"_{c}"), F.col(c)).alias(f"n_{c}") for c in values],
-        *[F.max(c).alias(c) for c in values],
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("contrast"),
-                F.col(c).alias("observed"),
-                F.col(f"n_{c}").alias("n_extreme"),
-                ((F.col(f"n_{c}") + 1) / F.lit(flips + 1)).alias("p_value"),
-            )
-            for c in values
-        ]
-    )
-    return counted.select(F.inline(rows))
+    columns = list(values)
+    totals = contributions.agg(*[F.sum(c).alias(f"t{i}") for i, c in enumerate(columns)], *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)])
+    means = [values[c] == "mean" for c in columns]
+
+    def effects(sums, row):
+        out = []
+        for i, mean in enumerate(means):
+            n = row[f"n{i}"] if mean else 1
+            out.append((sums[i] / n if n else sums[i], None if row[f"t{i}"] is None else row[f"t{i}"] / n))
+        return out
+
+    sums = sign_sums(contributions, cluster, columns, endpoint_seed(endpoint, "sign_flip"), flips)
+    found = count_extreme(sums, totals, effects, len(columns), EXTREME_TOLERANCE)
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("effect") + 1)
+    return found.select(name.alias("contrast"), "observed", "n_extreme", ((F.col("n_extreme") + 1) / F.lit(flips + 1)).alias("p_value"))
 
 
 #: An exact test lists every sign pattern: about a million rows a key at most.
@@ -261,31 +257,27 @@ def bootstrap_rmse_effect(wells: DataFrame, cluster: str, left, right, ranges, d
 
 def sign_flip_rmse(wells: DataFrame, cluster: str, left, right, ranges, endpoint, flips=FLIPS) -> DataFrame:
     """A flip swaps the two methods' errors of a well; the effect is nonlinear in the sums."""
-    half = [((F.col(a) - F.col(b)) / 2).alias(f"_h{i}") for i, (a, b) in enumerate(zip(left, right))]
-    totals = wells.agg(
-        *[F.sum((F.col(a) + F.col(b)) / 2).alias(f"_m{i}") for i, (a, b) in enumerate(zip(left, right))],
-        *[F.sum((F.col(a) - F.col(b)) / 2).alias(f"_o{i}") for i, (a, b) in enumerate(zip(left, right))],
-        F.sum("n").alias("_n"),
-    )
     k = range(len(left))
-    flipped = (
-        signs(wells, cluster, endpoint, flips)
-        .join(wells.select(cluster, *half), cluster)
-        .groupBy("flip")
-        .agg(*[F.sum(F.col(f"_h{i}") * F.col("s")).alias(f"_s{i}") for i in k])
-        .join(F.broadcast(totals), F.lit(True))  # one-row side
+    halves = wells.select(cluster, "n", *left, *right, *[((F.col(a) - F.col(b)) / 2).alias(f"_h{i}") for i, (a, b) in enumerate(zip(left, right))])
+    totals = halves.agg(
+        *[F.sum((F.col(a) + F.col(b)) / 2).alias(f"m{i}") for i, (a, b) in enumerate(zip(left, right))],
+        *[F.sum(f"_h{i}").alias(f"o{i}") for i in k],
+        F.sum("n").alias("wells"),
     )
 
-    def effect(part):
-        lo = pooled_rmse([F.greatest(F.col(f"_m{i}") + F.col(f"{part}{i}"), F.lit(0.0)) for i in k], F.col("_n"), ranges)
-        hi = pooled_rmse([F.greatest(F.col(f"_m{i}") - F.col(f"{part}{i}"), F.lit(0.0)) for i in k], F.col("_n"), ranges)
-        return 100.0 * (lo - hi)
+    def effect(row, part):
+        def error(sign):
+            parts = [np.sqrt(np.maximum(row[f"m{i}"] + sign * part[i], 0.0) / row["wells"]) / float(r) for i, r in enumerate(ranges)]
+            return sum(parts) / len(parts)
 
-    out = flipped.agg(
-        F.max(effect("_o")).alias("observed"),
-        _extreme(effect("_s"), effect("_o")).alias("n_extreme"),
-    )
-    return out.withColumn("p_value", (F.col("n_extreme") + 1) / F.lit(flips + 1))
+        return 100.0 * (error(1.0) - error(-1.0))
+
+    def effects(sums, row):
+        return [(effect(row, sums), float(effect(row, [np.float64(row[f"o{i}"]) for i in k])) if row["wells"] else None)]
+
+    sums = sign_sums(halves, cluster, [f"_h{i}" for i in k], endpoint_seed(endpoint, "sign_flip"), flips)
+    found = count_extreme(sums, totals, effects, 1, EXTREME_TOLERANCE)
+    return found.select("observed", "n_extreme", ((F.col("n_extreme") + 1) / F.lit(flips + 1)).alias("p_value"))
 
 
 def holm(df: DataFrame, keys: list[str], p: str = "p_value", hypothesis: str = "hypothesis", alpha: float = 0.05) -> DataFrame:

@@ -12,9 +12,9 @@ from .registry import query
 from .tables import sql_uniform, table
 
 R = A.rounded
-DRAWS = 200
-N_FLIPS = 20_000
-REF, CAND = "mse", "wasserstein_1"
+DRAWS = I.RESAMPLES
+N_FLIPS = I.FLIPS
+REF = "mse"
 
 
 def sql_draws(clusters: str, cluster: str, endpoint: str, resamples: int = DRAWS) -> str:
@@ -42,32 +42,52 @@ def draw_table(spark, sf):
     return d.withColumn("resample", F.col("resample").cast("long"))
 
 
-def _two(spark, sf):
-    return O.observations(spark, sf).filter(F.col("metric").isin(REF, CAND))
+def sql_sign(endpoint: str, cluster: str) -> str:
+    """Sign of ``flip`` for a cluster: one bit of the digest of (seed, flip // 128, cluster)."""
+    digest = f"md5('{I.endpoint_seed(endpoint, 'sign_flip')}|' || (flip // 128) || '|' || {cluster})"
+    return f"CASE WHEN (('0x' || substr({digest}, 1 + ((flip % 128) // 4)::INT, 1))::INT >> (flip % 4)::INT) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
 
 
-_BOOT_KEYS = "metric, resample"
+def sql_explained(source: str, keys: str, name: str) -> str:
+    """CTE ``name``: per key the sum over pools of swy^2 / sw of the increasing fit; ``source`` has keys, x, y, weight.
+
+    Points in order of x are folded into a list of pools; a new point takes the
+    last pools while they are not below it.
+    """
+    pool = "{'w': a.w + b.w, 't': a.t + b.t, 'n': a.n + 1, 'go': true}"
+    stop = "{'w': a.w, 't': a.t, 'n': a.n, 'go': false}"
+    return f"""
+{name}_p AS (SELECT {keys}, x, sum(weight)::DOUBLE AS w, sum(weight * y)::DOUBLE AS t FROM {source} GROUP BY {keys}, x),
+{name}_l AS (SELECT {keys}, list([{{'w': w, 't': t}}] ORDER BY x) AS pts FROM {name}_p GROUP BY {keys}),
+{name} AS MATERIALIZED (SELECT {keys}, list_sum(list_transform(list_reduce(pts, lambda s, p:
+  list_transform([list_reduce(list_prepend({{'w': p[1].w, 't': p[1].t, 'n': 0, 'go': true}}, list_transform(list_reverse(s), lambda e: {{'w': e.w, 't': e.t, 'n': 1, 'go': true}})),
+    lambda a, b: CASE WHEN a.go AND b.t * a.w >= a.t * b.w THEN {pool} ELSE {stop} END)], lambda z: list_append(s[1:len(s) - z.n], {{'w': z.w, 't': z.t}}))[1]),
+  lambda e: e.t * e.t / e.w)) AS explained FROM {name}_l)"""
+
+
+def sql_draw_statistics(obs: str, keys: str) -> str:
+    """CTE ``ds``: keys, resample, ag, oc of every draw, from ``draws``, ``obs`` and ``coc`` (cluster concordance with the keys)."""
+    return f"""
+wo AS MATERIALIZED (SELECT {keys}, d.resample, o.perturbation_id, o.x, o.y, d.weight FROM {obs} o JOIN draws d USING (cluster_id)),
+wb AS (SELECT *, '*' AS part FROM wo UNION ALL SELECT *, perturbation_id FROM wo),
+{sql_explained('wb', f'{keys}, resample, part', 'ex')},
+bp AS (SELECT {keys}, resample, sum(explained) FILTER (part = '*') AS p, sum(explained) FILTER (part <> '*') AS s FROM ex GROUP BY ALL),
+bt AS (SELECT {keys}, resample, sum(weight * y * y) AS yy, sum(weight * y * y) - sum(weight * y) * sum(weight * y) / sum(weight) AS sst, min(x) = max(x) AS still FROM wo GROUP BY ALL),
+ba AS (SELECT {keys}, resample, CASE WHEN NOT sst > 1e-13 * yy THEN NULL WHEN still THEN 0.0 ELSE greatest((s - p) / sst, 0) END AS ag FROM bp JOIN bt USING ({keys}, resample)),
+bo AS (SELECT {keys}, d.resample, sum(c.oc * d.weight) / sum(d.weight) AS oc FROM coc c JOIN draws d USING (cluster_id) GROUP BY ALL),
+ds AS MATERIALIZED (SELECT {keys}, resample, ag, oc FROM ba JOIN bo USING ({keys}, resample))"""
 
 
 @query(
     "bootstrap_alignment",
-    f"WITH {O.SQL_OBS}, {sql_draws('obs', 'cluster_id', 'panel')}, {O.sql_pairs()},"
+    f"WITH {O.SQL_OBS}, {sql_draws('obs', 'cluster_id', 'panel')}, {O.sql_pairs()}, {sql_draw_statistics('obs', 'metric')},"
     + f"""
-wo AS MATERIALIZED (SELECT o.metric, d.resample, o.perturbation_id, o.x, o.y, d.weight FROM obs o JOIN draws d USING (cluster_id) WHERE o.metric IN ('{REF}', '{CAND}')),
-wb AS (SELECT *, '*' AS part FROM wo UNION ALL SELECT *, perturbation_id FROM wo),
-{O.sql_isotonic('wb', 'metric, resample, part', 'bi', 'weight')},
-bs AS (SELECT metric, resample, part, sum(swyy - 2 * fit * swy + fit * fit * sw) AS sse FROM bi GROUP BY ALL),
-bp AS (SELECT metric, resample, sum(sse) FILTER (part = '*') AS p, sum(sse) FILTER (part <> '*') AS s FROM bs GROUP BY ALL),
-bt AS (SELECT metric, resample, sum(weight * y * y) - sum(weight * y) * sum(weight * y) / sum(weight) AS sst FROM wo GROUP BY ALL),
-ba AS (SELECT metric, resample, CASE WHEN sst > 0 THEN greatest((p - s) / sst, 0) END AS ag FROM bp JOIN bt USING (metric, resample)),
-bo AS (SELECT c.metric, d.resample, sum(c.oc * d.weight) / sum(d.weight) AS oc FROM coc c JOIN draws d USING (cluster_id) GROUP BY ALL),
-bb AS (SELECT a.metric, a.resample, a.ag, b.oc, ra.ag - a.ag AS d_ag, b.oc - ro.oc AS d_oc FROM ba a JOIN bo b USING (metric, resample)
-  JOIN ba ra ON ra.resample = a.resample AND ra.metric = '{REF}' JOIN bo ro ON ro.resample = a.resample AND ro.metric = '{REF}')
+bb AS (SELECT a.*, r.ag - a.ag AS d_ag, a.oc - r.oc AS d_oc FROM ds a JOIN ds r ON r.resample = a.resample AND r.metric = '{REF}')
 SELECT metric, {sql_ci('ag')}, {sql_ci('d_ag')}, round(quantile_cont(oc, 0.025), 9) + 0.0 AS oc_lower, round(quantile_cont(oc, 0.975), 9) + 0.0 AS oc_upper,
   round(quantile_cont(d_oc, 0.025), 9) + 0.0 AS d_oc_lower, round(quantile_cont(d_oc, 0.975), 9) + 0.0 AS d_oc_upper, count_if(ag IS NULL)::BIGINT AS failed_draws FROM bb GROUP BY metric""",
 )
 def bootstrap_alignment(spark, sf):
-    obs = _two(spark, sf)
+    obs = O.observations(spark, sf)
     oc = L.cluster_concordance(L.concordance_cells(obs, K), K).select("metric", "cluster_id", "oc")
     draws = I.draw_table(obs, "cluster_id", "panel", DRAWS)
     df = I.bootstrap_alignment(obs, oc, REF, draws)
@@ -167,14 +187,14 @@ def bootstrap_ratio(spark, sf):
     + " FROM w), t AS (SELECT sum(n) AS n, "
     + ", ".join(f"sum((c{i} + s{i}) / 2) AS m{i}, sum((c{i} - s{i}) / 2) AS o{i}" for i in range(3))
     + f""" FROM w),
-g AS (SELECT flip, CASE WHEN {sql_uniform("'" + I.endpoint_seed('supplier', 'sign_flip') + "|' || flip || '|' || l_suppkey")} < 0.5 THEN -1.0 ELSE 1.0 END AS s, h.* FROM h, range(0, 2000) r(flip)),
+g AS (SELECT flip, {sql_sign('supplier', 'l_suppkey')} AS s, h.* FROM h, range(0, {N_FLIPS}) r(flip)),
 f AS (SELECT flip, {', '.join(f'sum(h{i} * s) AS s{i}' for i in range(3))} FROM g GROUP BY flip),
 e AS (SELECT 100.0 * ({_sql_rmse([f'greatest(m{i} + s{i}, 0)' for i in range(3)])} - {_sql_rmse([f'greatest(m{i} - s{i}, 0)' for i in range(3)])}) AS v,
   100.0 * ({_sql_rmse([f'greatest(m{i} + o{i}, 0)' for i in range(3)])} - {_sql_rmse([f'greatest(m{i} - o{i}, 0)' for i in range(3)])}) AS o FROM f, t)
-SELECT round(max(o), 6) AS observed, count_if(abs(v) + 1e-15 >= abs(o))::BIGINT AS n_extreme, round((count_if(abs(v) + 1e-15 >= abs(o)) + 1) / 2001.0::DOUBLE, 6) AS p_value FROM e""",
+SELECT round(max(o), 6) AS observed, count_if(abs(v) + 1e-15 >= abs(o))::BIGINT AS n_extreme, round((count_if(abs(v) + 1e-15 >= abs(o)) + 1) / {N_FLIPS + 1}.0::DOUBLE, 6) AS p_value FROM e""",
 )
 def sign_flip_rmse(spark, sf):
-    df = I.sign_flip_rmse(wells(spark, sf), "l_suppkey", _L, _RR, _RANGES, "supplier", 2000)
+    df = I.sign_flip_rmse(wells(spark, sf), "l_suppkey", _L, _RR, _RANGES, "supplier", N_FLIPS)
     return df.select(R(F.col("observed")).alias("observed"), "n_extreme", R(F.col("p_value")).alias("p_value"))
 
 
@@ -237,7 +257,7 @@ cc AS MATERIALIZED (SELECT metric, cluster_id, sum(e_pooled - e_separate) / any_
 df AS MATERIALIZED (SELECT c.metric || '_ag' AS contrast, c.cluster_id, r.a - c.a AS v, 'sum' AS how FROM cc c JOIN cc r ON r.cluster_id = c.cluster_id AND r.metric = '{REF}' WHERE c.metric <> '{REF}'
   UNION ALL SELECT c.metric || '_oc', c.cluster_id, c.oc - r.oc, 'mean' FROM coc c JOIN coc r ON r.cluster_id = c.cluster_id AND r.metric = '{REF}' WHERE c.metric <> '{REF}'),
 ob AS (SELECT contrast, CASE any_value(how) WHEN 'sum' THEN sum(v) ELSE avg(v) END AS observed FROM df GROUP BY contrast),
-sg AS (SELECT flip, cluster_id, CASE WHEN {sql_uniform("'" + I.endpoint_seed('panel', 'sign_flip') + "|' || flip || '|' || cluster_id")} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s
+sg AS (SELECT flip, cluster_id, {sql_sign('panel', 'cluster_id')} AS s
   FROM (SELECT DISTINCT cluster_id FROM df), range(0, {N_FLIPS}) r(flip)),
 pe AS (SELECT contrast, flip, CASE any_value(how) WHEN 'sum' THEN sum(s * v) ELSE avg(s * v) END AS t FROM df JOIN sg USING (cluster_id) GROUP BY ALL),
 fp AS MATERIALIZED (SELECT contrast, any_value(observed) AS observed, count_if(abs(t) + 1e-15 >= abs(observed))::BIGINT AS n_extreme,
