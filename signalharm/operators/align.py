@@ -278,19 +278,6 @@ def compare(stats: DataFrame, keys: list[str], reference: str, metric: str = "me
     ).drop("_ag", "_oc")
 
 
-def protocol_contrast(stats: DataFrame, first: str, second: str, reference: str) -> DataFrame:
-    """Second minus first panel: AG, OC and the change of the contrast to the reference."""
-    d = compare(stats, ["panel"], reference)
-
-    def at(panel, column):
-        return F.max(F.when(F.col("panel") == panel, F.col(column)))
-
-    names = {"delta_ag": "ag", "delta_oc": "oc", "interaction_ag": "d_ag", "interaction_oc": "d_oc"}
-    return d.groupBy("metric").agg(
-        *[(at(second, c) - at(first, c)).alias(n) for n, c in names.items()]
-    )
-
-
 def decompose(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Gap per perturbation family with its curve errors and zero-harm share."""
     sst = nodes.groupBy(*keys).agg(

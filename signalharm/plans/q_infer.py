@@ -225,18 +225,18 @@ def bootstrap_mechanism(spark, sf):
     )
 
 
-def contrast_columns(spark, sf):
+def contrast_columns(spark, sf, adapted=False):
     """Wide per-cluster contrasts against the reference, persisted: every test reads it."""
     others = [m for m in O.OUTPUTS if m != REF]
     how = {**{f"{m}_ag": "sum" for m in others}, **{f"{m}_oc": "mean" for m in others}}
-    key = (spark.sparkContext.applicationId, sf, "contrasts")
+    key = (spark.sparkContext.applicationId, sf, "contrasts", adapted)
     if key not in O._CACHE:
-        O._CACHE[key] = _contrasts(spark, sf, others).persist()
+        O._CACHE[key] = _contrasts(spark, sf, others, adapted).persist()
     return O._CACHE[key], how
 
 
-def _contrasts(spark, sf, others):
-    obs = O.observations(spark, sf)
+def _contrasts(spark, sf, others, adapted):
+    obs = O.observations(spark, sf, adapted=adapted)
     ag = L.gap_contributions(L.fitted_nodes(obs, K), K)
     oc = L.cluster_concordance(L.concordance_cells(obs, K), K)
     both = ag.join(oc.select("metric", "cluster_id", "oc"), ["metric", "cluster_id"])
@@ -250,9 +250,10 @@ def _contrasts(spark, sf, others):
     )
 
 
-SQL_FLIP = (
-    f"{O.SQL_OBS}, {O.sql_nodes()}, {O.sql_pairs()}, "
-    + f"""tt AS (SELECT metric, var_pop(y) * count(*) AS sst FROM nodes GROUP BY metric),
+def sql_flip(adapted: bool = False) -> str:
+    return (
+        f"{O.sql_observations(adapted)}, {O.sql_nodes()}, {O.sql_pairs()}, "
+        + f"""tt AS (SELECT metric, var_pop(y) * count(*) AS sst FROM nodes GROUP BY metric),
 cc AS MATERIALIZED (SELECT metric, cluster_id, sum(e_pooled - e_separate) / any_value(sst) AS a FROM nodes JOIN tt USING (metric) GROUP BY ALL),
 df AS MATERIALIZED (SELECT c.metric || '_ag' AS contrast, c.cluster_id, r.a - c.a AS v, 'sum' AS how FROM cc c JOIN cc r ON r.cluster_id = c.cluster_id AND r.metric = '{REF}' WHERE c.metric <> '{REF}'
   UNION ALL SELECT c.metric || '_oc', c.cluster_id, c.oc - r.oc, 'mean' FROM coc c JOIN coc r ON r.cluster_id = c.cluster_id AND r.metric = '{REF}' WHERE c.metric <> '{REF}'),
@@ -262,7 +263,10 @@ sg AS (SELECT flip, cluster_id, {sql_sign('panel', 'cluster_id')} AS s
 pe AS (SELECT contrast, flip, CASE any_value(how) WHEN 'sum' THEN sum(s * v) ELSE avg(s * v) END AS t FROM df JOIN sg USING (cluster_id) GROUP BY ALL),
 fp AS MATERIALIZED (SELECT contrast, any_value(observed) AS observed, count_if(abs(t) + 1e-15 >= abs(observed))::BIGINT AS n_extreme,
   (count_if(abs(t) + 1e-15 >= abs(observed)) + 1) / {N_FLIPS + 1}.0::DOUBLE AS p_value FROM pe JOIN ob USING (contrast) GROUP BY contrast)"""
-)
+    )
+
+
+SQL_FLIP = sql_flip()
 
 
 @query(

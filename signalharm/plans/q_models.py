@@ -217,41 +217,6 @@ def _attach(spark, sf, x):
 _GM = """gp AS MATERIALIZED (SELECT a.signal_id, a.class_id AS cluster_id, a.perturbation_id, a.alpha, a.k, a.v AS c, b.v AS r FROM gv a JOIN gv b ON b.signal_id = a.signal_id AND b.k = a.k AND b.perturbation_id = 'id' WHERE a.perturbation_id <> 'id')"""
 
 
-@query(
-    "bridges",
-    f"WITH {O.sql_observations()}, {_GM}, gs AS (SELECT signal_id, cluster_id, perturbation_id, alpha, avg((c - r) * (c - r)) AS h FROM gp GROUP BY ALL),"
-    + f""" xg AS (SELECT cluster_id, perturbation_id, alpha, avg(h) AS x FROM gs GROUP BY ALL),
-gx AS (SELECT 'common_grid_mse' AS metric, cluster_id, perturbation_id, alpha, {O.sql_settled('x', '1')} AS x FROM xg),
-bo_ AS MATERIALIZED (SELECT * FROM obs WHERE metric = 'wasserstein_1' UNION ALL SELECT metric, cluster_id, perturbation_id, alpha, x, y FROM gx JOIN yh USING (cluster_id, perturbation_id, alpha)),"""
-    + O.sql_nodes("bo_")
-    + ","
-    + O.sql_gap()
-    + ","
-    + O.sql_pairs("bo_")
-    + """ SELECT round(a.ag, 6) + 0.0 AS native_w1_ag, round(b.ag, 6) + 0.0 AS common_grid_mse_ag, round(b.ag - a.ag, 6) + 0.0 AS delta_ag,
- round(c.oc, 9) + 0.0 AS native_w1_oc, round(d.oc, 9) + 0.0 AS common_grid_mse_oc, round(c.oc - d.oc, 9) + 0.0 AS delta_oc
-FROM ag a, ag b, ocs c, ocs d WHERE a.metric = 'wasserstein_1' AND b.metric = 'common_grid_mse' AND c.metric = 'wasserstein_1' AND d.metric = 'common_grid_mse'""",
-)
-def bridges(spark, sf):
-    """Native transport measure against the squared error on the common grid."""
-    g = grid_pairs(spark, sf)
-    h = A.sum_squares(F.zip_with("gr", "gc", lambda a, b: b - a)) / F.size("gr")
-    x = g.groupBy(F.col("class_id").alias("cluster_id"), "perturbation_id", "alpha").agg(F.avg(h).alias("x"))
-    mse = _attach(spark, sf, M.settled(x.withColumn("metric", F.lit("common_grid_mse")), ["metric"]))
-    w1 = O.observations(spark, sf).filter(F.col("metric") == "wasserstein_1")
-    s = statistics(w1.unionByName(mse.select(w1.columns)).persist(), K)
-    at = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    w, g_ = "wasserstein_1", "common_grid_mse"
-    return s.agg(
-        R(at(w, "ag")).alias("native_w1_ag"),
-        R(at(g_, "ag")).alias("common_grid_mse_ag"),
-        R(at(g_, "ag") - at(w, "ag")).alias("delta_ag"),
-        R9(at(w, "oc")).alias("native_w1_oc"),
-        R9(at(g_, "oc")).alias("common_grid_mse_oc"),
-        R9(at(w, "oc") - at(g_, "oc")).alias("delta_oc"),
-    )
-
-
 _NORMS = ("none", "max", "area", "snv")
 
 

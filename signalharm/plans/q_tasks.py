@@ -16,7 +16,7 @@ from ..operators.perturb import perturb
 from ..operators.quantiles import exact_quantiles
 from . import observations as O
 from . import sqltext as T
-from .q_align import K, R9, _SCOPES, _SQL_SCOPED, scoped, statistics
+from .q_align import K, statistics
 from .q_infer import HOLM_SQL, REF, SQL_FLIP, N_FLIPS, contrast_columns, wells, _WELLS
 from .q_measures import pair
 from .q_splits import _EMB, SQL_QUERY_LIBRARY
@@ -263,33 +263,6 @@ def harm_parts(spark, sf):
     return df.withColumns({c: R(F.col(c)) for c in nums})
 
 
-@query(
-    "harm_shares",
-    f"WITH {SQL_FIXED}, p AS (SELECT perturbation_id, avg(greatest(y, 0)) AS pm, avg(abs(y)) AS am FROM yh GROUP BY ALL), t AS (SELECT sum(pm) AS pt, sum(am) AS tot_abs FROM p),"
-    + " c AS (SELECT perturbation_id AS component, pm, am FROM p UNION ALL SELECT 'axis', sum(pm), sum(am) FROM p WHERE perturbation_id IN ('p11', 'p12'))"
-    + " SELECT component, CASE WHEN pt > 0 THEN round(pm / pt, 6) END AS positive_share, CASE WHEN tot_abs > 0 THEN round(am / tot_abs, 6) END AS absolute_share FROM c, t",
-)
-def harm_shares(spark, sf):
-    """Family shares of positive and absolute harm, plus the combined axis group."""
-    y = O.class_harm(O.outcomes(spark, sf))
-    p = tasks.harm_parts(y, ["perturbation_id"])
-    total = Window.partitionBy(F.lit(0))  # five family rows
-    p = p.withColumns(
-        {
-            "positive_share": F.col("positive_mean") / F.sum("positive_mean").over(total),
-            "absolute_share": F.col("absolute_mean") / F.sum("absolute_mean").over(total),
-        }
-    )
-    names = F.array_compact(
-        F.array("perturbation_id", F.when(F.col("perturbation_id").isin("p11", "p12"), F.lit("axis")))
-    )
-    return (
-        p.select(F.explode(names).alias("component"), "positive_share", "absolute_share")
-        .groupBy("component")
-        .agg(R(F.sum("positive_share")).alias("positive_share"), R(F.sum("absolute_share")).alias("absolute_share"))
-    )
-
-
 # -- measures to harms ----------------------------------------------------------
 
 
@@ -429,19 +402,6 @@ def paired_obs(spark, sf):
     return U.paired_observations(O.observations(spark, sf), O.observations(spark, sf, adapted=True), ["metric"])
 
 
-@query(
-    "protocol_contrast",
-    f"WITH {SQL_PANELS}, r AS (SELECT panel, ag AS rag, oc AS roc FROM st2 WHERE metric = 'mse'), d AS (SELECT s.*, r.rag - s.ag AS d_ag, s.oc - r.roc AS d_oc FROM st2 s JOIN r USING (panel))"
-    + """ SELECT a.metric, round(b.ag - a.ag, 6) + 0.0 AS delta_ag, round(b.oc - a.oc, 9) + 0.0 AS delta_oc, round(b.d_ag - a.d_ag, 6) + 0.0 AS interaction_ag, round(b.d_oc - a.d_oc, 9) + 0.0 AS interaction_oc
- FROM d a JOIN d b ON a.metric = b.metric AND a.panel = 'fixed' AND b.panel = 'adapted'""",
-)
-def protocol_contrast(spark, sf):
-    df = L.protocol_contrast(panel_statistics(spark, sf), "fixed", "adapted", REF)
-    return df.select(
-        "metric", *[(R9 if c.endswith("oc") else R)(F.col(c)).alias(c) for c in ("delta_ag", "delta_oc", "interaction_ag", "interaction_oc")]
-    )
-
-
 @query(
     "protocol_gap",
     f"WITH {SQL_BOTH}, g AS (SELECT a.cluster_id, a.perturbation_id, a.alpha, a.y - b.y AS gap FROM yh a JOIN yh2 b USING (cluster_id, perturbation_id, alpha))"
@@ -456,30 +416,6 @@ def protocol_gap(spark, sf):
     return df.filter(F.col("perturbation_id").isNotNull())
 
 
-@query(
-    "interactions",
-    f"WITH {SQL_PANELS}, so AS MATERIALIZED (SELECT 'all5' AS scope, * FROM panels UNION ALL SELECT 'no_axis', * FROM panels WHERE perturbation_id IN ('p08', 'p09', 'p10')),"
-    + O.sql_pairs("so", "scope, panel, metric").replace("pr AS", "pr2 AS").replace("FROM pr ", "FROM pr2 ").replace("cells AS", "cells2 AS").replace("FROM cells ", "FROM cells2 ").replace("coc AS", "coc2 AS").replace("FROM coc ", "FROM coc2 ").replace("ocs AS", "ocs2 AS")
-    + """, dl AS (SELECT w.scope, w.panel, w.oc - m.oc AS d FROM ocs2 w JOIN ocs2 m ON m.scope = w.scope AND m.panel = w.panel AND m.metric = 'mse' WHERE w.metric = 'wasserstein_1')
-SELECT a.scope, round(a.d, 9) + 0.0 AS delta_a, round(b.d, 9) + 0.0 AS delta_b, round(b.d - a.d, 9) + 0.0 AS interaction FROM dl a JOIN dl b ON a.scope = b.scope AND a.panel = 'fixed' AND b.panel = 'adapted'""",
-)
-def interactions(spark, sf):
-    """Concordance contrast of the transport measure, adapted minus fixed, per scope."""
-    keys = ["scope", "panel", "metric"]
-    oc = L.concordance(L.concordance_cells(scoped(panels(spark, sf)), keys), keys)
-    at = lambda m, p: F.max(F.when((F.col("metric") == m) & (F.col("panel") == p), F.col("oc")))
-    df = oc.groupBy("scope").agg(
-        (at("wasserstein_1", "fixed") - at(REF, "fixed")).alias("delta_a"),
-        (at("wasserstein_1", "adapted") - at(REF, "adapted")).alias("delta_b"),
-    )
-    return df.select(
-        "scope",
-        R9(F.col("delta_a")).alias("delta_a"),
-        R9(F.col("delta_b")).alias("delta_b"),
-        R9(F.col("delta_b") - F.col("delta_a")).alias("interaction"),
-    )
-
-
 @query(
     "rank_stability",
     f"""WITH {SQL_PANELS}, w AS (SELECT a.metric, round(a.ag, 9) AS a, round(b.ag, 9) AS b, -round(a.oc, 9) AS c, -round(b.oc, 9) AS d FROM st2 a JOIN st2 b ON a.metric = b.metric AND a.panel = 'fixed' AND b.panel = 'adapted'),
@@ -525,8 +461,8 @@ pq AS MATERIALIZED (SELECT *, CASE WHEN ag_verdict = 'favourable' AND oc_verdict
 )
 
 
-def profiles(spark, sf):
-    wide, how = contrast_columns(spark, sf)
+def profiles(spark, sf, adapted=False):
+    wide, how = contrast_columns(spark, sf, adapted)
     p = I.sign_flip(wide, "cluster_id", how, "panel", N_FLIPS).withColumn("panel_family", F.lit(1))
     p = I.holm(p, ["panel_family"], hypothesis="contrast")
     metric = F.expr("left(contrast, length(contrast) - 3)").alias("metric")
@@ -552,27 +488,6 @@ def decision_profile(spark, sf):
     )
 
 
-@query(
-    "panel_summary",
-    f"WITH {SQL_FLIP}, {_PROFILE}, {O.sql_gap()}"
-    + """ SELECT 'fixed' AS panel, round((SELECT ag FROM ag WHERE metric = 'mse'), 6) AS reference_ag, round((SELECT oc FROM ocs WHERE metric = 'mse'), 9) AS reference_oc,
- coalesce(string_agg(metric, ';' ORDER BY metric) FILTER (profile = 'joint'), '') AS joint, coalesce(string_agg(metric, ';' ORDER BY metric) FILTER (profile = 'ag_only'), '') AS ag_only,
- coalesce(string_agg(metric, ';' ORDER BY metric) FILTER (profile = 'oc_only'), '') AS oc_only FROM pq""",
-)
-def panel_summary(spark, sf):
-    """Reference statistics and the three verdict lists of one panel."""
-    ref = statistics(O.observations(spark, sf), K).filter(F.col("metric") == REF)
-
-    def names(profile):
-        return F.array_join(
-            F.array_sort(F.collect_list(F.when(F.col("profile") == profile, F.col("metric")))), ";"
-        ).alias(profile)
-
-    lists = profiles(spark, sf).agg(names("joint"), names("ag_only"), names("oc_only"))
-    one = ref.select(R(F.col("ag")).alias("reference_ag"), R9(F.col("oc")).alias("reference_oc"))
-    return one.join(F.broadcast(lists), F.lit(True)).withColumn("panel", F.lit("fixed"))
-
-
 @query(
     "reproduce_check",
     f"WITH {O.SQL_OBS}, {O.sql_pairs()}, p AS (SELECT metric, CASE WHEN metric = 'sam' THEN oc + 0.25 ELSE oc END AS oc FROM ocs WHERE metric <> 'nmse' UNION ALL SELECT 'retired', 0.5)"
