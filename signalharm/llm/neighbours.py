@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every vector is indexed in its leaf.  A
 query walks the tree through a priority queue of node distances, which orders
 the leaves; it visits as many as a calibration asks for: the visits widen until
 the recall of calibration queries, measured against brute force over all
-vectors, reaches the target.
+vectors, reaches the target.  A query whose leaves hold too few vectors for a
+whole answer goes on through its queue until they do.
 """
 
 import heapq
@@ -77,14 +78,15 @@ class Tree:
                 open_[int(child)] = rows[near == child]
         return node
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a best-bin-first walk."""
-        out, queue = [], [(0.0, 0)]
-        while queue and len(out) < most:
-            _, n = heapq.heappop(queue)
-            a, b = self.children[n]
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first walk, and more until they hold ``need`` ids (``held``: ids of each leaf)."""
+        out, queue, n = [], [(0.0, 0)], 0
+        while queue and (len(out) < most or n < need):
+            node = heapq.heappop(queue)[1]
+            a, b = self.children[node]
             if a == b:
-                out.append(self.leaf[n])
+                out.append(self.leaf[node])
+                n += 0 if held is None else held[self.leaf[node]]
                 continue
             for j, d in enumerate(_squares(q[None], self.centres[a:b])[0].tolist()):
                 heapq.heappush(queue, (d, a + j))
@@ -167,8 +169,14 @@ def nearest(
     queries = asked.select("v").distinct()
     most = _calibrated(members, queries, tree, k, target, calibration)
 
-    counts = members.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))  # a row a leaf
+    counts = members.groupBy("leaf").agg(  # a row a leaf
+        F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"), F.sum(F.size("ids")).alias("ids")
+    )
     counts = stored(counts, "leaf-chunks")
+    held = np.zeros(tree.leaves, np.int64)
+    for r in counts.collect():
+        held[r.leaf] = r.ids
+    counts = counts.drop("ids")
     members = members.join(F.broadcast(counts), "leaf").select(
         "leaf", F.pmod(F.xxhash64("v"), "chunks").cast("int").alias("chunk"), "v", "ids"
     )
@@ -176,7 +184,7 @@ def nearest(
     def visiting(batches):
         for batch in batches:
             v = _vectors(batch.column("v"))
-            leaves = [tree.visits(q, most) for q in v]
+            leaves = [tree.visits(q, most, held, k + 1) for q in v]  # a query finds itself, too
             at = np.repeat(np.arange(len(v)), [len(x) for x in leaves])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for xs in leaves for x in xs], pa.int64()), batch.column("v").take(pa.array(at))], ["leaf", "q"]

@@ -99,3 +99,16 @@ def test_nearest_of_few(spark):
     assert got == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
     assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0
     assert neighbours.nearest(spark.createDataFrame([(1, [1.0])], schema)).count() == 0
+
+
+def test_far_queries_get_whole_answers(spark):
+    """Small far groups have leaves of their own: their queries go on until they have k neighbours."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(16, 8)) * 5
+    data = [(i + 1 if (i + 1) % 100 else 10_000_001 + i, (centres[i % 16] + rng.normal(size=8) * 0.05).tolist()) for i in range(4000)]
+    data += [(100 * (j + 1), (np.eye(8)[j] * 10_000).tolist()) for j in range(4)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, leaf_rows=32, sample=4000).collect()
+    for j in range(4):
+        own = sorted((r.rank, r.vec_id) for r in got if r.query_id == 100 * (j + 1))
+        assert [r for r, _ in own] == list(range(1, 11)) and len({i for _, i in own}) == 10
