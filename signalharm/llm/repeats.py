@@ -27,7 +27,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import broadcast
 
 from signalharm.llm.common import slices, stored
 
@@ -36,8 +35,6 @@ BLOCK_BYTES = 4 << 20
 STEP = 1 << 17
 LAST = np.iinfo(np.int64).max
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bitmaps of shared anchors are broadcast up to this size; beyond it blocks and bitmaps are shuffled.
-BROADCAST_BYTES = 32 << 20
 #: An anchor in more blocks, or with more windows in a block, goes by its windows' hashes.
 HOT_BLOCKS, HOT_WINDOWS = 16, 1024
 
@@ -240,10 +237,8 @@ def shared_anchors(blocks: DataFrame, symbols: Symbols, length: int, gram: int,
 
 
 def with_shared(blocks: DataFrame, shared: DataFrame) -> DataFrame:
-    """Blocks and their bitmaps, a bit for each anchor; these are broadcast up to BROADCAST_BYTES."""
-    size = F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + F.length(x["shared"]) + F.length(x["hot"]) + 16)
-    total = shared.agg(F.sum(size)).first()[0] or 0
-    return blocks.join(broadcast(shared) if total <= BROADCAST_BYTES else shared, "block")
+    """Blocks and their bitmaps, a bit for each anchor: the same join at every size."""
+    return blocks.join(shared.hint("merge"), "block")
 
 
 def shared_runs(row: dict, symbols: Symbols, length: int, gram: int, buckets: int, hashed: bool, hot: bool = False):
@@ -354,7 +349,7 @@ def hot_covered(blocks: DataFrame, shared: DataFrame, symbols: Symbols, length:
                 at = own.at[hit]
                 yield from covered(np.full(len(at), own.block.id), own.text[hit], at, at + length).to_batches()
 
-    return with_shared(blocks, shared).join(replies, "block").mapInArrow(marked, ddl)
+    return with_shared(blocks, shared).join(replies.hint("merge"), "block").mapInArrow(marked, ddl)
 
 
 def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -121,7 +121,7 @@ def of_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def with_covered(blocks: DataFrame, covered: DataFrame) -> DataFrame:
     lists = covered.groupBy("block").agg(F.collect_list(F.struct("texts", "begins", "ends")).alias("covered"))
-    return blocks.join(stored(lists, "covered-lists"), "block", "left")
+    return blocks.join(stored(lists, "covered-lists").hint("merge"), "block", "left")
 
 
 def remove_repeated_passages(

@@ -78,7 +78,6 @@ def test_levels_grow_geometrically():
 def test_shuffled_replies(spark, monkeypatch):
     from signalharm.llm import repeats
 
-    monkeypatch.setattr(repeats, "BROADCAST_BYTES", 0)
     got = substring_dedup.remove_repeated_passages(cases.documents(spark)).collect()
     found = sorted((r.doc_id if r.doc_id is not None else LAST, r.n_words, r.n_removed, r.kept_sha256) for r in got)
     assert found == brute(cases.rows(), 50, lambda t: t.encode().split())
