@@ -1,9 +1,10 @@
 """Toxicity of texts after a noisy-channel restoration.
 
 Writers hide words by digits and symbols for letters, by spaces between letters
-and by repetition.  A suspicious stretch becomes a lattice: each character
-stands for itself or for letters it may replace, separators and repeats may
-stand for nothing.  Viterbi finds the reading that a character trigram model of
+and by repetition.  A stretch with a symbol, a mark between letters or a letter twice
+becomes a lattice: each character stands for itself or for letters it may
+replace, marks and repeats may stand for nothing, and in letters parted by spaces
+a word may end anywhere.  Viterbi finds the reading that a character trigram model of
 the corpus likes best, given the channel's costs.  Words and word beginnings of
 the written and the restored text then give the features of a logistic score.
 """
@@ -33,16 +34,19 @@ LEET = {
     "4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "6": "g", "9": "g", "#": "h", "1": "il", "!": "il",
     "|": "l", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z",
 }
-#: Natural-log costs: a symbol for a letter, a separator or a repeat for nothing, a third letter kept.
-SUBSTITUTE, DROP, KEEP = 1.0, 0.2, 1.5
+#: Marks that may stand between letters for nothing.
+MARKS = "._*-/~'"
+#: Natural-log costs: a symbol for a letter, a mark or a repeat for nothing, a symbol for nothing, a third letter kept,
+#: a break between two words that is not written.
+SUBSTITUTE, DROP, LOSE, KEEP, BREAK = 1.0, 0.2, 2.5, 1.5, 1.0
 WORD = re.compile(r"[^\W\d_]+")
-#: Symbols between letters, letters parted by marks, or a letter three times.
-SUSPICIOUS = re.compile(
-    r"[A-Za-z][0-9@$!|(#+]{1,3}[A-Za-z]|(?<![^\W_])[A-Za-z0-9@$!](?:[._*-][A-Za-z0-9@$!]){2,}(?![^\W_])|([A-Za-z])\1\1"
-)
-LETTERS = re.compile(r"[A-Za-z0-9@$!|(#+._*-]+")
-#: Tokens that a worker remembers before it starts anew.
-MEMORY = 500_000
+#: What the decoder reads: a symbol or digit that may be a letter, a mark between letters, a letter twice.
+DISGUISED = re.compile(r"[0-9@$!|(#+]|[A-Za-z][._*/~'-]+(?=[A-Za-z])|([A-Za-z])\1")
+LETTERS = re.compile(r"[A-Za-z0-9@$!|(#+._*/~'-]+")
+#: Longer stretches are decoded in windows of so many characters; neighbours share OVERLAP.
+WINDOW, OVERLAP = 96, 32
+#: Tokens that a worker remembers before it starts anew, and the longest that it remembers.
+MEMORY, LONGEST = 200_000, 64
 
 
 def _classes() -> np.ndarray:
@@ -83,64 +87,83 @@ class Channel:
             count[g] += n
         count = count.reshape(CLASSES, CLASSES, CLASSES)
         self.log = np.log(count / count.sum(axis=2, keepdims=True)).tolist()
-        self.known: dict[str, str] = {}
-
-    def restore(self, written: str) -> str:
-        if written not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[written] = self._viterbi(written.lower())
-        return self.known[written]
-
-    def _viterbi(self, s: str) -> str:
-        best = {(0, 0): (0.0, "")}  # last two letters -> score, text
-        for i, c in enumerate(s):
-            options = [(c, 0.0)] if "a" <= c <= "z" else [(x, SUBSTITUTE) for x in LEET.get(c, "")]
-            nothing = DROP if c in " ._*-" or not options else None
+        self.known: dict[tuple[str, bool], list[str]] = {}
+
+    def restore(self, written: str, breaks: bool = False) -> list[str]:
+        """The words of the likeliest reading; ``breaks``: words may part where nothing is written."""
+        key = (written, breaks)
+        found = self.known.get(key)
+        if found is None:
+            found = self._viterbi(written.lower(), breaks)[1].split()
+            if len(written) <= LONGEST:
+                if len(self.known) > MEMORY:
+                    self.known.clear()
+                self.known[key] = found
+        return found
+
+    def _viterbi(self, s: str, breaks: bool = False) -> tuple[float, str]:
+        """Score and text of the best path.  A state is the last two classes (0: a word's edge)."""
+        log = self.log
+        best = {(0, 0): (0.0, "")}
+        for c in s:
+            plain = "a" <= c <= "z"
+            options = [(ord(c) - 96, c, 0.0)] if plain else [(ord(x) - 96, x, SUBSTITUTE) for x in LEET.get(c, "")]
+            nothing = None if plain else DROP if c in MARKS or not options else LOSE
+            if breaks:  # a word may end before this character
+                for (p, q), (score, text) in list(best.items()):
+                    if q:
+                        ended = score - BREAK + log[p][q][0]
+                        if (q, 0) not in best or ended > best[q, 0][0]:
+                            best[q, 0] = (ended, text + " ")
             after: dict[tuple[int, int], tuple[float, str]] = {}
-
-            def reach(state, score, text):
-                if state not in after or score > after[state][0]:
-                    after[state] = (score, text)
-
             for (p, q), (score, text) in best.items():
-                if nothing is not None:
-                    reach((p, q), score - nothing, text)
-                for x, cost in options:
-                    k = ord(x) - 96
+                if nothing is not None and ((p, q) not in after or score - nothing > after[p, q][0]):
+                    after[p, q] = (score - nothing, text)
+                for k, x, cost in options:
                     if k == q:  # a repeat may stand for nothing; keeping a third one is dear
-                        reach((p, q), score - DROP, text)
+                        if (p, q) not in after or score - DROP > after[p, q][0]:
+                            after[p, q] = (score - DROP, text)
                         cost += KEEP * (p == q)
-                    reach((q, k), score - cost + self.log[p][q][k], text + x)
+                    total = score - cost + log[p][q][k]
+                    if (q, k) not in after or total > after[q, k][0]:
+                        after[q, k] = (total, text + x)
             best = after
-        return max((score + self.log[p][q][0], text) for (p, q), (score, text) in best.items())[1]
+        return max((score + (log[p][q][0] if q else 0.0), text) for (p, q), (score, text) in best.items())
+
+
+def decoded(stretch: str, channel: Channel, breaks: bool = False) -> set[str]:
+    """Words of a stretch of any length, read in overlapping windows."""
+    out: set[str] = set()
+    for i in range(0, max(1, len(stretch) - OVERLAP), WINDOW - OVERLAP):
+        out.update(channel.restore(stretch[i : i + WINDOW], breaks))
+    return out
 
 
 def token_words(token: str, channel: Channel) -> set[str]:
-    """Words of one token as written, and as restored where it looks disguised."""
+    """Words of one token as written, and as restored where anything in it may stand for something else."""
     out = set(WORD.findall(token.lower()))
-    if SUSPICIOUS.search(token):
-        out.update(channel.restore(m[0]) for m in LETTERS.finditer(token) if len(m[0]) < 64)
+    for m in LETTERS.finditer(token):
+        if DISGUISED.search(m[0]):
+            out |= decoded(m[0], channel)
     return out
 
 
 def spaced(tokens: list[str]) -> list[str]:
-    """Stretches of three or more single characters between spaces."""
+    """Stretches of three or more single characters between spaces, put together."""
     out, run = [], []
     for i in [i for i, t in enumerate(tokens) if len(t) == 1]:
         if run and run[-1] + 1 != i:
-            out += ["".join(tokens[j] for j in run)] * (3 <= len(run) < 64)
+            out += ["".join(tokens[j] for j in run)] * (len(run) >= 3)
             run = []
         run.append(i)
-    return out + ["".join(tokens[j] for j in run)] * (3 <= len(run) < 64)
+    return out + ["".join(tokens[j] for j in run)] * (len(run) >= 3)
 
 
 def words_of(text: str, channel: Channel) -> set[str]:
     """Distinct words of the written and the restored text."""
     tokens = text.split()
     out = set().union(*(token_words(t, channel) for t in set(tokens)))
-    out.update(map(channel.restore, spaced(tokens)))
-    return out
+    return out.union(*(decoded(x, channel, True) for x in spaced(tokens)))
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -178,10 +201,12 @@ class Model:
         for t in {*tokens}:
             found = known.get(t)
             if found is None:
-                found = known[t] = tuple((w, d) for w in token_words(t, channel) if (d := self.odds_of(w)))
+                found = tuple((w, d) for w in token_words(t, channel) if (d := self.odds_of(w)))
+                if len(t) <= LONGEST:
+                    known[t] = found
             if found:
                 hits.update(found)
-        hits.update({w: d for w in map(channel.restore, parts) if (d := self.odds_of(w))})
+        hits.update({w: d for x in parts for w in decoded(x, channel, True) if (d := self.odds_of(w))})
         z = sum(a * b for a, b in zip(self.weights, self._sums(hits)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(parts)
 
@@ -264,6 +289,7 @@ def toxicity(docs: DataFrame, channel: Channel, model: Model, id_col: str = "doc
     spaced letters).
 
     Null and empty texts have no words and get the score of a text without hits.
+    Stretches of any length are decoded, the long ones in overlapping windows.
     A null id counts as the text "" and so as held out.  Repeated rows are
     scored each.  Other columns are not read.
     """

@@ -1,6 +1,7 @@
 """Decontamination, mixing, toxicity and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -205,3 +206,55 @@ def test_pipeline_on_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def trained_channel(spark):
+    text = " ".join(["you are an idiot and a stupid fool", "the letter will tell a little story", "well good food is all we need"] * 60)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return toxicity.Channel([(r.gram, r.n) for r in toxicity.char_counts(docs).collect()])
+
+
+def best_reading(s, channel, breaks):
+    """The best score over all readings, one by one."""
+    t, log = toxicity, channel.log
+
+    def walk(i, p, q):
+        if i == len(s):
+            return log[p][q][0] if q else 0.0
+        c, best = s[i], -math.inf
+        plain = "a" <= c <= "z"
+        letters = [(c, 0.0)] if plain else [(x, t.SUBSTITUTE) for x in t.LEET.get(c, "")]
+        starts = [(0.0, p, q)] + ([(log[p][q][0] - t.BREAK, q, 0)] if breaks and q else [])
+        for own, a, b in starts:
+            if not plain:
+                best = max(best, own - (t.DROP if c in t.MARKS or not letters else t.LOSE) + walk(i + 1, a, b))
+            for x, cost in letters:
+                k = ord(x) - 96
+                if k == b:
+                    best = max(best, own - t.DROP + walk(i + 1, a, b))
+                    cost += t.KEEP * (a == b)
+                best = max(best, own - cost + log[a][b][k] + walk(i + 1, b, k))
+        return best
+
+    return walk(0, 0, 0)
+
+
+def test_viterbi_finds_the_best_reading(spark):
+    channel, rng = trained_channel(spark), random.Random(2)
+    for breaks in (False, True):
+        for _ in range(60):
+            s = "".join(rng.choice("aidot1l0.-s5!t~") for _ in range(rng.randint(0, 7)))
+            assert channel._viterbi(s, breaks)[0] == pytest.approx(best_reading(s, channel, breaks))
+
+
+def test_disguises_are_restored(spark):
+    channel = trained_channel(spark)
+    for text in ("1diot", "idio7", "i.d.i.o.t", "i/d/i/o/t", "iiddiioott", "id-iot", "idiot!", "!d!ot", "i d i o t", "!D10T"):
+        assert "idiot" in toxicity.words_of(f"abc {text} abc", channel), text
+    for text in ("5tupid", "$tupid", "st-up-id", "s_t_u_p_i_d", "stupiiiid"):
+        assert "stupid" in toxicity.words_of(text, channel), text
+    assert {"you", "an", "idiot"} <= toxicity.words_of("y o u a r e a n i d i o t", channel)
+    long = " ".join("theletterwilltellalittlestory" * 40 + "idiot" + "wellgoodfood" * 40)  # far more than one window
+    assert "idiot" in toxicity.words_of(long, channel)
+    assert "idiot" in toxicity.words_of("the.letter.will.tell." * 30 + "1d10t" + ".well.good.food" * 30, channel) | toxicity.words_of("1d10t", channel)
+    assert {"letter", "will", "little"} <= toxicity.words_of("the letter will tell a little story", channel)
