@@ -46,13 +46,13 @@ def _starts(model, text: str, begin: int, end: int) -> list[int]:
 
 def count_long(text: str, model, pairs: set[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     """Tokens of ``text`` from overlapping chunks; equal to encoding it whole."""
-    n, total, wide = len(text), 0, overlap
+    n, total, wide, more = len(text), 0, overlap, chunk
     cut = 0  # a proven boundary: tokens before it are counted
     end = min(chunk, n)
     starts = _starts(model, text, 0, end)
     while end < n:
         first = max(0, cut - 1)  # one character more keeps a chunk's dummy prefix before the cut
-        begin, stop = max(first, end - wide), min(n, end + chunk)
+        begin, stop = max(first, end - wide), min(n, end + more)
         following = _starts(model, text, begin, stop)
         stable = [
             p
@@ -62,11 +62,11 @@ def count_long(text: str, model, pairs: set[str], chunk: int = CHUNK_CHARS, over
         if stable:
             splice = max(stable)
             total += sum(cut <= s < splice for s in starts)
-            cut, starts, end, wide = splice, following, stop, overlap
+            cut, starts, end, wide, more = splice, following, stop, overlap, chunk
         elif begin > first:
             wide *= 2
-        else:  # no boundary back to the last cut: go on with one longer chunk from there
-            starts, end = following, stop
+        else:  # no boundary back to the last cut: go on from there, twice as far
+            starts, end, more = following, stop, 2 * more
     return total + sum(cut <= s for s in starts)
 
 
@@ -81,7 +81,9 @@ def count_tokens(
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit, n_chunks.
 
-    Null and empty texts have 0 tokens.  Repeated rows are counted each; a null
+    Null and empty texts have 0 tokens.  Long texts are spliced from chunks; a
+    stretch without any proven boundary is encoded again at most as often as its
+    length doubles.  Repeated rows are counted each; a null
     id stays null; other columns are not read.
     """
 
