@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from signalharm.llm.common import slices
+from signalharm.llm.common import release_memory, slices
 
 SHARD_BYTES = 1 << 20
 SHARD_DOCS = 4096
@@ -32,8 +32,8 @@ DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 2000
 SAMPLE_IDS = 4096
 END_ID = 0
-#: Entries that a worker's caches hold before they are emptied.
-CACHE_ENTRIES = 500_000
+#: Bytes of chunks and ids that a worker remembers before it starts anew, about, and the longest chunk it remembers.
+CACHE_BYTES, CACHED_CHARS = 48 << 20, 64
 #: A space after a non-space character always begins a new pre-token.
 SPACED = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -73,12 +73,13 @@ class Encoder:
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.bpe = self.model.model.tokenize
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.split:
             return [np.array(e.ids, "<u4") for e in self.model.encode_batch(texts, add_special_tokens=False)]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
         plain = [i for i, t in enumerate(texts) if t and not (t[0].isspace() or SPACED.search(t))]
         out = dict(zip(plain, self._spaced([texts[i] for i in plain])))
         return [out[i] if i in out else np.frombuffer(b"".join(map(self._chunk, CUT.split(t))), "<u4") for i, t in enumerate(texts)]
@@ -117,7 +118,9 @@ class Encoder:
                     else chunk.encode().decode("latin-1").translate(self.letters)
                 )
                 ids = array("I", [t.id for t in self.bpe(mapped)]).tobytes()
-            self.cache[chunk] = ids
+            if len(chunk) <= CACHED_CHARS:
+                self.cache[chunk] = ids
+                self.held += 190 + len(chunk) + len(ids)  # with the entry and the two objects
         return ids
 
 
@@ -212,6 +215,7 @@ def write_token_files(
                         ids, offsets, counts, frames, held = [], [0], [], [], 0
         if ids:
             yield shard()
+        release_memory()
 
     dealt = own.repartitionByRange(*([partitions] if partitions else []), F.col("doc_id").asc_nulls_first())
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
