@@ -1,7 +1,10 @@
 """Reading tables, walking Arrow batches and writing tables in the shared folder."""
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -23,14 +26,47 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists that ``stored`` adds its paths to while they are open.
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted_paths() -> Iterator[list[str]]:
+    """The paths of the tables that ``stored`` writes inside the block."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that no DataFrame in use reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    for paths in _NOTED:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give what a finished task held back to the system: Python workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no slice holds much more than ``max_bytes`` of one column."""
     at, held = 0, 0
@@ -69,6 +105,8 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in schema], schema=schema
                 )
+        del step
+        release_memory()
 
     return own.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in {"doc_id": id_type, **fields}.items()))
 
