@@ -5,14 +5,36 @@ A filtering stage numbers its rows, writes them, decides on each row and removes
 exactly those rows: null and repeated ids are rows like any other.
 """
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalharm.llm import decontaminate, mixing, queries, simhash, token_files, toxicity
-from signalharm.llm.common import BROADCAST_IDS, shared_path, small, stored, table
-
+from signalharm.llm.common import BROADCAST_IDS, discard, noted_paths, shared_path, small, stored, table
 
 KEY = "__row_key"
+#: Tables that earlier stages wrote for themselves.
+_LEFT: list[str] = []
+
+
+def tidy(stage):
+    """The stage, which first deletes what the stages before left: their rows are written by then.
+
+    A table that ``docs`` still reads stays until a later stage.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        done = [p for p in _LEFT if not any(p.removeprefix("file:").strip("/") in f for f in files)]
+        discard(spark, done)
+        with noted_paths() as paths:
+            out = stage(spark, docs, sf_dir)
+        _LEFT[:] = [*(p for p in _LEFT if p not in done), *paths]
+        return out
+
+    return run_stage
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -26,6 +48,7 @@ def drop(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(small(gone, BROADCAST_IDS), F.col(KEY) == F.col("gone_key"), "left_anti").drop(KEY)
 
 
+@tidy
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     rows = keyed(docs)
@@ -33,6 +56,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop(rows, scored.where("predicted = 1").select("doc_id"))
 
 
+@tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of linked fingerprints: of the smallest id, null ids last."""
     rows = keyed(docs)
@@ -42,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return drop(rows, linked.join(first, F.col(KEY) == F.col("first"), "left_anti").select(KEY))
 
 
+@tidy
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without, or with few, passages of the benchmark."""
     rows = keyed(docs)
@@ -49,12 +74,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return drop(rows, found.where("contaminated").select("doc_id"))
 
 
+@tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture at the target weights: rows of over-supplied sources beyond its end go."""
     rows = keyed(docs)
     return drop(rows, mixing.mixture(rows, key_col=KEY).where("NOT in_mix").select(KEY))
 
 
+@tidy
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, and per document what they hold."""
     path = shared_path(spark, "pipeline-tokens")
