@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .peak_counts import peak_outputs, peak_ratio
 from .peaks import match_counts
 
 MAD_TO_SIGMA = 0.6744897501960817  # 0.75 quantile of the standard normal
@@ -30,36 +31,57 @@ class Pair:
 
 @dataclass(frozen=True)
 class Measure:
+    """``bundle`` names an expression of BUNDLES that several outputs share; ``value`` reads this output from it.
+
+    ``reason(pair)`` says why the output is null, where it is.
+    """
+
     output_id: str
     direction: str  # lower | higher | target | non_monotonic
     expression: Callable[[Pair], Column]
     target: float | None = None
+    reason: Callable[[Pair], Column] | None = None
+    bundle: str | None = None
+    value: Callable[[Column], Column] | None = None
 
 
 def _clip(c) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
 
 
-def mse(p: Pair) -> Column:
-    return F.try_divide(A.sum_squares(F.zip_with(p.ref_y, p.y, lambda a, b: b - a)), F.size(p.ref_y))
+def moments(p: Pair) -> Column:
+    """One pass over the pair: squared and absolute differences, squared reference, points."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("sq", "ab", "rr")])
 
+    def add(acc, v):
+        return F.struct(
+            (acc["sq"] + (v["b"] - v["a"]) * (v["b"] - v["a"])).alias("sq"),
+            (acc["ab"] + F.abs(v["b"] - v["a"])).alias("ab"),
+            (acc["rr"] + v["a"] * v["a"]).alias("rr"),
+        )
 
-def rmse(p: Pair) -> Column:
-    return F.sqrt(mse(p))
+    pairs = F.zip_with(p.ref_y, p.y, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+    return F.struct(F.aggregate(pairs, zero, add).alias("m"), F.size(p.ref_y).alias("n"))
 
 
-def mae(p: Pair) -> Column:
-    return F.try_divide(A.total(F.zip_with(p.ref_y, p.y, lambda a, b: F.abs(b - a))), F.size(p.ref_y))
+def _from_moments(value: Callable[[Column], Column]) -> Callable[[Pair], Column]:
+    return lambda p: A.let(moments(p), value)
 
 
-def nmse(p: Pair) -> Column:
-    return A.lets(
-        {
-            "d": A.sum_squares(F.zip_with(p.ref_y, p.y, lambda a, b: b - a)),
-            "r": A.sum_squares(p.ref_y),
-        },
-        lambda s: F.when(s["r"] > 0, s["d"] / s["r"]),
-    )
+def _mse(b):
+    return F.try_divide(b["m"]["sq"], b["n"])
+
+
+def _mae(b):
+    return F.try_divide(b["m"]["ab"], b["n"])
+
+
+def _nmse(b):
+    return F.when(b["m"]["rr"] > 0, b["m"]["sq"] / b["m"]["rr"])
+
+
+mse, mae, nmse = _from_moments(_mse), _from_moments(_mae), _from_moments(_nmse)
+rmse = _from_moments(lambda b: F.sqrt(_mse(b)))
 
 
 def cosine(a, b) -> Column:
@@ -152,31 +174,82 @@ def structure_to_noise(y) -> Column:
     )
 
 
-def _peak_output(name: str) -> Callable[[Pair], Column]:
-    return lambda p: match_counts(p)[name]
+#: Expressions that several outputs share: computed once per pair.
+BUNDLES: dict[str, Callable[[Pair], Column]] = {"moments": moments, "peaks": peak_outputs}
+#: Bundles that are Arrow functions: columns of their own, never inside a lambda.
+ARROW_BUNDLES = {"peaks"}
+
+
+def _empty(*values) -> Column:
+    sizes = [F.coalesce(F.size(v), F.lit(0)) <= 0 for v in values]
+    return sizes[0] if len(sizes) == 1 else sizes[0] | sizes[1]
+
+
+def _not_finite(v) -> Column:
+    return F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def paired_reason(last: str) -> Callable[[Pair], Column]:
+    """Why an output of index-aligned values is null; ``last`` where the inputs are sound."""
+    return lambda p: (
+        F.when(_empty(p.ref_y, p.y), "empty_signal")
+        .when(F.size(p.ref_y) != F.size(p.y), "length_mismatch")
+        .when(_not_finite(p.ref_y) | _not_finite(p.y), "not_finite")
+        .otherwise(last)
+    )
+
+
+def _transport_reason(p: Pair) -> Column:
+    return (
+        F.when(_empty(p.ref_y, p.y), "empty_signal")
+        .when(_not_finite(p.ref_y) | _not_finite(p.y), "not_finite")
+        .otherwise("no_positive_mass")
+    )
+
+
+def _noise_reason(p: Pair) -> Column:
+    return (
+        F.when(_empty(p.y), "empty_signal")
+        .when(_not_finite(p.y), "not_finite")
+        .when(F.size(p.y) < 3, "too_few_points")
+        .otherwise("zero_noise")
+    )
 
 
 MEASURES: dict[str, Measure] = {}
 
 
-def register_measure(output_id, direction, expression, target=None) -> Measure:
-    """Add a measure ``expression(pair) -> Column`` under ``output_id``."""
+def register_measure(output_id, direction, expression, target=None, reason=None, bundle=None, value=None) -> Measure:
+    """Add a measure ``expression(pair) -> Column`` under ``output_id``.
+
+    ``bundle`` and ``value``: the output is ``value(BUNDLES[bundle](pair))``, and
+    measures of one bundle share its evaluation.
+    """
     if direction not in {"lower", "higher", "target", "non_monotonic"}:
         raise ValueError(f"unknown direction {direction!r}")
     if (direction == "target") != (target is not None):
         raise ValueError("a target value belongs to direction 'target' only")
-    MEASURES[output_id] = Measure(output_id, direction, expression, target)
+    if (bundle is None) != (value is None):
+        raise ValueError("a bundle needs the value read from it")
+    MEASURES[output_id] = Measure(output_id, direction, expression, target, reason, bundle, value)
     return MEASURES[output_id]
 
 
-register_measure("mse", "lower", mse)
-register_measure("rmse", "lower", rmse)
-register_measure("mae", "lower", mae)
-register_measure("nmse", "lower", nmse)
-register_measure("sam", "lower", sam)
-register_measure("pearson", "higher", pearson)
-register_measure("wasserstein_1", "lower", wasserstein_1)
-register_measure("structure_to_noise", "higher", lambda p: structure_to_noise(p.y))
+_pairwise = paired_reason("undefined_for_input")
+register_measure("mse", "lower", mse, reason=_pairwise, bundle="moments", value=_mse)
+register_measure("rmse", "lower", rmse, reason=_pairwise, bundle="moments", value=lambda b: F.sqrt(_mse(b)))
+register_measure("mae", "lower", mae, reason=_pairwise, bundle="moments", value=_mae)
+register_measure("nmse", "lower", nmse, reason=paired_reason("zero_reference_norm"), bundle="moments", value=_nmse)
+register_measure("sam", "lower", sam, reason=paired_reason("zero_norm"))
+register_measure("pearson", "higher", pearson, reason=paired_reason("zero_variance"))
+register_measure("wasserstein_1", "lower", wasserstein_1, reason=_transport_reason)
+register_measure("structure_to_noise", "higher", lambda p: structure_to_noise(p.y), reason=_noise_reason)
+
+
+def _register_peaks(name: str, direction: str) -> None:
+    register_measure(name, direction, lambda p: match_counts(p)[name], bundle="peaks", value=peak_ratio(name))
+
+
 for _name, _direction in (
     ("peak_precision", "higher"),
     ("peak_recall", "higher"),
@@ -184,4 +257,4 @@ for _name, _direction in (
     ("artifact_ratio", "lower"),
     ("missing_ratio", "lower"),
 ):
-    register_measure(_name, _direction, _peak_output(_name))
+    _register_peaks(_name, _direction)

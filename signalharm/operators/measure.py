@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.measures import MEASURES, Pair
+from ..functions.measures import ARROW_BUNDLES, BUNDLES, MEASURES, Pair
 from ..functions.peaks import match_peaks
 
 
@@ -127,30 +127,45 @@ def matched_errors(df: DataFrame, tolerance: float = 2.0) -> DataFrame:
     return A.pin(df, {n: average(n) for n in names}).drop("_m", "_e")
 
 
+def _with_bundles(pairs: DataFrame, outputs, p: Pair) -> tuple[DataFrame, dict[str, Column]]:
+    """Pairs with the shared expressions of ``outputs``, each once, and the value of every output."""
+    names = sorted({MEASURES[o].bundle for o in outputs if MEASURES[o].bundle})
+    pinned = A.pin(pairs, {"axis": F.col("axis"), **{f"_b_{n}": BUNDLES[n](p) for n in names if n not in ARROW_BUNDLES}})
+    pinned = pinned.withColumns({f"_b_{n}": BUNDLES[n](p) for n in names if n in ARROW_BUNDLES})
+    values = {
+        o: (m.value(F.col(f"_b_{m.bundle}")) if (m := MEASURES[o]).bundle else m.expression(p)).cast("double") for o in outputs
+    }
+    return pinned, values
+
+
+def self_values(signals: DataFrame, outputs, column: str = "base") -> DataFrame:
+    """Signals with a map from output to the value of the signal paired with itself."""
+    p = Pair(F.col("axis"), F.col("y"), F.col("axis"), F.col("y"))
+    pinned, values = _with_bundles(signals, outputs, p)
+    own = A.pin(pinned, {column: F.create_map(*[x for o, v in values.items() for x in (F.lit(o), v)])})
+    return own.drop(*[c for c in own.columns if c.startswith("_b_")])
+
+
 def measure_vector(pairs: DataFrame, outputs=None) -> DataFrame:
-    """Long form: one row per (pair, output) with value, state and reason."""
+    """Long form: one row per (pair, output) with value, state and the reason where it is null."""
     outputs = list(MEASURES) if outputs is None else list(outputs)
     p = Pair(F.col("ref_axis"), F.col("ref_y"), F.col("axis"), F.col("y"))
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(o).alias("output_id"),
-                MEASURES[o].expression(p).cast("double").alias("value"),
-            )
-            for o in outputs
-        ]
-    )
+    pinned, values = _with_bundles(pairs, outputs, p)
+
+    def cell(output):
+        reason = MEASURES[output].reason(p) if MEASURES[output].reason else F.lit("undefined_for_input")
+        return A.let(
+            values[output],
+            lambda v: F.struct(
+                F.lit(output).alias("output_id"), v.alias("value"), F.when(v.isNull(), reason).otherwise("").alias("reason_code")
+            ),
+        )
+
     keep = [c for c in pairs.columns if c not in {"ref_axis", "ref_y", "axis", "y"}]
     return (
-        A.pin(pairs, {"axis": F.col("axis")})
-        .select(*keep, F.explode(cells).alias("_m"))
-        .select(*keep, "_m.output_id", "_m.value")
-        .withColumns(
-            {
-                "state": F.when(F.col("value").isNull(), "not_evaluable").otherwise("complete"),
-                "reason_code": F.when(F.col("value").isNull(), "undefined_for_input").otherwise(""),
-            }
-        )
+        pinned.select(*keep, F.explode(F.array(*map(cell, outputs))).alias("_m"))
+        .select(*keep, "_m.output_id", "_m.value", "_m.reason_code")
+        .withColumn("state", F.when(F.col("value").isNull(), "not_evaluable").otherwise("complete"))
     )
 
 

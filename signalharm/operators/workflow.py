@@ -3,20 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
-from ..functions.measures import MEASURES, Pair
 from . import align, infer
-from .measure import measure_vector, oriented, settled
+from .measure import measure_vector, oriented, self_values, settled
 from .perturb import perturb
 
 
 def metric_harm(signals: DataFrame, measures, perturbations, cluster: str = "class_id", **options) -> DataFrame:
     """Mean oriented harm per (metric, cluster, perturbation, alpha)."""
-    own = Pair(F.col("axis"), F.col("y"), F.col("axis"), F.col("y"))
-    base = F.create_map(
-        *[v for o in measures for v in (F.lit(o), MEASURES[o].expression(own).cast("double"))]
-    )
-    cells = perturb(A.pin(signals, {"_base": base}), perturbations, identity=False, **options)
+    cells = perturb(self_values(signals, measures, "_base"), perturbations, identity=False, **options)
     long = measure_vector(cells, measures)
     harm = oriented(F.col("output_id"), F.col("_base")[F.col("output_id")], F.col("value"))
     return long.groupBy(

@@ -307,7 +307,7 @@ def holm(spark, sf):
     )
 
 
-_PLANNED = [f"{m}_{s}" for m in (*O.OUTPUTS, "peak_f1") if m != REF for s in ("ag", "oc")]
+_PLANNED = [f"{m}_{s}" for m in (*O.OUTPUTS, "snr_peak") if m != REF for s in ("ag", "oc")]
 
 
 @query(

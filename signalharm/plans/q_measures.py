@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.measures import MEASURES, Pair, negative_area, structure_to_noise
+from ..functions.peak_counts import peak_outputs
 from ..functions.peaks import detect_peaks, match_peaks, range_threshold, ratios
 from ..operators import measure as M
 from ..operators.perturb import perturb
@@ -241,30 +242,35 @@ SELECT sw.signal_id, round(sum(sw.w * (sw.y - rs.nmean)) / (any_value(rs.nstd) *
 # -- peak sets ---------------------------------------------------------------
 
 _THR = "0.05 * (s.ymax - s.ymin)"
-_PEAK_CONDITIONS = ("p09", "p10")
+_PEAK_CONDITIONS = T.FAMILIES
+_SCAN_CONDITIONS = ("p09", "p10")  # whole peak tables are made only for these
 
 
 def _detected(y="y", axis="axis"):
     return detect_peaks(F.col(axis), F.col(y), range_threshold(F.col(y)))
 
 
-def peak_pairs(spark, sf, perturbations=_PEAK_CONDITIONS):
+def peak_pairs(spark, sf, perturbations=_SCAN_CONDITIONS):
     """Reference and candidate peak lists of every cell."""
     df = A.pin(signals(spark, sf), {"ref_peaks": _detected()})
     return A.pin(perturb(df, perturbations, identity=False), {"peaks": _detected()})
 
 
 _PAIR_KEY = "signal_id, perturbation_id, alpha"
-_PEAK_SQL = (
-    "WITH "
-    + T.perturbed(_PEAK_CONDITIONS)
-    + ","
-    + T.sql_peaks("pert", "signal_id, class_id, perturbation_id, alpha", _THR, "ck")
-    + ","
-    + T.sql_peaks("sig", "signal_id", _THR, "rk0")
-    + """, rk AS (SELECT c.perturbation_id, c.alpha, rk0.* FROM rk0, cond c),
+def _peak_sql(conditions):
+    return (
+        "WITH "
+        + T.perturbed(conditions)
+        + ","
+        + T.sql_peaks("pert", "signal_id, class_id, perturbation_id, alpha", _THR, "ck")
+        + ","
+        + T.sql_peaks("sig", "signal_id", _THR, "rk0")
+        + """, rk AS (SELECT c.perturbation_id, c.alpha, rk0.* FROM rk0, cond c),
 cells AS (SELECT DISTINCT signal_id, class_id, perturbation_id, alpha FROM pert)"""
-)
+    )
+
+
+_PEAK_SQL = _peak_sql(_SCAN_CONDITIONS)
 _COUNTS = """
 nr AS (SELECT {k}, count(*) AS n_ref FROM {r} GROUP BY ALL),
 nc AS (SELECT {k}, count(*) AS n_cand FROM {c} GROUP BY ALL),
@@ -283,7 +289,7 @@ _AVG_SQL = ", ".join(f"round(avg({o}), 6) + 0.0 AS {o}" for o in _OUTPUTS)
 
 @query(
     "measure_peaks",
-    _PEAK_SQL
+    _peak_sql(_PEAK_CONDITIONS)
     + ","
     + T.sql_match("rk", "ck", _PAIR_KEY, "2.0", "mt")
     + ","
@@ -292,11 +298,8 @@ _AVG_SQL = ", ".join(f"round(avg({o}), 6) + 0.0 AS {o}" for o in _OUTPUTS)
 SELECT class_id, perturbation_id, alpha, sum(n_match)::BIGINT AS n_match, {_AVG_SQL} FROM rat GROUP BY ALL""",
 )
 def measure_peaks(spark, sf):
-    df = peak_pairs(spark, sf)
-    m = F.size(match_peaks(F.col("ref_peaks"), F.col("peaks"), 2.0))
-    df = A.pin(df, {"m": m}).withColumn(
-        "r", ratios(F.size("ref_peaks"), F.size("peaks"), F.col("m"))
-    )
+    df = perturb(signals(spark, sf), _PEAK_CONDITIONS, identity=False).withColumn("c", peak_outputs(pair()))
+    df = A.pin(df, {"r": ratios(F.col("c.n_ref"), F.col("c.n_cand"), F.col("c.n_match")), "m": F.col("c.n_match")})
     return df.groupBy("class_id", "perturbation_id", "alpha").agg(
         F.sum("m").alias("n_match"), *[A.rounded(F.avg(f"r.{o}")).alias(o) for o in _OUTPUTS]
     )

@@ -268,36 +268,31 @@ def harm_parts(spark, sf):
 
 @query(
     "orient_harm",
-    f"WITH {T.perturbed(T.NONAXIS)}, {O.SQL_METRICS} SELECT metric, perturbation_id, alpha, round(avg(h), 6) + 0.0 AS mean_harm, count_if(h < 0)::BIGINT AS n_improved FROM ml WHERE metric IN ('pearson', 'structure_to_noise') GROUP BY ALL",
+    f"WITH {T.perturbed(T.FAMILIES)}, {O.SQL_METRICS} SELECT metric, perturbation_id, alpha, round(avg(h), 6) + 0.0 AS mean_harm, count_if(h < -1e-9)::BIGINT AS n_improved FROM ml GROUP BY ALL",
 )
 def orient_harm(spark, sf):
-    """Harm of two higher-is-better outputs against the clean value."""
-    outputs = ("pearson", "structure_to_noise")
-    own = A.pin(
-        signals(spark, sf),
-        {"base": F.create_map(*[x for o in outputs for x in (F.lit(o), O._self_value(o))])},
-    )
-    long = M.measure_vector(perturb(own, T.NONAXIS, identity=False), outputs)
+    """Harm of every output against the clean value, lower and higher ones alike; 1e-9 is beyond rounding."""
+    long = M.measure_vector(perturb(M.self_values(signals(spark, sf), O.OUTPUTS), T.FAMILIES, identity=False), O.OUTPUTS)
     h = M.oriented(F.col("output_id"), F.col("base")[F.col("output_id")], F.col("value"))
     return (
         long.withColumn("h", h)
         .groupBy(F.col("output_id").alias("metric"), "perturbation_id", "alpha")
-        .agg(R(F.avg("h")).alias("mean_harm"), F.count_if(F.col("h") < 0).alias("n_improved"))
+        .agg(R(F.avg("h")).alias("mean_harm"), F.count_if(F.col("h") < -1e-9).alias("n_improved"))
     )
 
 
-_SIMPLE = ("mse", "rmse", "mae", "nmse")
-_SIMPLE_SQL = """
-mv AS (SELECT signal_id, class_id, group_id, perturbation_id, alpha, avg((y - ry) * (y - ry)) AS mse, sqrt(avg((y - ry) * (y - ry))) AS rmse, avg(abs(y - ry)) AS mae, sum((y - ry) * (y - ry)) / sum(ry * ry) AS nmse FROM pert GROUP BY ALL),
-mw AS (UNPIVOT mv ON mse, rmse, mae, nmse INTO NAME output_id VALUE value)"""
+_VECTOR_SQL = f"""{O.SQL_METRICS},
+mv AS (SELECT signal_id, class_id, perturbation_id, alpha, {', '.join(o for o in O.OUTPUTS if o != 'structure_to_noise')}, sv.v AS structure_to_noise FROM mh JOIN sv USING (signal_id, class_id, perturbation_id, alpha)),
+mw AS (SELECT * FROM mv UNPIVOT INCLUDE NULLS (value FOR output_id IN ({', '.join(O.OUTPUTS)})))"""
 
 
 @query(
     "measure_vector",
-    f"WITH {T.perturbed(T.FAMILIES)}, {_SIMPLE_SQL} SELECT output_id, class_id, perturbation_id, alpha, 'complete' AS state, count(*)::BIGINT AS n, round(avg(value), 6) + 0.0 AS mean_value FROM mw GROUP BY ALL",
+    f"WITH {T.perturbed(T.FAMILIES)}, {_VECTOR_SQL} SELECT output_id, class_id, perturbation_id, alpha, CASE WHEN value IS NULL THEN 'not_evaluable' ELSE 'complete' END AS state, count(*)::BIGINT AS n, round(avg(value), 6) + 0.0 AS mean_value FROM mw GROUP BY ALL",
 )
 def measure_vector(spark, sf):
-    long = M.measure_vector(perturb(signals(spark, sf), T.FAMILIES, identity=False), _SIMPLE)
+    """All outputs of every pair, by class and condition."""
+    long = M.measure_vector(perturb(signals(spark, sf), T.FAMILIES, identity=False), O.OUTPUTS)
     return long.groupBy("output_id", "class_id", "perturbation_id", "alpha", "state").agg(
         F.count(F.lit(1)).alias("n"), R(F.avg("value")).alias("mean_value")
     )
@@ -305,14 +300,14 @@ def measure_vector(spark, sf):
 
 @query(
     "cluster_harm",
-    f"WITH {T.perturbed(T.FAMILIES)}, {_SIMPLE_SQL}"
-    + """ SELECT output_id, group_id AS cluster_id, perturbation_id, alpha, round(sum(value * (1 + signal_id % 3)) / sum(1 + signal_id % 3), 6) + 0.0 AS harm,
- sum(1 + signal_id % 3)::BIGINT AS total_weight, count(*)::BIGINT AS n, true AS complete FROM mw GROUP BY ALL""",
+    f"WITH {T.perturbed(T.FAMILIES)}, {_VECTOR_SQL}, gs AS (SELECT DISTINCT signal_id, group_id FROM sig)"
+    + """ SELECT output_id, group_id AS cluster_id, perturbation_id, alpha, CASE WHEN count(value) = count(*) THEN round(sum(value * (1 + signal_id % 3)) / sum(1 + signal_id % 3), 6) + 0.0 END AS harm,
+ sum(1 + signal_id % 3)::BIGINT AS total_weight, count(*)::BIGINT AS n, count(value) = count(*) AS complete FROM mw JOIN gs USING (signal_id) GROUP BY ALL""",
 )
 def cluster_harm(spark, sf):
-    """Weighted mean harm per group and condition with its completeness."""
+    """Weighted mean of every output per group and condition with its completeness."""
     df = signals(spark, sf).withColumn("weight", (1 + F.col("signal_id") % 3).cast("long"))
-    long = M.measure_vector(perturb(df, T.FAMILIES, identity=False), _SIMPLE)
+    long = M.measure_vector(perturb(df, T.FAMILIES, identity=False), O.OUTPUTS)
     out = M.cluster_harm(long.withColumn("harm", F.col("value")), "group_id", ["output_id", "perturbation_id", "alpha"], "weight")
     return out.select(
         "output_id", F.col("group_id").alias("cluster_id"), "perturbation_id", "alpha", R(F.col("harm")).alias("harm"), "total_weight", "n", "complete"
@@ -355,15 +350,15 @@ def response_curves(spark, sf):
 
 @query(
     "metric_states",
-    f"WITH {O.SQL_OBS}, p AS (SELECT unnest(['mse', 'nmse', 'sam', 'pearson', 'wasserstein_1', 'structure_to_noise', 'peak_f1']) AS metric),"
+    f"WITH {O.SQL_OBS}, p AS (SELECT unnest({[*O.OUTPUTS, 'snr_peak']!r}) AS metric),"
     + " o AS (SELECT * FROM obs WHERE NOT (metric = 'nmse' AND cluster_id = 0 AND alpha = 0.1))"
     + " SELECT p.metric, 400::BIGINT AS n_planned, count(o.x)::BIGINT AS n_complete, CASE WHEN count(o.x) = 400 THEN 'complete' ELSE 'not_evaluable' END AS state FROM p LEFT JOIN o USING (metric) GROUP BY p.metric",
 )
 def metric_states(spark, sf):
-    """Seven planned outputs, one never run and one with holes."""
+    """Fourteen planned outputs, one never run and one with holes."""
     obs = O.observations(spark, sf)
     kept = obs.filter(~((F.col("metric") == "nmse") & (F.col("cluster_id") == 0) & (F.col("alpha") == 0.1)))
-    return U.metric_states(kept, obs.select("cluster_id", "perturbation_id", "alpha").distinct(), (*O.OUTPUTS, "peak_f1"))
+    return U.metric_states(kept, obs.select("cluster_id", "perturbation_id", "alpha").distinct(), (*O.OUTPUTS, "snr_peak"))
 
 
 # -- contrasts between panels ----------------------------------------------------
