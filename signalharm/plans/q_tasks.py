@@ -268,11 +268,11 @@ def harm_parts(spark, sf):
 
 @query(
     "orient_harm",
-    f"WITH {T.perturbed(T.FAMILIES)}, {O.SQL_METRICS} SELECT metric, perturbation_id, alpha, round(avg(h), 6) + 0.0 AS mean_harm, count_if(h < -1e-9)::BIGINT AS n_improved FROM ml GROUP BY ALL",
+    f"WITH {T.perturbed(T.FAMILIES)}, {O.sql_metrics(True)} SELECT metric, perturbation_id, alpha, round(avg(h), 6) + 0.0 AS mean_harm, count_if(h < -1e-9)::BIGINT AS n_improved FROM ml GROUP BY ALL",
 )
 def orient_harm(spark, sf):
     """Harm of every output against the clean value, lower and higher ones alike; 1e-9 is beyond rounding."""
-    long = M.measure_vector(perturb(M.self_values(signals(spark, sf), O.OUTPUTS), T.FAMILIES, identity=False), O.OUTPUTS)
+    long = M.measure_vector(perturb(M.self_values(signals(spark, sf), O.ALL_OUTPUTS), T.FAMILIES, identity=False), O.ALL_OUTPUTS)
     h = M.oriented(F.col("output_id"), F.col("base")[F.col("output_id")], F.col("value"))
     return (
         long.withColumn("h", h)
@@ -281,9 +281,9 @@ def orient_harm(spark, sf):
     )
 
 
-_VECTOR_SQL = f"""{O.SQL_METRICS},
-mv AS (SELECT signal_id, class_id, perturbation_id, alpha, {', '.join(o for o in O.OUTPUTS if o != 'structure_to_noise')}, sv.v AS structure_to_noise FROM mh JOIN sv USING (signal_id, class_id, perturbation_id, alpha)),
-mw AS (SELECT * FROM mv UNPIVOT INCLUDE NULLS (value FOR output_id IN ({', '.join(O.OUTPUTS)})))"""
+_VECTOR_SQL = f"""{O.sql_metrics(True)},
+mv AS (SELECT signal_id, class_id, perturbation_id, alpha, {', '.join(o for o in O.ALL_OUTPUTS if o != 'structure_to_noise')}, sv.v AS structure_to_noise FROM mh JOIN sv USING (signal_id, class_id, perturbation_id, alpha)),
+mw AS (SELECT * FROM mv UNPIVOT INCLUDE NULLS (value FOR output_id IN ({', '.join(O.ALL_OUTPUTS)})))"""
 
 
 @query(
@@ -292,7 +292,7 @@ mw AS (SELECT * FROM mv UNPIVOT INCLUDE NULLS (value FOR output_id IN ({', '.joi
 )
 def measure_vector(spark, sf):
     """All outputs of every pair, by class and condition."""
-    long = M.measure_vector(perturb(signals(spark, sf), T.FAMILIES, identity=False), O.OUTPUTS)
+    long = M.measure_vector(perturb(signals(spark, sf), T.FAMILIES, identity=False), O.ALL_OUTPUTS)
     return long.groupBy("output_id", "class_id", "perturbation_id", "alpha", "state").agg(
         F.count(F.lit(1)).alias("n"), R(F.avg("value")).alias("mean_value")
     )
@@ -307,7 +307,7 @@ def measure_vector(spark, sf):
 def cluster_harm(spark, sf):
     """Weighted mean of every output per group and condition with its completeness."""
     df = signals(spark, sf).withColumn("weight", (1 + F.col("signal_id") % 3).cast("long"))
-    long = M.measure_vector(perturb(df, T.FAMILIES, identity=False), O.OUTPUTS)
+    long = M.measure_vector(perturb(df, T.FAMILIES, identity=False), O.ALL_OUTPUTS)
     out = M.cluster_harm(long.withColumn("harm", F.col("value")), "group_id", ["output_id", "perturbation_id", "alpha"], "weight")
     return out.select(
         "output_id", F.col("group_id").alias("cluster_id"), "perturbation_id", "alpha", R(F.col("harm")).alias("harm"), "total_weight", "n", "complete"
@@ -355,7 +355,7 @@ def response_curves(spark, sf):
     + " SELECT p.metric, 400::BIGINT AS n_planned, count(o.x)::BIGINT AS n_complete, CASE WHEN count(o.x) = 400 THEN 'complete' ELSE 'not_evaluable' END AS state FROM p LEFT JOIN o USING (metric) GROUP BY p.metric",
 )
 def metric_states(spark, sf):
-    """Fourteen planned outputs, one never run and one with holes."""
+    """Seven planned outputs, one never run and one with holes."""
     obs = O.observations(spark, sf)
     kept = obs.filter(~((F.col("metric") == "nmse") & (F.col("cluster_id") == 0) & (F.col("alpha") == 0.1)))
     return U.metric_states(kept, obs.select("cluster_id", "perturbation_id", "alpha").distinct(), (*O.OUTPUTS, "snr_peak"))
