@@ -151,6 +151,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
             for part in slices(batch, "text"):
                 ids = encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_pydict({"ids": [with_end(x[:SAMPLE_IDS]) for x in ids]})
+        del encode
+        encoder.cache_clear()  # the exchange that follows needs the memory
+        release_memory()
 
     samples = [bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").limit(SAMPLE_DOCS + SAMPLE_DOCS // 2).collect()]
     try:
