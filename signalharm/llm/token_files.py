@@ -33,7 +33,7 @@ SAMPLE_DOCS = 2000
 SAMPLE_IDS = 4096
 END_ID = 0
 #: Bytes of chunks and ids that a worker remembers before it starts anew, about, and the longest chunk it remembers.
-CACHE_BYTES, CACHED_CHARS = 48 << 20, 64
+CACHE_BYTES, CACHED_CHARS = 128 << 20, 64
 #: A space after a non-space character always begins a new pre-token.
 SPACED = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
