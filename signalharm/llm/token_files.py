@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from signalharm.llm.common import release_memory, slices
+from signalharm.llm.common import discard, map_texts, noted_paths, release_memory, slices, stored
 
 SHARD_BYTES = 1 << 20
 SHARD_DOCS = 4096
@@ -33,7 +33,7 @@ SAMPLE_DOCS = 2000
 SAMPLE_IDS = 4096
 END_ID = 0
 #: Bytes of chunks and ids that a worker remembers before it starts anew, about, and the longest chunk it remembers.
-CACHE_BYTES, CACHED_CHARS = 128 << 20, 64
+CACHE_BYTES, CACHED_CHARS = 96 << 20, 64
 #: A space after a non-space character always begins a new pre-token.
 SPACED = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -94,7 +94,8 @@ class Encoder:
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
         heads = split.values.take(pa.array(first)).to_pylist()  # a text's first chunk has no space before it
         codes[first] = np.arange(len(words), len(words) + len(heads))
-        known = [self._chunk(c) for c in [*map(" ".__add__, words), *heads]]
+        chunks = [*map(" ".__add__, words), *heads]
+        known = [self._chunk(c) if x is None else x for c, x in zip(chunks, list(map(self.cache.get, chunks)))]
         flat = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         begin, n = (np.cumsum(size) - size)[codes], size[codes]
@@ -135,15 +136,16 @@ def with_end(ids: np.ndarray) -> bytes:
     return ids.tobytes() + np.array([END_ID], dtype="<u4").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A dictionary from a bounded sample: at most SAMPLE_DOCS documents, SAMPLE_IDS ids of each."""
     import zstandard
 
-    n = docs.count()
+    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    n = own.count()
     if n == 0:
         return b""
     share = min(1.0, SAMPLE_DOCS / n)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
 
     def run(batches):
         encode = encoder(tokenizer)
@@ -151,8 +153,6 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
             for part in slices(batch, "text"):
                 ids = encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_pydict({"ids": [with_end(x[:SAMPLE_IDS]) for x in ids]})
-        del encode
-        encoder.cache_clear()  # the exchange that follows needs the memory
         release_memory()
 
     samples = [bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").limit(SAMPLE_DOCS + SAMPLE_DOCS // 2).collect()]
@@ -173,22 +173,45 @@ def write_token_files(
 ) -> None:
     """Encode every text, append the end id and write shards in ascending id order below ``path``.
 
-    Null texts are empty: the end id alone.  Null ids come first.  Rows with one
-    id keep the order of their texts.  An empty table writes an empty file.
+    The frames are made where the texts lie and stored; only frames are
+    exchanged.  Null texts are empty: the end id alone.  Null ids come first.
+    Rows with one id are in the order of the CRC-32 of their ids, which also
+    parts them: a hot id is spread over tasks.  A text of any length is one
+    frame.  An empty table writes an empty file.
     """
     import zstandard
 
     spark = docs.sparkSession
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    id_type = own.schema["doc_id"].dataType.simpleString()
-    words = train_dictionary(own, tokenizer)
+    words = train_dictionary(docs, tokenizer, id_col, text_col)
     sha = hashlib.sha256(words).hexdigest()
     spark.createDataFrame([(sha, bytearray(words))], "dict_sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
-    schema = to_arrow_schema(StructType.fromDDL(SHARDS.format(id=id_type)))
 
-    def run(batches):
+    def make():
         encode = encoder(tokenizer)
         zstd = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+
+        def step(part: pa.RecordBatch) -> dict:
+            raw = [with_end(x) for x in encode([t or "" for t in part.column("text").to_pylist()])]
+            return {"n": [len(x) // 4 for x in raw], "tie": [zlib.crc32(x) for x in raw], "frame": [zstd.compress(x) for x in raw]}
+
+        return step
+
+    with noted_paths() as paths:
+        coded = stored(map_texts(docs, id_col, text_col, {"n": "long", "tie": "long", "frame": "binary"}, make), "frames")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = coded.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    write_shards(ordered, sha, f"{path}/shards")
+    discard(spark, paths)
+
+
+def write_shards(ordered: DataFrame, sha: str, path: str) -> None:
+    """Pack the frames of every partition into shards.  ``ordered``: doc_id, n, tie, frame."""
+    ddl = SHARDS.format(id=ordered.schema["doc_id"].dataType.simpleString())
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        encoder.cache_clear()  # the worker's encoding is over
+        release_memory()
         part_id = TaskContext.get().partitionId()
         seq, before = 0, 0
         ids, offsets, counts, frames, held = [], [0], [], [], 0
@@ -203,12 +226,10 @@ def write_token_files(
             )
 
         for batch in batches:
-            for piece in slices(batch, "text"):
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                for i, x in zip(piece.column("doc_id").to_pylist(), encode(texts)):
-                    frame = zstd.compress(with_end(x))
+            for piece in slices(batch, "frame"):
+                for i, n, frame in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "n", "frame"))):
                     ids.append(i)
-                    counts.append(len(x) + 1)
+                    counts.append(n)
                     frames.append(frame)
                     held += len(frame)
                     offsets.append(held)
@@ -220,9 +241,7 @@ def write_token_files(
             yield shard()
         release_memory()
 
-    dealt = own.repartitionByRange(*([partitions] if partitions else []), F.col("doc_id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, SHARDS.format(id=id_type)).write.option("compression", "none").parquet(f"{path}/shards")
+    ordered.mapInArrow(run, ddl).write.option("compression", "none").parquet(path)
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
