@@ -52,7 +52,7 @@ class Encoder:
     the text's ids.  Other kinds of tokenizer encode whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,12 +73,12 @@ class Encoder:
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.bpe = self.model.model.tokenize
         self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.cache_bytes = 0, cache_bytes
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.split:
             return [np.array(e.ids, "<u4") for e in self.model.encode_batch(texts, add_special_tokens=False)]
-        if self.held > CACHE_BYTES:
+        if self.held > self.cache_bytes:
             self.cache, self.held = {}, 0
         plain = [i for i, t in enumerate(texts) if t and not (t[0].isspace() or SPACED.search(t))]
         out = dict(zip(plain, self._spaced([texts[i] for i in plain])))
@@ -126,9 +126,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path)
+    return Encoder(path, cache_bytes)
 
 
 def with_end(ids: np.ndarray) -> bytes:
@@ -136,7 +136,9 @@ def with_end(ids: np.ndarray) -> bytes:
     return ids.tobytes() + np.array([END_ID], dtype="<u4").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+def train_dictionary(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES
+) -> bytes:
     """A dictionary from a bounded sample: at most SAMPLE_DOCS documents, SAMPLE_IDS ids of each."""
     import zstandard
 
@@ -148,7 +150,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
 
     def run(batches):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, cache_bytes)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = encode([t or "" for t in part.column("text").to_pylist()])
@@ -169,7 +171,13 @@ SHARDS = (
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    partitions: int | None = None,
+    cache_bytes: int = CACHE_BYTES,
 ) -> None:
     """Encode every text, append the end id and write shards in ascending id order below ``path``.
 
@@ -177,17 +185,18 @@ def write_token_files(
     exchanged.  Null texts are empty: the end id alone.  Null ids come first.
     Rows with one id are in the order of the CRC-32 of their ids, which also
     parts them: a hot id is spread over tasks.  A text of any length is one
-    frame.  An empty table writes an empty file.
+    frame.  A worker remembers about ``cache_bytes`` of chunks: fewer cost time,
+    more memory.  An empty table writes an empty file.
     """
     import zstandard
 
     spark = docs.sparkSession
-    words = train_dictionary(docs, tokenizer, id_col, text_col)
+    words = train_dictionary(docs, tokenizer, id_col, text_col, cache_bytes)
     sha = hashlib.sha256(words).hexdigest()
     spark.createDataFrame([(sha, bytearray(words))], "dict_sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
 
     def make():
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, cache_bytes)
         zstd = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
 
         def step(part: pa.RecordBatch) -> dict:
