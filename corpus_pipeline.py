@@ -5,6 +5,8 @@ A filtering stage numbers its rows, writes them, decides on each row and removes
 exactly those rows: null and repeated ids are rows like any other.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,21 @@ from signalharm.llm.common import BROADCAST_IDS, discard, noted_paths, shared_pa
 KEY = "__row_key"
 #: Tables that earlier stages wrote for themselves.
 _LEFT: list[str] = []
+#: Rows that go to a Python worker at once, and bytes of chunks that the tokenizer's cache holds: an
+#: executor runs all stages, so each takes less memory than its query alone.
+BATCH_ROWS, CACHE_BYTES = 2000, 32 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows for the jobs inside the block."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def tidy(stage):
@@ -29,7 +46,7 @@ def tidy(stage):
         files = docs.inputFiles()
         done = [p for p in _LEFT if not any(p.removeprefix("file:").strip("/") in f for f in files)]
         discard(spark, done)
-        with noted_paths() as paths:
+        with noted_paths() as paths, small_batches(spark):
             out = stage(spark, docs, sf_dir)
         _LEFT[:] = [*(p for p in _LEFT if p not in done), *paths]
         return out
@@ -85,7 +102,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, and per document what they hold."""
     path = shared_path(spark, "pipeline-tokens")
-    token_files.write_token_files(docs, path, queries.tokenizer_file("byte_bpe_50k.json"))
+    token_files.write_token_files(docs, path, queries.tokenizer_file("byte_bpe_50k.json"), cache_bytes=CACHE_BYTES)
     return token_files.token_digests(spark, path)
 
 
