@@ -276,3 +276,56 @@ def split_leakage(roles: DataFrame, key: str, role: str = "role") -> DataFrame:
         .agg(F.sort_array(F.collect_set(role)).alias("roles"))
         .filter(F.size("roles") > 1)
     )
+
+
+def split_contract(
+    items: DataFrame,
+    roles: DataFrame,
+    keys: list[str],
+    id_col: str,
+    class_col: str,
+    role: str = "role",
+    query: str = "query",
+    library: str = "library",
+) -> DataFrame:
+    """Whether the roles of each split (``keys``) are a complete partition whose queries find their class.
+
+    ``items`` (keys, id, class) lists who must have a role, ``roles`` (keys, id,
+    role) who got which.  Counts of one union prove the partition: n_unassigned
+    items have no role, n_repeated ids have several rows, n_conflicts ids have
+    different roles, n_unknown ids are no items.  n_absent_class items in the
+    query role have no item of their class in the library role.  A null role is
+    no role, null ids are one id and null classes one class.
+    """
+    class_type = items.schema[class_col].dataType
+    own = items.select(*keys, id_col, class_col, F.lit(1).alias("_item"), F.lit(None).cast("string").alias("_role"))
+    given = roles.select(
+        *keys, id_col, F.lit(None).cast(class_type).alias(class_col), F.lit(0).alias("_item"), F.col(role).alias("_role")
+    )
+    per_id = own.unionByName(given).groupBy(*keys, id_col).agg(
+        F.max("_item").alias("_item"),
+        F.max(class_col).alias(class_col),
+        F.count("_role").alias("_n"),
+        (F.min("_role") != F.max("_role")).alias("_conflict"),
+        F.max(F.col("_role") == query).alias("_query"),
+        F.max(F.col("_role") == library).alias("_library"),
+    )
+
+    def n(condition: Column) -> Column:
+        return F.count(F.when(condition, 1))
+
+    item = F.col("_item") == 1
+    per_class = per_id.groupBy(*keys, class_col).agg(
+        n(item).alias("n_items"),
+        n(item & (F.col("_n") == 0)).alias("n_unassigned"),
+        n(F.col("_n") > 1).alias("n_repeated"),
+        n(F.col("_conflict")).alias("n_conflicts"),
+        n(~item).alias("n_unknown"),
+        n(item & F.col("_query")).alias("_queries"),
+        n(item & F.col("_library")).alias("_libraries"),
+    )
+    absent = F.sum(F.when(F.col("_libraries") == 0, F.col("_queries")).otherwise(0))
+    counts = ["n_items", "n_unassigned", "n_repeated", "n_conflicts", "n_unknown"]
+    out = per_class.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts], absent.alias("n_absent_class"))
+    complete = (F.col("n_unassigned") == 0) & (F.col("n_repeated") == 0) & (F.col("n_unknown") == 0)
+    return out.withColumn("complete", complete).withColumn("valid", complete & (F.col("n_absent_class") == 0))

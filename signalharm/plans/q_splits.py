@@ -235,6 +235,49 @@ def split_leakage(spark, sf):
     return S.split_leakage(d, "digest").withColumn("roles", F.array_join("roles", ","))
 
 
+@query(
+    "split_contract",
+    f"""WITH {_EMB}, {SQL_QUERY_LIBRARY},
+items AS (SELECT 'library-' || seed AS split, signal_id AS id, class_id AS class FROM e, seed_list
+  UNION ALL SELECT 'orders', c_custkey, c_nationkey FROM customer),
+roles AS (SELECT 'library-' || seed AS split, signal_id AS id, role FROM e JOIN ql USING (class_id, group_id)
+  UNION ALL SELECT 'orders', o_custkey, CASE o_orderstatus WHEN 'F' THEN 'library' WHEN 'O' THEN 'query' ELSE 'other' END FROM orders),
+r AS (SELECT split, id, count(*) AS n, count(DISTINCT role) AS kinds, bool_or(role = 'query') AS q, bool_or(role = 'library') AS l FROM roles GROUP BY ALL),
+both_ AS (SELECT coalesce(i.split, r.split) AS split, i.id AS item, i.class, r.id AS given, r.n, r.kinds, r.q, r.l
+  FROM items i FULL JOIN r ON i.split = r.split AND i.id = r.id),
+held AS (SELECT DISTINCT split, class FROM both_ WHERE item IS NOT NULL AND l),
+c AS (SELECT split, count(item)::BIGINT AS n_items, count(*) FILTER (given IS NULL)::BIGINT AS n_unassigned, count(*) FILTER (n > 1)::BIGINT AS n_repeated,
+  count(*) FILTER (kinds > 1)::BIGINT AS n_conflicts, count(*) FILTER (item IS NULL)::BIGINT AS n_unknown,
+  count(*) FILTER (item IS NOT NULL AND q AND NOT EXISTS (SELECT 1 FROM held h WHERE h.split = both_.split AND h.class = both_.class))::BIGINT AS n_absent_class
+  FROM both_ GROUP BY split)
+SELECT *, n_unassigned + n_repeated + n_unknown = 0 AS complete, n_unassigned + n_repeated + n_unknown + n_absent_class = 0 AS valid FROM c""",
+)
+def split_contract(spark, sf):
+    """Query/library splits of the signals, and customers whose roles are their orders' states."""
+    e = ids(spark, sf)
+    roles = e.join(S.query_library(e, "class_id", "group_id", SEEDS), ["class_id", "group_id"])
+    seeds = F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed")
+    name = F.concat(F.lit("library-"), F.col("seed")).alias("split")
+    items = e.select("signal_id", "class_id", seeds).select(
+        name, F.col("signal_id").cast("long").alias("id"), F.col("class_id").cast("long").alias("class")
+    )
+    items = items.unionByName(
+        table(spark, sf, "customer").select(
+            F.lit("orders").alias("split"),
+            F.col("c_custkey").cast("long").alias("id"),
+            F.col("c_nationkey").cast("long").alias("class"),
+        )
+    )
+    status = F.col("o_orderstatus")
+    by_orders = table(spark, sf, "orders").select(
+        F.lit("orders").alias("split"),
+        F.col("o_custkey").cast("long").alias("id"),
+        F.when(status == "F", "library").when(status == "O", "query").otherwise("other").alias("role"),
+    )
+    given = roles.select(name, F.col("signal_id").cast("long").alias("id"), "role").unionByName(by_orders)
+    return S.split_contract(items, given, ["split"], "id", "class")
+
+
 @query(
     "assign_stratum",
     """SELECT CASE WHEN p_retailprice >= 900 AND p_retailprice < 950 THEN 'low' WHEN p_retailprice >= 950 AND p_retailprice < 1000 THEN 'mid'
