@@ -18,21 +18,24 @@ from signalharm.llm.common import BROADCAST_IDS, discard, noted_paths, shared_pa
 KEY = "__row_key"
 #: Tables that earlier stages wrote for themselves.
 _LEFT: list[str] = []
-#: Rows that go to a Python worker at once, and bytes of chunks that the tokenizer's cache holds: an
-#: executor runs all stages, so each takes less memory than its query alone.
-BATCH_ROWS, CACHE_BYTES = 2000, 32 << 20
+#: Rows and bytes that go to a Python worker at once, and bytes of chunks that the tokenizer's cache
+#: holds: an executor runs all stages, so each takes less memory than its query alone.  Arrow buffers
+#: lie outside the heap and their pool is kept, so large batches of one stage burden all later ones.
+BATCH_ROWS, BATCH_BYTES, CACHE_BYTES = 1000, 1 << 20, 32 << 20
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH_ROWS rows for the jobs inside the block."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    """Arrow batches of at most BATCH_ROWS rows, and about BATCH_BYTES, for the jobs inside the block."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {key: spark.conf.get(key) for key in (rows, size)}
+    spark.conf.set(rows, min(BATCH_ROWS, int(before[rows])) if int(before[rows]) > 0 else BATCH_ROWS)
+    spark.conf.set(size, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def tidy(stage):
@@ -103,7 +106,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files of what is left, and per document what they hold."""
     path = shared_path(spark, "pipeline-tokens")
     token_files.write_token_files(docs, path, queries.tokenizer_file("byte_bpe_50k.json"), cache_bytes=CACHE_BYTES)
-    return token_files.token_digests(spark, path)
+    # read back here: the batches of whole shards are bounded only inside the stage
+    return stored(token_files.token_digests(spark, path), "digests")
 
 
 STAGES = [
