@@ -459,19 +459,20 @@ def lod_loq(spark, sf):
 
 @query(
     "shrunk_cov",
-    """WITH v AS (SELECT label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS v FROM embeddings),
-l AS (SELECT label, k, v[k] AS x, row_number() OVER () AS o, v FROM v, range(1, 5) r(k)),
+    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+l AS (SELECT label, k, v[k] AS x FROM v, range(1, 65) r(k)),
 m AS (SELECT label, k, avg(x) AS m FROM l GROUP BY ALL),
-c AS (SELECT row_number() OVER () AS id, label, [v[i] - mm[i] for i in range(1, 5)] AS c FROM v JOIN (SELECT label, list(m ORDER BY k) AS mm FROM m GROUP BY ALL) USING (label)),
-s AS (SELECT label, i, j, avg(c[i] * c[j]) AS s, count(*)::BIGINT AS n FROM c, range(1, 5) a(i), range(1, 5) b(j) GROUP BY ALL),
+mm AS (SELECT label, list(m ORDER BY k) AS mm FROM m GROUP BY ALL),
+c AS (SELECT label, [v[i] - mm[i] for i in range(1, 65)] AS c FROM v JOIN mm USING (label)),
+s AS (SELECT label, i, j, avg(c[i] * c[j]) AS s, count(*)::BIGINT AS n FROM c, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL),
 q AS (SELECT label, avg(power(list_dot_product(c, c), 2)) AS q FROM c GROUP BY ALL),
-t AS (SELECT label, sum(s) FILTER (i = j) / 4 AS mu, sum(s * s) AS norm, any_value(n) AS n FROM s GROUP BY ALL),
-h AS (SELECT label, mu, n, least(greatest((q - norm) / (4 * n), 0), (norm - 4 * mu * mu) / 4) / ((norm - 4 * mu * mu) / 4) AS sh FROM t JOIN q USING (label))
+t AS (SELECT label, sum(s) FILTER (i = j) / 64 AS mu, sum(s * s) AS norm, any_value(n) AS n FROM s GROUP BY ALL),
+h AS (SELECT label, mu, n, least(greatest((q - norm) / (64 * n), 0), (norm - 64 * mu * mu) / 64) / ((norm - 64 * mu * mu) / 64) AS sh FROM t JOIN q USING (label))
 SELECT label::BIGINT AS class_id, h.n, round(sh, 6) AS shrinkage, i::BIGINT AS i, j::BIGINT AS j, round((1 - sh) * s + CASE WHEN i = j THEN sh * mu ELSE 0 END, 8) + 0.0 AS covariance FROM s JOIN h USING (label) WHERE i <= j""",
 )
 def shrunk_cov(spark, sf):
-    df = signals(spark, sf).select("class_id", F.slice("y", 1, 4).alias("v"))
-    out = shrunk_covariance(df, ["class_id"], "v", 4)
+    """All 64 values of every class."""
+    out = shrunk_covariance(signals(spark, sf), ["class_id"], "y", 64)
     return out.select(
         "class_id", "n", R(F.col("shrinkage")).alias("shrinkage"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), R(F.col("covariance"), 8).alias("covariance")
     )

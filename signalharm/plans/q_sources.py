@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..sources import text as X
 from . import sqltext as T
+from .q_audits import scratch
 from .q_signals import checksum
 from .registry import query
 from .tables import signals, table
@@ -142,3 +143,55 @@ def normalize_metadata(spark, sf):
         F.sum("n_accumulations").alias("accumulations"),
         F.date_format(F.max("acquired_at"), "yyyy-MM-dd HH:mm:ss").alias("last_acquired"),
     )
+
+
+def damaged(members):
+    """Every 37th member ends in a byte that is no UTF-8."""
+    bad = F.unhex(F.lit("FF")).cast("string")
+    return members.withColumn("payload", F.when(F.col("signal_id") % 37 == 12, F.concat("payload", bad)).otherwise(F.col("payload")))
+
+
+def through_files(spark, members, parse):
+    """Members written as files, read and parsed from there, and stored beside their quarantine."""
+    path = scratch(spark, "members")
+    X.write_members(damaged(members), f"{path}/files")
+    X.write_with_quarantine(parse(X.read_members(spark, f"{path}/files", "*.txt")), f"{path}/parsed")
+    kept, bad = X.read_accepted(spark, f"{path}/parsed"), X.read_quarantine(spark, f"{path}/parsed")
+    code = F.lit(None).cast("string").alias("rejection_code")
+    kept = kept.select("member", code, F.size("axis").cast("long").alias("n_points"), checksum(F.col("y")).alias("checksum"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n_points", "long"), ("checksum", "double"))]
+    return kept.unionByName(bad.select("member", "rejection_code", *none))
+
+
+def _files_sql(member, code):
+    return (
+        "WITH "
+        + T.SQL_SIGNALS
+        + f""", m AS (SELECT signal_id, {member} AS member, CASE {code} END AS rejection_code, max(i)::BIGINT AS n, sum(i * y) AS s FROM sig GROUP BY signal_id)
+SELECT member, rejection_code, CASE WHEN rejection_code IS NULL THEN n END AS n_points, CASE WHEN rejection_code IS NULL THEN round(s, 6) + 0.0 END AS checksum FROM m"""
+    )
+
+
+@query(
+    "ingest_text_files",
+    _files_sql("'m' || signal_id", "WHEN signal_id % 37 = 12 THEN 'not_text' ELSE (" + _CODE + ")"),
+)
+def ingest_text_files(spark, sf):
+    return through_files(spark, text_members(spark, sf), X.parse_text_signals)
+
+
+_POSITION = "(signal_id % 96)::BIGINT"
+_NAME = f"""CASE WHEN signal_id % 23 = 7 THEN 'odd-' || signal_id || '.csv' ELSE
+ printf('s%03d-%s%02d-p%02d-r%02d-m01-rep%02d.csv', 12 * ({_POSITION} // 12) + signal_id % 12 + 1 + CASE WHEN signal_id % 19 = 2 THEN 1 ELSE 0 END, chr(({_POSITION} // 12 + 65)::INT), signal_id % 12 + 1, signal_id // 96, signal_id % 8 + 1, signal_id % 4 + 1) END"""
+
+
+@query(
+    "ingest_csv_files",
+    _files_sql(
+        _NAME,
+        "WHEN signal_id % 23 = 7 THEN 'name_grammar' WHEN signal_id % 19 = 2 THEN 'identity_out_of_contract' WHEN signal_id % 37 = 12 THEN 'not_text' WHEN signal_id % 29 = 8 THEN 'metadata_missing'",
+    ),
+)
+def ingest_csv_files(spark, sf):
+    """The member's identity comes from its path, not from a column."""
+    return through_files(spark, csv_members(spark, sf), lambda df: X.parse_csv_signals(df, "power double, objective string"))

@@ -12,13 +12,48 @@ from ..functions import arrays as A
 PAIR_TYPE = "array<struct<key:string,value:string>>"
 
 
-def read_members(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: member name and whole text."""
-    return spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("member"), F.col("value").alias("payload")
+def write_members(df: DataFrame, path: str) -> None:
+    """One text file per member below ``path``: a folder named after it, which holds its payload.
+
+    A member may go into any folder of its own, so tasks write side by side and
+    nothing is gathered.  ``df``: member, payload.
+    """
+    df.select("member", "payload").write.partitionBy("member").text(path)
+
+
+def read_members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """member, payload, n_bytes of every file below ``path`` whose name matches ``pattern``.
+
+    The member is the folder that ``write_members`` made, else the file's own
+    name.  Folders are searched at any depth; files are read where they lie,
+    each whole in one row, so one file may hold 2 GB at most.  Spark's scan
+    leaves out files of no bytes: they are no members.  The payload of a file
+    that is no UTF-8 is null: the parsers give it the code ``not_text``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    folder = F.regexp_extract("path", r"/member=([^/]+)/[^/]+$", 1)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(
+        F.when(folder != "", folder).otherwise(name).alias("member"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("payload"),
+        F.col("length").alias("n_bytes"),
     )
 
 
+def write_with_quarantine(df: DataFrame, path: str, code: str = "rejection_code") -> None:
+    """Accepted rows and the quarantine as two folders below ``path``, in one pass over ``df``."""
+    state = F.when(F.col(code).isNull(), "accepted").otherwise("quarantine")
+    df.withColumn("state", state).write.partitionBy("state").parquet(path)
+
+
+def read_accepted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("state = 'accepted'").drop("state", "rejection_code")
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("state = 'quarantine'").drop("state")
+
+
 def _entries(lines, prefix: int) -> Column:
     """``key=value`` entries after a line prefix; empty values are dropped."""
     pairs = F.transform(
@@ -86,6 +121,7 @@ def parse_text_signals(df: DataFrame, identity=("NAMES", "ID")) -> DataFrame:
     for k in identity:
         rules.append((F.size(f"_{k}") > 1, "identity_header_conflict"))
         rules.append((F.size(f"_{k}") == 0, "required_header_missing"))
+    rules.append((F.col("payload").isNull(), "not_text"))
     for condition, name in rules:
         code = F.when(condition, name).otherwise(code)
     return A.pin(df, {"rejection_code": code, **{k.lower(): F.get(f"_{k}", F.lit(0)) for k in identity}}).drop(
@@ -133,6 +169,7 @@ def parse_csv_signals(df: DataFrame, schema: str) -> DataFrame:
     code = (
         F.when(~named, "name_grammar")
         .when((sample != position) | ~col.between(1, 12) | ~part(7).try_cast("int").between(1, 4), "identity_out_of_contract")
+        .when(F.col("payload").isNull(), "not_text")
         .when(F.col("meta").isNull() | F.exists(F.array(*[F.col(f"meta.{f.split()[0]}").isNull() for f in schema.split(", ")]), lambda m: m), "metadata_missing")
         .when((F.size("rows") < 2) | (F.col("bad_rows") > 0), "bad_numeric_row")
     )
