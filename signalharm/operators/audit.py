@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .checkpoints import ensure_checkpoint_dir
+from .splits import leakage_components
 
 
 def effect_violations(cells: DataFrame) -> DataFrame:
@@ -199,6 +201,55 @@ def reproduce(left: DataFrame, right: DataFrame, keys, fields, tolerance: float
     )
 
 
+def signal_states(df: DataFrame, id_col: str = "signal_id", y: str = "y") -> DataFrame:
+    """id, state: ``comparable``, or why a signal has no standardised form.
+
+    ``empty`` (null or no values), ``not_finite`` (a null, NaN or infinite value)
+    or ``constant`` (its SNV has no scale).
+    """
+    return df.select(id_col, _state(F.col(y)).alias("state"))
+
+
+def _state(v: Column) -> Column:
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return (
+        F.when(v.isNull() | (F.size(v) == 0), "empty")
+        .when(~finite, "not_finite")
+        .when(F.array_min(v) == F.array_max(v), "constant")
+        .otherwise("comparable")
+    )
+
+
+def _near_cells(reps: DataFrame, threshold: float, segments: int) -> DataFrame:
+    """rep, n, c: the cell of every representative by its segment means, without the vector."""
+
+    def cell(k):
+        size = F.greatest(F.floor(F.col("n") / segments), F.lit(1)).cast("int")  # short vectors have fewer segments
+        width = F.lit(threshold) * F.sqrt(F.col("n") / size) + 1e-12
+        return F.coalesce(F.floor(A.mean(F.slice("v", F.lit(k) * size + 1, size)) / width).cast("long"), F.lit(0))
+
+    return A.pin(reps.select("rep", "n", "v"), {"c": F.array(*[cell(k) for k in range(segments)])}).drop("v")
+
+
+def near_candidates(reps: DataFrame, threshold: float, segments: int = 4) -> DataFrame:
+    """left_id, right_id (left < right) of neighbouring cells: the exchange holds ids and cells alone.
+
+    Of two neighbouring cells that differ, one probes the other: a cell looks at
+    itself and at the half of its neighbours that come after it in the order of
+    cells, so 1 + (3^segments - 1) / 2 probes find what 3^segments would.
+    """
+    cells = _near_cells(reps, threshold, segments)
+    steps = [()]
+    for _ in range(segments):
+        steps = [(*s, d) for s in steps for d in (-1, 0, 1)]
+    ahead = [s for s in steps if s >= (0,) * segments]
+    probe = F.explode(F.array(*[F.array(*[F.get("c", F.lit(k)) + d for k, d in enumerate(s)]) for s in ahead]))
+    left = cells.select(F.col("rep").alias("a"), F.col("c").alias("home"), "n", probe.alias("c"))
+    right = cells.select(F.col("rep").alias("b"), "n", "c")
+    met = left.join(right, ["n", "c"]).filter((F.col("home") != F.col("c")) | (F.col("a") < F.col("b")))
+    return met.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "signal_id", threshold: float = 1e-3, y: str = "y", segments: int = 4
 ) -> DataFrame:
@@ -206,39 +257,25 @@ def near_duplicates(
 
     Exact blocking: if rms(a - b) <= t, the mean over any segment of length L
     differs by at most t*sqrt(n/L).  Each segment mean becomes a cell of that
-    width and neighbours differ by at most one cell per segment, so each left
-    row probes 3^segments cells and each right row sits in one.  Identical
+    width and neighbours differ by at most one cell per segment.  Identical
     vectors collapse to one representative with a multiplicity first, so a
-    group of copies costs one probe.  The result is whole in that form: one row
-    per pair of distinct vectors with the copies on both sides and the number
-    of record pairs, and one row per group of copies (left = right).
+    group of copies is one probe set.  Two phases: cells give candidate pairs of
+    ids, then the vectors of the candidates alone are fetched and compared.  The
+    result is whole in that form: one row per pair of distinct vectors with the
+    copies on both sides and the number of record pairs, and one row per group
+    of copies (left = right).  Signals without a standardised form take no part;
+    ``signal_states`` names them.
     """
-    snv = A.pin(df.select(id_col, F.size(y).alias("n"), F.col(y).alias("_y")), {"v": A.snv(F.col("_y"))})
-    snv = snv.filter(F.col("v").isNotNull()).drop("_y")
-    reps = snv.groupBy("v", "n").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("m"))
-
-    def cell(k):
-        size = F.greatest(F.floor(F.col("n") / segments), F.lit(1)).cast("int")  # short vectors have fewer segments
-        width = F.lit(threshold) * F.sqrt(F.col("n") / size) + 1e-12
-        return F.coalesce(F.floor(A.mean(F.slice("v", F.lit(k) * size + 1, size)) / width).cast("long"), F.lit(0))
-
-    cells = A.pin(reps, {"c": F.array(*[cell(k) for k in range(segments)])})
-    probes = cells
-    for k in range(segments):
-        steps = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-        probes = probes.withColumn(f"d{k}", F.explode(steps))
-    probes = probes.select(
-        F.col("rep").alias("left_id"),
-        F.col("v").alias("lv"),
-        F.col("m").alias("left_copies"),
-        "n",
-        F.array(*[F.get("c", F.lit(k)) + F.col(f"d{k}") for k in range(segments)]).alias("c"),
-    )
-    right = cells.select(F.col("rep").alias("right_id"), F.col("v").alias("rv"), F.col("m").alias("right_copies"), "n", "c")
-    distance = A.rms(F.zip_with("lv", "rv", lambda a, b: a - b))
+    ensure_checkpoint_dir(df.sparkSession)
+    usable = df.where(_state(F.col(y)) == "comparable").select(id_col, F.size(y).alias("n"), F.col(y).alias("_y"))
+    snv = A.pin(usable, {"v": A.snv(F.col("_y"))}).filter(F.col("v").isNotNull()).drop("_y")
+    reps = snv.groupBy("v", "n").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("m")).checkpoint()
+    sides = [reps.select(F.col("rep").alias(f"{s}_id"), F.col("v").alias(s), F.col("m").alias(f"{s}_copies")) for s in ("left", "right")]
+    distance = A.rms(F.zip_with("left", "right", lambda a, b: a - b))
     near = (
-        probes.join(right, ["n", "c"])
-        .filter(F.col("left_id") < F.col("right_id"))
+        near_candidates(reps, threshold, segments)
+        .join(sides[0], "left_id")
+        .join(sides[1], "right_id")
         .withColumn("distance", distance)
         .filter(F.col("distance") <= threshold)
         .withColumn("n_pairs", F.col("left_copies") * F.col("right_copies"))
@@ -256,6 +293,26 @@ def near_duplicates(
     return near.select(*names).unionByName(copies)
 
 
+def near_duplicate_groups(
+    df: DataFrame, id_col: str = "signal_id", threshold: float = 1e-3, y: str = "y", segments: int = 4
+) -> DataFrame:
+    """component, n_signals, n_vectors, n_links: near duplicates united, without a list of record pairs.
+
+    A component is the smallest id that links of distinct vectors or copies
+    reach; ``n_links`` counts pairs of records at most ``threshold`` apart.
+    Signals without a near duplicate are no component.
+    """
+    pairs = near_duplicates(df, id_col, threshold, y, segments).checkpoint()
+    left, m = F.col("left_id").alias("hub"), F.col("right_copies").alias("m")
+    members = pairs.select(F.col("left_id").alias("id"), F.col("left_copies").alias("m"), left)
+    members = members.union(pairs.select("right_id", m, left))  # all that meet one left id are linked
+    labels = leakage_components(members, "id", "hub").withColumnRenamed("component_id", "component")
+    vectors = members.select("id", "m").distinct().join(labels, "id")
+    sizes = vectors.groupBy("component").agg(F.sum("m").alias("n_signals"), F.count(F.lit(1)).alias("n_vectors"))
+    links = pairs.join(labels, F.col("left_id") == F.col("id")).groupBy("component").agg(F.sum("n_pairs").alias("n_links"))
+    return sizes.join(links, "component")
+
+
 def dataset_diff(source: DataFrame, target: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """Missing, extra and mismatching rows of a stored copy, one row.
 

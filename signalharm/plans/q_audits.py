@@ -136,16 +136,23 @@ def _with_copies(spark, sf):
     return s.unionByName(a).unionByName(b)
 
 
-@query(
-    "near_dups",
-    "WITH "
-    + T.SQL_SIGNALS
+#: The distinct standardised vectors of ``_with_copies`` with their multiplicity.
+SQL_DISTINCT_VECTORS = (
+    T.SQL_SIGNALS
     + """, al AS (SELECT signal_id, i, y FROM sig UNION ALL SELECT signal_id + 1000000, i, y * 2 FROM sig WHERE signal_id % 5 = 0
  UNION ALL SELECT signal_id + 2000000, i, y + CASE WHEN i % 2 = 1 THEN 0.00005 ELSE -0.00005 END FROM sig WHERE signal_id % 7 = 0),
 l AS (SELECT signal_id, list(y ORDER BY i) AS l FROM al GROUP BY ALL),
 l2 AS (SELECT signal_id, list_transform(l, lambda x: x - list_sum(l) / len(l)) AS c FROM l),
 v AS (SELECT signal_id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda u: u * u)) / len(c))) AS v FROM l2),
-g AS MATERIALIZED (SELECT v, min(signal_id) AS id, count(*)::BIGINT AS m FROM v GROUP BY v)
+g AS MATERIALIZED (SELECT v, min(signal_id) AS id, count(*)::BIGINT AS m FROM v GROUP BY v)"""
+)
+
+
+@query(
+    "near_dups",
+    "WITH "
+    + SQL_DISTINCT_VECTORS
+    + """
 SELECT a.id AS left_id, b.id AS right_id, a.m AS left_copies, b.m AS right_copies, (a.m * b.m)::BIGINT AS n_pairs, round(list_distance(a.v, b.v) / 8, 6) + 0.0 AS distance FROM g a JOIN g b ON a.id < b.id AND list_distance(a.v, b.v) / 8 <= 0.001
 UNION ALL SELECT id, id, m, m, (m * (m - 1) // 2)::BIGINT, 0.0 FROM g WHERE m > 1""",
 )
@@ -153,6 +160,39 @@ def near_dups(spark, sf):
     return U.near_duplicates(_with_copies(spark, sf)).withColumn("distance", R(F.col("distance")))
 
 
+@query(
+    "near_dup_groups",
+    "WITH RECURSIVE "
+    + SQL_DISTINCT_VECTORS
+    + """, p AS MATERIALIZED (SELECT a.id AS l, b.id AS r, a.m * b.m AS n FROM g a JOIN g b ON a.id < b.id AND list_distance(a.v, b.v) / 8 <= 0.001),
+e AS (SELECT l AS a, r AS b FROM p UNION ALL SELECT r, l FROM p),
+nodes AS (SELECT id, m FROM g WHERE m > 1 OR id IN (SELECT a FROM e)),
+reach(id, c) AS (SELECT id, id FROM nodes UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.id),
+lab AS (SELECT id, min(c) AS component FROM reach GROUP BY id),
+k AS (SELECT component, sum(n) AS n FROM p JOIN lab ON l = id GROUP BY ALL)
+SELECT component, sum(m)::BIGINT AS n_signals, count(*)::BIGINT AS n_vectors, (sum(m * (m - 1) // 2) + coalesce(any_value(k.n), 0))::BIGINT AS n_links
+ FROM nodes JOIN lab USING (id) LEFT JOIN k USING (component) GROUP BY component""",
+)
+def near_dup_groups(spark, sf):
+    return U.near_duplicate_groups(_with_copies(spark, sf))
+
+
+@query(
+    "signal_states",
+    """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 9 = 4 THEN 0.0 WHEN vec_id % 7 = 3 AND x > 0 THEN NULL ELSE round(x) END) AS v FROM embeddings),
+t AS (SELECT CASE WHEN len(list_filter(v, lambda x: x IS NULL)) > 0 THEN 'not_finite' WHEN list_min(v) = list_max(v) THEN 'constant' ELSE 'comparable' END AS state FROM s)
+SELECT state, count(*)::BIGINT AS n FROM t GROUP BY ALL""",
+)
+def signal_states(spark, sf):
+    """Flattened signals and signals with holes are named, not dropped in silence."""
+    k = F.col("signal_id")
+    s = signals(spark, sf).select(
+        "signal_id",
+        F.transform("y", lambda v: F.when(k % 9 == 4, 0.0).when((k % 7 == 3) & (v > 0), F.lit(None)).otherwise(F.rint(v))).alias("y"),
+    )
+    return U.signal_states(s).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "exact_dups",
     f"""WITH d AS (SELECT md5(text) AS digest, CASE WHEN {sql_uniform(f"'{SEED}|role|' || doc_id")} < 0.6 THEN 'fit' ELSE 'test' END AS role FROM documents),

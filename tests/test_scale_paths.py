@@ -126,6 +126,33 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got.n_pairs.sum() == int((d[i, j] <= 1e-3).sum())
 
 
+def test_near_duplicate_groups(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 1, (30, 32))
+    chain = base[0] + np.arange(6)[:, None] * 7e-4 * np.sign(rng.normal(size=32))  # neighbours are near, ends are not
+    y = np.vstack([base, chain, np.repeat(base[1:2], 40, 0), base[2:9] + rng.normal(0, 3e-4, (7, 32))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(y)] + [(900, [2.0] * 32), (901, [2.0] * 32), (902, [float("nan")] * 32), (903, None), (904, [])]
+    df = spark.createDataFrame(rows, "signal_id long, y array<double>")
+    v = (y - y.mean(1, keepdims=True)) / y.std(1, keepdims=True)
+    near = np.sqrt(((v[:, None] - v[None]) ** 2).mean(2)) <= 1e-3
+    label = np.arange(len(y))
+    for _ in y:
+        label = np.array([label[near[i]].min() for i in range(len(y))])
+    want = {}
+    for c in set(label):
+        at = np.flatnonzero(label == c)
+        if len(at) > 1:
+            want[c] = (len(at), int(np.triu(near[np.ix_(at, at)], 1).sum()))
+    got = {r.component: (r.n_signals, r.n_links) for r in audit.near_duplicate_groups(df).collect()}
+    assert got == want
+    states = {r.signal_id: r.state for r in audit.signal_states(df).collect() if r.signal_id >= 900}
+    assert states == {900: "constant", 901: "constant", 902: "not_finite", 903: "empty", 904: "empty"}
+    reps = df.filter("signal_id < 900").selectExpr("signal_id AS rep", "size(y) AS n", "y AS v")
+    assert audit._near_cells(reps, 1e-3, 4).columns == ["rep", "n", "c"]  # no vector meets the exchange
+    assert audit.near_candidates(reps, 1e-3).columns == ["left_id", "right_id"]
+    assert audit.near_duplicate_groups(df.limit(0)).count() == 0
+
+
 def test_calibration_pairs(spark):
     df = spark.createDataFrame([(i, i % 4) for i in range(60)], "id long, entity long")
     p = splits.calibration_pairs(df, "id", "entity", 50, 3).toPandas()
