@@ -38,7 +38,7 @@ def noted_paths() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _NOTED.remove(paths)
+        _NOTED[:] = [other for other in _NOTED if other is not paths]  # lists of equal paths stay
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
