@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from signalharm.llm import decontaminate, mixing, toxicity
+from signalharm.llm import common, decontaminate, mixing, toxicity
 from signalharm.llm.common import table, without
 from tests.llm import cases
 
@@ -258,3 +258,12 @@ def test_disguises_are_restored(spark):
     assert "idiot" in toxicity.words_of(long, channel)
     assert "idiot" in toxicity.words_of("the.letter.will.tell." * 30 + "1d10t" + ".well.good.food" * 30, channel) | toxicity.words_of("1d10t", channel)
     assert {"letter", "will", "little"} <= toxicity.words_of("the letter will tell a little story", channel)
+
+
+def test_noted_paths_of_equal_lists(spark):
+    with common.noted_paths() as outer:
+        with common.noted_paths() as inner:
+            common.stored(spark.range(2), "a")
+        common.stored(spark.range(3), "b")
+    common.stored(spark.range(4), "c")
+    assert len(inner) == 1 and len(outer) == 2 and outer[0] == inner[0]
