@@ -6,6 +6,7 @@ Multiplicities are joined as weights; rows are never replicated.
 """
 
 import hashlib
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from .align import weighted_gap
-from .resample import count_extreme, sign_sums
+from .resample import count_extreme, drawn_sums, sign_sums
 from .resample import draw_statistics as blocked_statistics
 from .splits import hash_rank
 
@@ -31,6 +32,12 @@ def endpoint_seed(endpoint: str, operation: str, root: int = ROOT_SEED) -> str:
     return hashlib.md5(f"{root}|{endpoint}|{operation}".encode()).hexdigest()
 
 
+def _numbered(clusters: DataFrame, cluster: str, seed: str) -> DataFrame:
+    """Distinct clusters with their 0-based hashed position ``_k``."""
+    ids = hash_rank(clusters.select(cluster).distinct().withColumn("_all", F.lit(0)), ["_all"], cluster, seed)
+    return ids.select(cluster, (F.col("rank") - 1).alias("_k"))
+
+
 def draw_table(clusters: DataFrame, cluster: str, endpoint: str, resamples: int = RESAMPLES) -> DataFrame:
     """``resample, cluster, weight``: n draws with replacement per resample.
 
@@ -38,9 +45,7 @@ def draw_table(clusters: DataFrame, cluster: str, endpoint: str, resamples: int
     where the rows are; only the counted multiplicities move.
     """
     seed = endpoint_seed(endpoint, "bootstrap")
-    ids = clusters.select(cluster).distinct()
-    ids = hash_rank(ids.withColumn("_all", F.lit(0)), ["_all"], cluster, seed)
-    ids = ids.select(cluster, (F.col("rank") - 1).alias("_k"))
+    ids = _numbered(clusters, cluster, seed)
     n = ids.agg(F.count(F.lit(1)).alias("_n"))
     slots = ids.join(F.broadcast(n), F.lit(True)).select(  # one-row side
         "_k", "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
@@ -52,6 +57,22 @@ def draw_table(clusters: DataFrame, cluster: str, endpoint: str, resamples: int
     return counts.join(ids, "_k").select("resample", cluster, "weight")
 
 
+@dataclass(frozen=True)
+class Draws:
+    """The draws of :func:`draw_table` without the table: sums over many clusters form them in place."""
+
+    clusters: DataFrame
+    cluster: str
+    endpoint: str
+    resamples: int = RESAMPLES
+
+    def sums(self, values: DataFrame, cluster: str, keys: list[str], columns: list[str]) -> DataFrame:
+        seed = endpoint_seed(self.endpoint, "bootstrap")
+        ids = _numbered(self.clusters, self.cluster, seed).withColumnRenamed(self.cluster, cluster)
+        n = self.clusters.select(self.cluster).distinct().count()
+        return drawn_sums(values, ids, n, cluster, keys, columns, seed, self.resamples)
+
+
 def interval(df: DataFrame, keys: list[str], values, confidence: float = 0.95, *more: Column) -> DataFrame:
     """Percentile interval of each value column over the resamples (a bounded list).
 
@@ -114,8 +135,10 @@ def bootstrap_alignment(
     return out.withColumns(void)
 
 
-def bootstrap_sums(values: DataFrame, cluster: str, keys: list[str], columns: list[str], draws: DataFrame) -> DataFrame:
+def bootstrap_sums(values: DataFrame, cluster: str, keys: list[str], columns: list[str], draws: DataFrame | Draws) -> DataFrame:
     """Weighted sums of per-cluster columns per (keys, resample)."""
+    if isinstance(draws, Draws):
+        return draws.sums(values, cluster, keys, columns)
     w = F.col("weight")
     return (
         values.join(draws, cluster)
@@ -142,16 +165,14 @@ def bootstrap_incomplete(values: DataFrame, source: str, keys: list[str], draws:
     full = values.groupBy(*keys, "alpha").agg(
         F.avg("value").alias("_full"), F.count("value").alias("_n")
     )
-    sums = (
-        values.filter(F.col("value").isNotNull())
-        .join(draws, source)
-        .groupBy(*keys, "alpha", "resample")
-        .agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("_m"))
-    )
-    last = draws.agg(F.max("resample").alias("_last"))
-    planned = full.join(F.broadcast(last), F.lit(True)).select(  # one-row side
-        *full.columns, F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("resample")
-    )
+    sums = bootstrap_sums(values.filter(F.col("value").isNotNull()), source, [*keys, "alpha"], ["value"], draws)
+    sums = sums.select(*keys, "alpha", "resample", (F.col("value") / F.col("_w")).alias("_m"))
+    if isinstance(draws, Draws):
+        last = F.lit(draws.resamples - 1)
+    else:
+        last = F.col("_last")
+        full = full.join(F.broadcast(draws.agg(F.max("resample").alias("_last"))), F.lit(True))  # one-row side
+    planned = full.select(*keys, "alpha", "_full", "_n", F.explode(F.sequence(F.lit(0), last)).alias("resample"))
     cells = planned.join(sums, [*keys, "alpha", "resample"], "left")
     per = cells.groupBy(*keys, "resample").agg(
         F.avg(F.coalesce("_m", "_full")).alias("estimate")

@@ -25,6 +25,8 @@ DRAW_BLOCK, CELLS = 250, 4_000_000
 BUCKET_ROWS = 200_000
 #: Flips of one range (a multiple of 128), clusters of one block.
 FLIP_RANGE, CLUSTER_BLOCK = 8192, 2048
+#: Clusters of one range of draws; slots that draw at once.
+TARGETS, SLOTS = 8192, 256
 BITS = 128  # signs of one digest
 
 
@@ -100,7 +102,7 @@ def draw_statistics(obs: DataFrame, cluster_oc: DataFrame, draws: DataFrame, key
         for key, rows in left.groupby(keys, sort=False, dropna=False) if len(names) else ():
             cluster = rows["_c"].to_numpy()
             ag = gap_of_draws(cluster, rows["perturbation_id"].to_numpy(), rows["x"].to_numpy(), rows["y"].to_numpy(), weights, constant)
-            first = rows.drop_duplicates("_c").dropna(subset=["oc"])
+            first = rows.drop_duplicates("_c").dropna(subset=["oc"]).sort_values("_c")  # sums do not depend on the order of arrival
             w = weights[:, first["_c"].to_numpy()]
             n = w.sum(axis=1)
             oc = np.divide(w @ first["oc"].to_numpy(), n, out=np.full(len(n), np.nan), where=n > 0)
@@ -114,6 +116,81 @@ def draw_statistics(obs: DataFrame, cluster_oc: DataFrame, draws: DataFrame, key
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ag", "oc")})
 
 
+def draw_indexes(seed: str, slots: np.ndarray, resamples: int, n: int) -> np.ndarray:
+    """Index in [0, n) that each slot draws in each resample (slots x resamples): 52 bits of the digest of (seed, resample, slot)."""
+    md5, heads = hashlib.md5, [f"{seed}|{r}|".encode() for r in range(resamples)]
+    raw = b"".join([md5(head + tail).digest() for tail in (str(k).encode() for k in slots.tolist()) for head in heads])
+    high = np.frombuffer(raw, ">u8")[::2] >> np.uint64(12)
+    return np.floor(high.astype(np.float64) / 2.0**52 * n).astype(np.int64).reshape(len(slots), resamples)
+
+
+def drawn_sums(values: DataFrame, ids: DataFrame, n: int, cluster: str, keys: list[str], columns: list[str], seed: str, resamples: int) -> DataFrame:
+    """``keys, resample, columns.., _w``: sums of per-cluster values over the clusters drawn, and their number.
+
+    ``ids``: cluster and its position ``_k`` below ``n``.  Draws are packed numbers
+    (resample, position in a range of clusters); a range's values meet all its draws
+    in one task.  Neither a draw nor a value is multiplied by the other side.
+    """
+    spark = values.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    span = min(TARGETS, max(64, -(-n // (2 * cores))))
+
+    def made(batches):
+        for batch in batches:
+            every = batch.column(0).to_numpy()
+            for i in range(0, len(every), SLOTS):
+                at = draw_indexes(seed, every[i : i + SLOTS], resamples, n)
+                code = (np.arange(resamples) * span + at % span).astype(np.int32).ravel()
+                part = (at // span).ravel()
+                order = np.argsort(part, kind="stable")
+                part, code = part[order], code[order]
+                cuts = np.flatnonzero(np.append(True, np.diff(part) != 0))
+                packed = [code[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(code)))]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int64()), pa.array(packed, pa.binary())], ["_part", "packed"])
+
+    drawn = spark.range(0, n, 1, min(n, max(2 * cores, n // TARGETS))).mapInArrow(made, "_part long, packed binary")
+    own = values.join(ids, cluster).select(
+        F.floor(F.col("_k") / span).alias("_own"), (F.col("_k") % span).cast("int").alias("_at"), *keys, *[F.col(c).cast("double").alias(c) for c in columns]
+    )
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        counts = np.zeros(resamples * span, np.int64)
+        for packed in left.column("packed"):
+            np.add(counts, np.bincount(np.frombuffer(packed.as_buffer(), np.int32), minlength=len(counts)), out=counts)
+        weights = counts.reshape(resamples, span)
+        # rows in a fixed order: sums do not depend on the order of arrival
+        right = right.sort_by([("_at", "ascending"), *[(k, "ascending") for k in keys]])
+        names = right.select(keys).to_pandas().groupby(keys, dropna=False, sort=False) if keys else None
+        groups = list(names.indices.values()) if keys else [np.arange(right.num_rows)]
+        at = right.column("_at").to_numpy()
+        cols = [right.column(c).to_pandas().to_numpy(np.float64) for c in columns]
+        valid = [np.asarray(right.column(c).is_valid()) for c in columns]
+        first, out, drawn_rows = [], [[] for _ in range(2 * len(columns) + 2)], np.arange(resamples)
+        for rows in groups if right.num_rows else ():
+            w = weights[:, at[rows]]
+            total = w.sum(axis=1)
+            there = total > 0
+            first.append(np.full(int(there.sum()), rows[0]))
+            out[0].append(drawn_rows[there])
+            out[1].append(total[there])
+            wf = w.astype(np.float64)
+            for i, (v, ok) in enumerate(zip(cols, valid)):
+                out[2 + 2 * i].append((wf @ np.where(ok[rows], v[rows], 0.0))[there])
+                out[3 + 2 * i].append((w @ ok[rows].astype(np.int64))[there])
+        out = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        picked = right.select(keys).take(pa.array(np.concatenate(first) if first else np.zeros(0, np.int64))) if keys else pa.table({})
+        arrays = [*picked.columns, pa.array(out[0].astype(np.int32)), pa.array(out[1].astype(np.int64))]
+        for i in range(len(columns)):
+            arrays += [pa.array(out[2 + 2 * i].astype(np.float64)), pa.array(out[3 + 2 * i].astype(np.int64))]
+        return pa.table(arrays, names=[*keys, "resample", "_w", *[x for c in columns for x in (f"s_{c}", f"n_{c}")]])
+
+    types = {f.name: f.dataType.simpleString() for f in values.schema}
+    ddl = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "resample int", "_w long", *[f"`s_{c}` double, `n_{c}` long" for c in columns]])
+    out = drawn.groupBy("_part").cogroup(own.groupBy("_own")).applyInArrow(summed, ddl)
+    sums = [F.when(F.sum(f"n_{c}") > 0, F.sum(f"s_{c}")).alias(c) for c in columns]
+    return out.groupBy(*keys, "resample").agg(*sums, F.sum("_w").alias("_w"))
+
+
 def sign_bits(seed: str, clusters: list, first: int, n: int) -> np.ndarray:
     """Signs (-1 or 1) of flips ``first`` to ``first + n`` (multiples of 128) for each cluster: clusters x flips.
 
