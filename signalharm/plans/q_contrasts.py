@@ -5,16 +5,19 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.measures import MEASURES, Pair
 from ..operators import align as L
+from ..operators import blocks as B
 from ..operators import contrasts as C
 from ..operators import infer as I
 from ..operators import measure as M
 from ..operators import signals as S
 from . import observations as O
+from . import sqltext as T
 from .q_align import R9, scoped, statistics
 from .q_infer import DRAWS, REF, sql_draw_statistics, sql_draws, sql_flip
 from .q_models import _GM, grid_pairs
 from .q_tasks import _PROFILE, SQL_BOTH, SQL_PANELS, panel_statistics, panels, profiles
 from .registry import query
+from .tables import signals
 
 R = A.rounded
 W1 = "wasserstein_1"
@@ -107,8 +110,12 @@ def represented(spark, sf):
     t = S.grid(*O.GRID)
     pair = Pair(t, F.col("gr"), t, F.col("gc"))
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), MEASURES[m].expression(pair).alias("h")) for m in (REF, W1)])
-    g = grid_pairs(spark, sf).select(F.col("class_id").alias("cluster_id"), "perturbation_id", "alpha", F.inline(cells))
-    x = g.groupBy("metric", "cluster_id", "perturbation_id", "alpha").agg(F.avg("h").alias("x")).transform(M.settled, ["metric"])
+
+    def expressed(own):
+        g = grid_pairs(spark, sf, own)
+        return g.select(F.col("class_id").alias("cluster_id"), "perturbation_id", "alpha", F.inline(cells))
+
+    x = B.mean_values(signals(spark, sf), "class_id", (REF, W1), T.FAMILIES, O.GRID, False, expressed).transform(M.settled, ["metric"])
     native = panels(spark, sf).filter(F.col("metric").isin(REF, W1))
     y = native.filter(F.col("metric") == REF).select("panel", "cluster_id", "perturbation_id", "alpha", "y")
     grid = x.join(y, ["cluster_id", "perturbation_id", "alpha"]).select(*native.columns)
