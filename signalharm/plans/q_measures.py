@@ -7,6 +7,8 @@ from ..functions.measures import MEASURES, Pair, negative_area, structure_to_noi
 from ..functions.peak_counts import peak_outputs
 from ..functions.peaks import detect_peaks, match_peaks, range_threshold, ratios
 from ..operators import measure as M
+from ..operators import peak_blocks as PB
+from ..operators.blocks import sound
 from ..operators.perturb import perturb
 from . import sqltext as T
 from .registry import query
@@ -244,15 +246,16 @@ SELECT sw.signal_id, round(sum(sw.w * (sw.y - rs.nmean)) / (any_value(rs.nstd) *
 _THR = "0.05 * (s.ymax - s.ymin)"
 _PEAK_CONDITIONS = T.FAMILIES
 _SCAN_CONDITIONS = ("p09", "p10")  # whole peak tables are made only for these
+_TOLERANCES, _CUTS = (1.0, 2.0, 4.0, 8.0), (0.0, 0.1)
 
 
 def _detected(y="y", axis="axis"):
     return detect_peaks(F.col(axis), F.col(y), range_threshold(F.col(y)))
 
 
-def peak_pairs(spark, sf, perturbations=_SCAN_CONDITIONS):
+def peak_pairs(own, perturbations=_SCAN_CONDITIONS):
     """Reference and candidate peak lists of every cell."""
-    df = A.pin(signals(spark, sf), {"ref_peaks": _detected()})
+    df = A.pin(own, {"ref_peaks": _detected()})
     return A.pin(perturb(df, perturbations, identity=False), {"peaks": _detected()})
 
 
@@ -328,13 +331,22 @@ FROM rat GROUP BY ALL""",
 )
 def peak_scans(spark, sf):
     """Tolerance scan crossed with a prominence cut on both sides."""
-    df = peak_pairs(spark, sf)
+    own = signals(spark, sf)
+    parts = PB.scan_sums(own, _SCAN_CONDITIONS, _TOLERANCES, _CUTS)
+    rest = own.filter(~sound())
+    if not rest.isEmpty():
+        parts = parts.unionByName(scanned(rest))
+    n = F.sum("n_cells")
+    return parts.groupBy("tolerance", "min_prominence", "perturbation_id", "alpha").agg(
+        F.sum("n_match").alias("n_match"), *[A.rounded(F.when(n > 0, F.sum(o) / n)).alias(o) for o in _OUTPUTS]
+    )
+
+
+def scanned(own):
+    """:func:`PB.scan_sums` of signals of any kind; a signal without peak lists counts in no mean."""
+    df = peak_pairs(own)
     grid = F.array(
-        *[
-            F.struct(F.lit(t).alias("tolerance"), F.lit(p).alias("min_prominence"))
-            for t in (1.0, 2.0, 4.0, 8.0)
-            for p in (0.0, 0.1)
-        ]
+        *[F.struct(F.lit(t).alias("tolerance"), F.lit(p).alias("min_prominence")) for t in _TOLERANCES for p in _CUTS]
     )
     df = df.select("signal_id", "perturbation_id", "alpha", "ref_peaks", "peaks", F.explode(grid).alias("g"))
     df = df.select(
@@ -347,7 +359,7 @@ def peak_scans(spark, sf):
     df = A.pin(df, {"m": F.size(match_peaks(F.col("a"), F.col("b"), F.col("tolerance")))})
     df = df.withColumn("r", ratios(F.size("a"), F.size("b"), F.col("m")))
     return df.groupBy("tolerance", "min_prominence", "perturbation_id", "alpha").agg(
-        F.sum("m").alias("n_match"), *[A.rounded(F.avg(f"r.{o}")).alias(o) for o in _OUTPUTS]
+        F.count("r.peak_f1").alias("n_cells"), F.sum("m").cast("long").alias("n_match"), *[F.sum(f"r.{o}").alias(o) for o in _OUTPUTS]
     )
 
 
@@ -367,10 +379,13 @@ SELECT perturbation_id, alpha, count(*)::BIGINT AS n_pairs, round(avg(pe), 6) +
   round(avg(ae), 6) + 0.0 AS area_error FROM er GROUP BY ALL""",
 )
 def matched_peak_errors(spark, sf):
-    df = M.matched_errors(peak_pairs(spark, sf), tolerance=2.0)
-    names = ("position_error", "relative_height_error", "fwhm_error", "area_error")
-    return (
-        df.filter(F.col("position_error").isNotNull())
-        .groupBy("perturbation_id", "alpha")
-        .agg(F.count(F.lit(1)).alias("n_pairs"), *[A.rounded(F.avg(n)).alias(n) for n in names])
-    )
+    own = signals(spark, sf)
+    parts = PB.error_sums(own, _SCAN_CONDITIONS)
+    rest = own.filter(~sound())
+    if not rest.isEmpty():
+        df = M.matched_errors(peak_pairs(rest), tolerance=2.0).groupBy("perturbation_id", "alpha")
+        counts = [F.count(e).alias(f"n_{e}") for e in PB.ERRORS]
+        parts = parts.unionByName(df.agg(*counts, *[F.sum(e).alias(e) for e in PB.ERRORS]))
+    means = [A.rounded(F.try_divide(F.sum(e), F.sum(f"n_{e}"))).alias(e) for e in PB.ERRORS]
+    found = parts.groupBy("perturbation_id", "alpha").agg(F.sum("n_position_error").alias("n_pairs"), *means)
+    return found.filter(F.col("n_pairs") > 0)
