@@ -141,7 +141,9 @@ def decoded(stretch: str, channel: Channel, breaks: bool = False) -> set[str]:
 
 def token_words(token: str, channel: Channel) -> set[str]:
     """Words of one token as written, and as restored where anything in it may stand for something else."""
-    out = set(WORD.findall(token.lower()))
+    out = {token.lower()} if token.isascii() and token.isalpha() else set(WORD.findall(token.lower()))
+    if not DISGUISED.search(token):  # then no stretch of it is
+        return out
     for m in LETTERS.finditer(token):
         if DISGUISED.search(m[0]):
             out |= decoded(m[0], channel)
@@ -176,10 +178,15 @@ class Model:
 
     def __init__(self, odds: dict[str, float], weights: list[float]):
         self.odds, self.weights = odds, weights
-        self.known: dict[str, tuple] = {}
+        self.heads = {t.removesuffix(" ")[: STEMS[0]] for t in odds}
+        #: Tokens read, and those among them that hold words of the model.
+        self.known: set[str] = set()
+        self.hits: dict[str, tuple] = {}
 
     def odds_of(self, word: str) -> float:
         """The largest log odds of a word and its beginnings; 0 without."""
+        if word[: STEMS[0]] not in self.heads:  # no term begins so
+            return 0.0
         odds = self.odds
         return max(odds.get(word + " ", 0.0), *(odds.get(word[:n], 0.0) if len(word) > n else 0.0 for n in STEMS))
 
@@ -196,16 +203,20 @@ class Model:
         tokens, known = text.split(), self.known
         if len(known) > MEMORY:
             known.clear()
+            self.hits.clear()
         hits: dict[str, float] = {}
         parts = spaced(tokens)
-        for t in {*tokens}:
-            found = known.get(t)
-            if found is None:
-                found = tuple((w, d) for w in token_words(t, channel) if (d := self.odds_of(w)))
-                if len(t) <= LONGEST:
-                    known[t] = found
-            if found:
-                hits.update(found)
+        distinct = {*tokens}
+        fresh = distinct - known
+        for t in self.hits.keys() & distinct:
+            hits.update(self.hits[t])
+        for t in fresh:
+            found = tuple((w, d) for w in token_words(t, channel) if (d := self.odds_of(w)))
+            hits.update(found)
+            if len(t) <= LONGEST:
+                known.add(t)
+                if found:
+                    self.hits[t] = found
         hits.update({w: d for x in parts for w in decoded(x, channel, True) if (d := self.odds_of(w))})
         z = sum(a * b for a, b in zip(self.weights, self._sums(hits)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(parts)

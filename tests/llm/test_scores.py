@@ -255,3 +255,26 @@ def test_written_groups():
             want += ",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])) + ";"
             i, j = x, y
         assert alignment._written(a, b, last_a, last_b).decode() == want
+
+
+def test_short_ways_of_a_score_change_nothing():
+    """A word is looked up only if a term begins like it, a token decoded only if it holds a disguise."""
+    from signalharm.llm import toxicity as T
+
+    odds = {"bad ": 3.0, "awfu": 2.5, "awful ": 4.0, "vile ": 2.0, "ÿber ": 2.2, "horribl": 5.0}
+    model, channel = T.Model(odds, [-1.0, 0.5, 0.5, 0.5]), T.Channel([(g, 5) for g in range(0, 28**3, 7)])
+    for word in ("bad", "ba", "badly", "awful", "awfully", "vile", "viler", "ÿber", "horrible", "", "a"):
+        want = max(odds.get(word + " ", 0.0), *(odds.get(word[:n], 0.0) for n in T.STEMS if len(word) > n), 0.0)
+        assert model.odds_of(word) == want, word
+    tokens = ["Bad", "İstanbul", "b4d", "a.w.f.u.l", "x²y", "VILE", "good", "Awfully!", "3.14", "snake_case", "ß", "fool"]
+    for token in tokens:
+        out = set(T.WORD.findall(token.lower()))
+        for m in T.LETTERS.finditer(token):
+            if T.DISGUISED.search(m[0]):
+                out |= T.decoded(m[0], channel)
+        assert T.token_words(token, channel) == out, token
+    texts = [" ".join(tokens[i:] + tokens[:i] + ["bad " * i]) for i in range(6)] + ["", "good", "a w f u l"]
+    first = [model.score(t, channel) for t in texts]
+    assert "Bad" in model.hits and "good" in model.known and "good" not in model.hits
+    assert first == [model.score(t, channel) for t in texts] == [T.Model(odds, model.weights).score(t, channel) for t in texts]
+    assert first[0][0] > first[-2][0]
