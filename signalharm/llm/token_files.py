@@ -32,7 +32,7 @@ DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 2000
 SAMPLE_IDS = 4096
 END_ID = 0
-#: Bytes of chunks and ids that a worker remembers before it starts anew, about, and the longest chunk it remembers.
+#: Bytes of pre-tokens and ids that a worker remembers before it starts anew, about, and the longest chunk it remembers.
 CACHE_BYTES, CACHED_CHARS = 96 << 20, 64
 #: A space after a non-space character always begins a new pre-token.
 SPACED = re.compile(r"\s ")
@@ -42,10 +42,13 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[\x20-\x7e\n{LATIN}]*")
 ONE_WORD = re.compile(rf" ?[{LATIN}]+")
 PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \n0-9{LATIN}]+|[ \n]+(?![^ \n])|[ \n]+")
+#: The same on many plain chunks at once, which SEP ends.
+SEP = "\x00"
+PRE_MANY = re.compile(rf"{SEP}|'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^ \n0-9{LATIN}{SEP}]+|[ \n]+(?![^ \n{SEP}])|[ \n]+")
 
 
 class Encoder:
-    """Ids as the tokenizer gives them; chunks between spaces and pre-tokens are encoded once while cached.
+    """Ids as the tokenizer gives them; pre-tokens are encoded once while cached, chunks between spaces put together from them.
 
     The byte-level pre-tokenizer never joins a non-space character with a space
     after it and looks only to the right, so the chunks' ids put together are
@@ -71,6 +74,7 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in printable)
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.letters_many = self.letters | {ord(SEP): SEP}
         self.bpe = self.model.model.tokenize
         self.cache: dict[str, bytes] = {}
         self.held, self.cache_bytes = 0, cache_bytes
@@ -91,11 +95,16 @@ class Encoder:
         split = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = pa.compute.dictionary_encode(split.values)
         first = split.offsets.to_numpy()[:-1]
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        # through numpy: ``to_pylist`` makes a scalar an element
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
         heads = split.values.take(pa.array(first)).to_pylist()  # a text's first chunk has no space before it
         codes[first] = np.arange(len(words), len(words) + len(heads))
         chunks = [*map(" ".__add__, words), *heads]
-        known = [self._chunk(c) if x is None else x for c, x in zip(chunks, list(map(self.cache.get, chunks)))]
+        known = list(map(self.cache.get, chunks))
+        new = [i for i, x in enumerate(known) if x is None]
+        learnt = self._many([chunks[i] for i in new])
+        for i in new:
+            known[i] = learnt[c] if (c := chunks[i]) in learnt else self._chunk(c)
         flat = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         begin, n = (np.cumsum(size) - size)[codes], size[codes]
@@ -103,6 +112,30 @@ class Encoder:
         ids = flat[np.arange(ends[-1]) + np.repeat(begin - ends + n, n)]
         return np.split(ids, (ends - n)[first[1:]])
 
+    def _many(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of the plain chunks among these: one search for all, one call of the model a pre-token that is not remembered."""
+        plain = [c for c in chunks if len(c) <= CACHED_CHARS and PLAIN.fullmatch(c)]
+        whole = "".join([c + SEP for c in plain])
+        if any(s in whole for s in self.special):
+            plain = [c for c in plain if not any(s in c for s in self.special)]
+            whole = "".join([c + SEP for c in plain])
+        parts = PRE_MANY.findall(whole)
+        self.cache[SEP] = b""
+        fresh = [p for p in dict.fromkeys(parts) if p not in self.cache]
+        mapped = SEP.join(fresh).encode().decode("latin-1").translate(self.letters_many).split(SEP) if fresh else []
+        self._remember({p: array("I", [t.id for t in self.bpe(m)]).tobytes() for p, m in zip(fresh, mapped)})
+        ids = list(map(self.cache.__getitem__, parts))
+        del self.cache[SEP]  # as a chunk it is an ordinary character
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = ends[np.fromiter(map(SEP.__eq__, parts), bool, len(parts))].tolist()
+        flat = b"".join(ids)
+        return {c: flat[i:j] for c, i, j in zip(plain, [0, *ends], ends)}
+
+    def _remember(self, known: dict[str, bytes]) -> None:
+        self.cache.update(known)
+        # with the entry and the two objects
+        self.held += 190 * len(known) + sum(map(len, known)) + sum(map(len, known.values()))
+
     def _chunk(self, chunk: str) -> bytes:
         ids = self.cache.get(chunk)
         if ids is None:
@@ -120,8 +153,7 @@ class Encoder:
                 )
                 ids = array("I", [t.id for t in self.bpe(mapped)]).tobytes()
             if len(chunk) <= CACHED_CHARS:
-                self.cache[chunk] = ids
-                self.held += 190 + len(chunk) + len(ids)  # with the entry and the two objects
+                self._remember({chunk: ids})
         return ids
 
 

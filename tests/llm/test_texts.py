@@ -107,6 +107,23 @@ def test_encoder_equals_the_library():
     assert other(["Hello you"])[0].tolist() == other.model.encode("Hello you", add_special_tokens=False).ids
 
 
+def test_plain_chunks_are_searched_together_and_pre_tokens_encoded_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = token_files.Encoder(path)
+    asked, alone, bpe, chunk = [], [], own.bpe, own._chunk
+    own.bpe = lambda w: asked.append(w) or bpe(w)
+    own._chunk = lambda c: alone.append(c) or chunk(c)
+    texts = ["Fin. erte, erte! erte&&& don't it's", "a or.\nWith erte. 12,5 \nso erte\n\nor it'll ", "x erte,&&& Größe, größe.\nerte"]
+    odd = ["a \x00 b\x00c erte", "w <|endoftext|>erte, erte<|endoftext|> z", "v " + "erte," * 30 + " 漢字, end"]
+    both = [texts, texts[::-1], odd, texts + odd]
+    for part in both:
+        assert [x.tolist() for x in own(part)] == [own.model.encode(t, add_special_tokens=False).ids for t in part]
+    assert len(asked) == len(set(asked))
+    searched = [c for c in alone if len(c) <= 64 and token_files.PLAIN.fullmatch(c) and "<" not in c]
+    known = {p for t in texts + odd for p in token_files.PRE.findall(t)}
+    assert set(searched) <= known, "plain chunks of several pre-tokens go together"
+
+
 def test_token_files_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
