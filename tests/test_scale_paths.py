@@ -273,3 +273,18 @@ def test_cells_spread_skewed_values(spark):
     assert sizes["count"].sum() == 20_003 and sizes["count"].max() < 3 * 20_000 / 64
     got = quantiles.exact_quantiles(df, ["k"], "v", {"m": 0.5, "top": 1.0}).filter("k = 'k'").first()
     assert got.top == 1e12 and abs(got.m - np.exp(10_000 / 2000.0)) < 1e-9
+
+
+def test_both_protocols_share_the_mean_harms(spark, sf, monkeypatch):
+    from signalharm.plans import observations as O
+
+    formed, form = [], O.metric_harm
+    monkeypatch.setattr(O, "_CACHE", {})
+    monkeypatch.setattr(O, "metric_harm", lambda *a, **k: formed.append(a) or form(*a, **k))
+    fixed, adapted = O.observations(spark, sf), O.observations(spark, sf, adapted=True)
+    assert len(formed) == 1
+    assert fixed.columns == adapted.columns
+    O.harms(spark, sf, O.OUTPUTS[:2])
+    assert len(formed) == 2, "other outputs are other harms"
+    for df in O._CACHE.values():
+        df.unpersist()
