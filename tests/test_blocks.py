@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from signalharm.operators import blocks as B
 from signalharm.operators import tasks
 from signalharm.plans import observations as O
+from signalharm.plans import q_models
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,23 @@ def test_library_in_blocks_equals_tiles(odd, adapted):
     assert max(abs(a[k] - b[k]) for k in a) < 1e-10
     formed = B.grid_vectors(odd, B.FAMILIES, O.GRID, lambda d: O.by_expressions(d, B.FAMILIES))
     assert formed.count() == vectors.count()
+
+
+def test_normalised_errors_equal_expressions(spark, odd):
+    keys = ["variant", "metric", "cluster_id", "perturbation_id", "alpha"]
+    own = odd.filter("signal_id <> 9")  # a nan mean equals nothing
+    by_row = lambda d: q_models.normalised_errors(spark, None, d)
+    a = {tuple(r)[:5]: r.x for r in by_row(own).groupBy(*keys).agg(F.avg("h").alias("x")).select(*keys, "x").collect()}
+    got = B.mean_values(own, "class_id", ("mse", "mae"), B.FAMILIES, O.GRID, False, by_row, q_models._NORMS)
+    b = {tuple(r)[:5]: r.x for r in got.select(*keys, "x").collect()}
+    assert a.keys() == b.keys() and len(a) == 4 * 2 * 3 * 40
+    assert all((a[k] is None) == (b[k] is None) for k in a)
+    assert max(abs(a[k] - b[k]) / (1 + abs(a[k])) for k in a if a[k] is not None) < 1e-9
+
+
+def test_sensitivity_interprets_no_sound_signal(spark, sf, monkeypatch):
+    formed, form = [], B.mean_values
+    monkeypatch.setattr(B, "mean_values", lambda *a, **k: formed.append(form(*a, **k)) or formed[-1])
+    assert q_models.sensitivity(spark, sf).count() == 8
+    plan = formed[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
