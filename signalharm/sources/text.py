@@ -4,6 +4,12 @@ Every parser is a projection on ``(member, payload)``; a member either yields a
 signal or a rejection code, never an exception.
 """
 
+import os
+import shutil
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,29 +18,81 @@ from ..functions import arrays as A
 PAIR_TYPE = "array<struct<key:string,value:string>>"
 
 
+#: Members that share a folder; tasks a core when files are read: a split holds 32 files at most.
+FOLDER, READERS = 256, 4
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"  # what Spark calls a partition without a value
+
+
 def write_members(df: DataFrame, path: str) -> None:
-    """One text file per member below ``path``: a folder named after it, which holds its payload.
+    """One text file per member below ``path``, named after it: its payload and a line end.
 
-    A member may go into any folder of its own, so tasks write side by side and
-    nothing is gathered.  ``df``: member, payload.
+    Each task writes its own files side by side and nothing is gathered; the
+    folder of a task appears when it is complete, so a repeated task leaves no
+    member twice.  Elsewhere than on a (shared) local file system Spark's writer
+    makes a folder per member.  ``df``: member, payload.
     """
-    df.select("member", "payload").write.partitionBy("member").text(path)
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        df.select("member", "payload").write.partitionBy("member").text(path)
+        return
+    root = fs.makeQualified(where).toUri().getPath()
+    os.makedirs(root)
+
+    def write(batches):
+        task = TaskContext.get()
+        own = f"{root}/_{task.partitionId()}.{task.taskAttemptId()}"
+        folders, used = 0, None
+        for batch in batches:
+            for member, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = _file_name(member)
+                if used is None or len(used) == FOLDER or name in used:
+                    folders, used = folders + 1, set()
+                    os.makedirs(f"{own}/{folders}")
+                used.add(name)
+                with open(f"{own}/{folders}/{name}", "wb") as f:
+                    f.write(payload or b"")
+                    f.write(b"\n")
+        if folders:
+            _keep(own, f"{root}/members-{task.partitionId()}")
+        yield pa.RecordBatch.from_pydict({"folders": pa.array([folders], pa.int64())})
+
+    df.select(F.col("member").cast("binary"), F.col("payload").cast("binary")).mapInArrow(write, "folders long").agg(F.sum("folders")).collect()
+
+
+def _keep(own: str, final: str) -> None:
+    """Show the folder of a finished task, unless another attempt of it was first."""
+    try:
+        os.rename(own, final)
+    except OSError:
+        if not os.path.isdir(final):
+            raise
+        shutil.rmtree(own)
+
+
+def _file_name(member: bytes | None) -> str:
+    """A name that any file system takes and Spark's scan does not hide."""
+    name = quote(member or NO_NAME, safe="")
+    return (f"%{ord(name[0]):02X}{name[1:]}" if name[0] in "._" else name) + ".txt"
 
 
 def read_members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """member, payload, n_bytes of every file below ``path`` whose name matches ``pattern``.
 
-    The member is the folder that ``write_members`` made, else the file's own
+    The member is what ``write_members`` was given, else the file's own
     name.  Folders are searched at any depth; files are read where they lie,
     each whole in one row, so one file may hold 2 GB at most.  Spark's scan
     leaves out files of no bytes: they are no members.  The payload of a file
     that is no UTF-8 is null: the parsers give it the code ``not_text``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    files = files.coalesce(READERS * spark.sparkContext.defaultParallelism)
+    written = F.regexp_extract("path", r"/members-\d+/\d+/([^/]+)\.txt$", 1)
     folder = F.regexp_extract("path", r"/member=([^/]+)/[^/]+$", 1)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
-        F.when(folder != "", folder).otherwise(name).alias("member"),
+        F.when(written != "", F.coalesce(F.try_url_decode(written), name)).when(folder != "", folder).otherwise(name).alias("member"),
         F.try_validate_utf8(F.col("content").cast("string")).alias("payload"),
         F.col("length").alias("n_bytes"),
     )

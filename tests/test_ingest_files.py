@@ -35,6 +35,36 @@ def test_written_members_come_back(spark, tmp_path):
     assert got == {m: p + "\n" for m, p in rows}
 
 
+def test_members_of_any_name_in_few_folders(spark, tmp_path):
+    odd = ["a:b/c %41+", "_x", ".y", "ü=1", "dup", "dup", None, "x.txt"]
+    rows = [(m, f"p{i}") for i, m in enumerate(odd)] + [(f"m{i}", None if i % 2 else "v") for i in range(1500)]
+    root = tmp_path / "m"
+    X.write_members(spark.createDataFrame(rows, "member string, payload string").repartition(3), f"file://{root}")
+    files = X.read_members(spark, str(root), "*.txt")
+    want = sorted((m or X.NO_NAME, (p or "") + "\n") for m, p in rows)
+    assert sorted((r.member, r.payload) for r in files.collect()) == want
+    assert len(list(root.glob("*/*"))) < 12 and not list(root.glob("_*"))  # before, a folder and two files of each
+    assert files.rdd.getNumPartitions() <= X.READERS * spark.sparkContext.defaultParallelism < len(rows) / 32
+    with pytest.raises(FileExistsError):
+        X.write_members(spark.createDataFrame(rows, "member string, payload string"), str(root))
+
+
+def test_members_in_folders_of_their_own(spark, tmp_path):
+    rows = [("m1", "a"), ("m2", "b")]
+    spark.createDataFrame(rows, "member string, payload string").write.partitionBy("member").text(str(tmp_path / "m"))
+    got = {r.member: r.payload for r in X.read_members(spark, str(tmp_path / "m"), "*.txt").collect()}
+    assert got == {m: p + "\n" for m, p in rows}
+
+
+def test_repeated_task_leaves_no_member_twice(tmp_path):
+    for attempt in (1, 2):
+        own = tmp_path / f"_0.{attempt}"
+        (own / "1").mkdir(parents=True)
+        (own / "1" / "a.txt").write_bytes(b"x\n")
+        X._keep(str(own), str(tmp_path / "members-0"))
+    assert [str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.txt")] == ["members-0/1/a.txt"]
+
+
 @pytest.mark.parametrize("held", [64, 1])
 def test_covariance_against_numpy(spark, monkeypatch, held):
     monkeypatch.setattr(covariance, "KEYS_HELD", held)
