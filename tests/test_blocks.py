@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from signalharm.functions import peak_counts
 from signalharm.operators import blocks as B
 from signalharm.operators import tasks
 from signalharm.plans import observations as O
-from signalharm.plans import q_models
+from signalharm.plans import q_align, q_models
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,39 @@ def test_mean_values_equal_expressions(odd):
     assert max(abs(a[k] - b[k]) / (1 + abs(a[k])) for k in a if a[k] is not None) < 1e-9
 
 
+def test_all_outputs_equal_expressions(odd):
+    keys = ["metric", "cluster_id", "perturbation_id", "alpha"]
+    own = odd.filter("signal_id <> 9")
+    assert B.covers(O.ALL_OUTPUTS, B.FAMILIES)
+    want = B.expressed(own, "class_id", O.ALL_OUTPUTS, B.FAMILIES).groupBy(*keys).agg(F.avg("h").alias("x"))
+    a = {tuple(r)[:4]: r.x for r in want.collect()}
+    b = {tuple(r)[:4]: r.x for r in B.mean_values(own, "class_id", O.ALL_OUTPUTS).select(*keys, "x").collect()}
+    assert a.keys() == b.keys() and len(a) == 13 * 3 * 40
+    assert all((a[k] is None) == (b[k] is None) for k in a)
+    assert max(abs(a[k] - b[k]) / (1 + abs(a[k])) for k in a if a[k] is not None) < 1e-9
+
+
+def test_observations_cover_the_study_s_outputs(spark, sf):
+    rows = q_align.observations(spark, sf).groupBy("metric").count().collect()
+    assert {r.metric for r in rows} == set(O.ALL_OUTPUTS) and len({r["count"] for r in rows}) == 1
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 64, 129])
+def test_peaks_of_matrices_equal_those_of_rows(n):
+    rng = np.random.default_rng(n)
+    x = np.cumsum(rng.choice([0.5, 1.0, 1.3], n))
+    moved = x + 1.7 * np.linspace(0, 1, n)
+    y = rng.normal(size=(60, n)).round(1)
+    z = y + rng.normal(size=y.shape).round(1) / 2
+    y[0], z[1] = 2.0, np.arange(n)
+    a, b = peak_counts.peak_mask(y), peak_counts.peak_mask(z)
+    hits = peak_counts.match_rows(x, a, moved, b, 2.0)
+    for r in range(len(y)):
+        p, q = peak_counts.peak_positions(x, y[r]), peak_counts.peak_positions(moved, z[r])
+        assert x[a[r]].tolist() == p and moved[b[r]].tolist() == q
+        assert hits[r] == peak_counts.matches(p, q, 2.0)
+
+
 @pytest.mark.parametrize("adapted", [False, True])
 def test_library_in_blocks_equals_tiles(odd, adapted):
     seeds = F.array(*[F.when(F.col("group_id") != f"g{s}", F.lit(s)) for s in (1, 2)])
